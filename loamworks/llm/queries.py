@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.llm import embed_dedup, simhash
+from loamworks.llm import embed_dedup, html_extract, line_dedup, simhash, url_filter
 from loamworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,61 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of vectors linked at a cosine of 0.95 or more."""
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+#: (verdict, host, path)
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def _url_sql(rounds: int = url_filter.ROUNDS, d: float = url_filter.DAMPING) -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    steps = "".join(
+        f""", k{i + 1} AS (SELECT kind, host, sum(x) AS x FROM (
+            SELECT a.kind, a.b AS host, {d} * r.x * a.w AS x FROM k{i} r JOIN arcs a ON r.kind = a.kind AND r.host = a.a
+            UNION ALL SELECT kind, host, {1 - d} * x FROM k0) GROUP BY kind, host)"""
+        for i in range(rounds)
+    )
+    return f"""WITH parts AS (SELECT page_id, html, CASE WHEN url IS NULL OR position('://' IN url) = 0 THEN '' ELSE substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+    split AS (SELECT page_id, html, {lower.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+    rules(verdict, h, p) AS (VALUES {rules}),
+    fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS given
+        FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+    judged AS (SELECT s.*, f.rule, f.given FROM split s LEFT JOIN fits f USING (page_id)),
+    links AS (SELECT host AS src, {lower.format("dst")} AS dst, count(*) AS n FROM (SELECT host, unnest(regexp_extract_all(html,
+        '{url_filter.HREF.replace(chr(39), chr(39) * 2)}', 1)) AS dst FROM split)
+        WHERE host <> '' AND host <> {lower.format("dst")} GROUP BY ALL),
+    raw AS (SELECT 't' AS kind, src AS a, dst AS b, n FROM links UNION ALL SELECT 'd', dst, src, n FROM links),
+    arcs AS (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) AS w FROM raw),
+    seeds AS (SELECT host, CASE given WHEN 'allow' THEN 't' ELSE 'd' END AS kind, count(*) AS x FROM judged WHERE given IS NOT NULL AND host <> '' GROUP BY ALL),
+    k0 AS (SELECT kind, host, x / sum(x) OVER (PARTITION BY kind) AS x FROM seeds){steps},
+    ranks AS (SELECT host, round(coalesce(sum(x) FILTER (WHERE kind = 't'), 0), 12) AS trust, round(coalesce(sum(x) FILTER (WHERE kind = 'd'), 0), 12) AS distrust
+        FROM (SELECT kind, host, CASE WHEN (SELECT count(*) FROM arcs) = 0 THEN {1 - d} * x ELSE x END AS x FROM k{rounds}) GROUP BY host)
+    SELECT page_id, j.host, path, rule, coalesce(given, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM judged j LEFT JOIN ranks r ON j.host = r.host"""
+
+
+@query(_url_sql())
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; pages that no rule fits take the verdict of their host in the link graph."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+@query(
+    r"""WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+    keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+    common AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+    told AS (SELECT k.doc_id, pos, line, c.key IS NOT NULL AND k.doc_id <> keeper AS lost FROM keyed k LEFT JOIN common c ON k.key = c.key)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256 FROM told GROUP BY doc_id"""
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of 40 code points or more that five or more documents share."""
+    kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"), 5, 40)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
