@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.llm import line_dedup, simhash
+from loamworks.llm import langid, line_dedup, packing, simhash
 from loamworks.llm.shared import materialize
 from loamworks.session import table
 
@@ -13,6 +14,11 @@ from loamworks.session import table
 ORACLE_SQL = None
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language can't be told: null texts and those without letters."""
+    return langid.predict(docs, keep=True).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that five or more documents share, but for one copy; n_chars follows the text."""
     kept = line_dedup.drop_common_lines(docs).select(*docs.columns)
@@ -26,7 +32,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(lose, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("line_dedup", drop_shared_lines), ("simhash_near_dedup", drop_near_copies)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
+STAGES = [
+    ("language_id", keep_languages),
+    ("line_dedup", drop_shared_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("best_fit_packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

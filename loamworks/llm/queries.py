@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.llm import embed_dedup, html_extract, line_dedup, simhash, url_filter
+from loamworks.llm import embed_dedup, html_extract, imatch, langid, line_dedup, lm_scoring, packing, piece_codec, simhash, url_filter
 from loamworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +104,33 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines of 40 code points or more that five or more documents share."""
     kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"), 5, 40)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a model of the four fifths that are not held out."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's piece ids and of the text that they decode to."""
+    return piece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
+@query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by the profiles of the two thirds that are not held out."""
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of an edited version, and their likeness."""
+    return imatch.compare_edited(table(spark, sf_dir, "documents"))

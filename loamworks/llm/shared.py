@@ -68,3 +68,21 @@ def worker_store() -> dict:
     """What a Python worker keeps from task to task, such as an opened vocabulary."""
     name = "_loamworks_worker_store"
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
+class Memo(dict):
+    """Results of ``f`` by key, the last ``size`` to twice as many kept: read with [] or map(memo.__getitem__, keys)."""
+
+    def __init__(self, f, size: int):
+        super().__init__()
+        self.f, self.size, self.old = f, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.f(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
