@@ -1,46 +1,4 @@
 """All queries on the driver's tables, with the SQL that must give the same rows."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loamworks.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
-
-
-def query(sql: str | None = None):
-    """Register a function under its own name, with its SQL where there is any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query(
-    """
-    WITH days AS (SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, event_type FROM events),
-    spine AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM days)::TIMESTAMP, (SELECT max(day) FROM days)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day)
-    SELECT s.day, """
-    + ", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS n_{t}" for t in EVENT_TYPES)
-    + """, count(event_type) AS n_all FROM spine s LEFT JOIN days d ON s.day = d.day GROUP BY s.day
-    """
-)
-def traffic_series_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by event type for every day of a +9 hour calendar; days without events count 0."""
-    days = table(spark, sf_dir, "events").select(F.to_date(F.expr("ts + INTERVAL 9 HOURS")).alias("day"), "event_type")
-    counts = days.groupBy("day").agg(
-        *[F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in EVENT_TYPES], F.count("event_type").alias("n_all")
-    )
-    spine = counts.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    return spine.join(counts, "day", "left").na.fill(0)
+from loamworks.plans import aggregates, graphs, joins, kernels, series, tables, texts, windows  # noqa: F401  they register their queries
+from loamworks.plans.registry import ORACLE, QUERIES  # noqa: F401
