@@ -19,6 +19,7 @@ BLOCK = frozenset(
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video head title select datalist textarea button".split())
 CHROME = frozenset("nav footer aside form menu dialog search".split())
 MAIN = frozenset("article main".split())
+SECTIONS = frozenset("article body center div main section table".split())
 CLOSES_P = BLOCK - frozenset("html head body title caption tbody td tfoot th thead tr legend option optgroup summary".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -34,35 +35,37 @@ SIGMA = 1.0
 
 
 class _Events(HTMLParser):
-    """Turns a page into lines: (text, tags, container, excluded, main), in page order.
+    """Turns a page into lines: (text, tags, heading, path), in page order, without what is hidden or page furniture.
 
-    A line is the text between two block boundaries. container numbers the nearest sectioning ancestor; excluded tells whether an
-    ancestor is hidden or page furniture; main whether it stands in an article or main element.
+    A line is the text between two block boundaries, tags how many were met since the line before, heading whether it is one; path holds
+    the sectioning ancestors, outermost first, as (number, tag).
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool]] = []  # tag, excluded, main
-        self.lines: list[tuple[str, int, bool, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, tuple]] = []
         self.parts: list[str] = []
-        self.tags = 0
-        self.heading = False
+        self.path: list[tuple[int, str]] = []
+        self.tags = self.sections = 0
 
     def _flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            _, out, main = self.stack[-1] if self.stack else ("", False, False)
-            self.lines.append((text, self.tags, out, main, any(t in HEADINGS for t, _, _ in self.stack[-2:])))
+            self.lines.append((text, self.tags, any(t in HEADINGS for t, _, _ in self.stack[-2:]), tuple(self.path)))
             self.tags = 0
         self.parts.clear()
 
     def _pop(self, n: int) -> None:
         if any(t in BLOCK for t, _, _ in self.stack[n:]):
             self._flush()
+        gone = sum(t in SECTIONS for t, _, _ in self.stack[n:])
+        if gone:
+            del self.path[-gone:]
         del self.stack[n:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.tags += 1
+        self.tags += not self._outside()
         if tag == "br":
             self.parts.append(" ")
             return
@@ -87,6 +90,9 @@ class _Events(HTMLParser):
         elif tag == "article" and above_main and not {"comment", "comments", "reply"}.isdisjoint(words):
             hidden = True
         self.stack.append((tag, above_out or hidden, above_main or tag in MAIN))
+        if tag in SECTIONS:
+            self.sections += 1
+            self.path.append((self.sections, tag))
 
     def _close_open(self, tags: tuple[str, ...], stop: frozenset) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -102,7 +108,7 @@ class _Events(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self.tags += not self._outside()
         if tag in ("br", "p") and tag not in (t for t, _, _ in self.stack):
             self.parts.append(" ")
             return
@@ -114,7 +120,11 @@ class _Events(HTMLParser):
                 return  # an inline end tag does not close a block
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        if not self._outside():
+            self.parts.append(data)
+
+    def _outside(self) -> bool:
+        return bool(self.stack) and self.stack[-1][1]
 
     def finish(self) -> None:
         self.close()
@@ -134,9 +144,10 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
     """The main text of a page: its blocks in page order, joined by an empty line.
 
     Lines in menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are never content, by their element or
-    its class, id or role. Of the others, text-to-tag ratios are smoothed with a Gaussian, and lines at the mean of the two clusters' centers or
-    above are content. Where the page marks its article, the article that holds content is taken with all its lines; elsewhere the content
-    region reaches from the first content line to the last, with a heading just before it. Null, empty or unparsable html gives ''.
+    its class, id or role. Of the others, text-to-tag ratios are smoothed with a Gaussian, and lines at the middle between the two clusters' centers or
+    above are content. The innermost section that holds nearly all text of these lines, or the article or main element around it, is the article,
+    and all its lines are taken, with a heading just before it. Where only the page itself holds them, the article reaches from
+    the first content line to the last. Null, empty or unparsable html gives ''.
     """
     if not html:
         return ""
@@ -146,24 +157,44 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
         parser.finish()
     except AssertionError:  # the parser's answer to some malformed declarations: keep the lines so far
         parser._flush()
-    lines = [x for x in parser.lines if not x[2]]
+    lines = parser.lines
     if not lines:
         return ""
-    ratio = np.array([len(t) / max(1, n) for t, n, *_ in parser.lines], float)
-    ratio[[i for i, x in enumerate(parser.lines) if x[2]]] = 0
-    smooth = _smooth(ratio, sigma)[[i for i, x in enumerate(parser.lines) if not x[2]]]
+    smooth = _smooth(np.array([len(x[0]) / max(1, x[1]) for x in lines]), sigma)
     content = smooth >= _threshold(smooth)
-    main = np.array([x[3] for x in lines])
-    if main.any():
-        picked = main
-    else:
+    section = _section(lines, content)
+    if section is None:
         at = np.flatnonzero(content)
-        first = at[0] - 1 if at[0] and lines[at[0] - 1][4] else at[0]
-        picked = np.arange(len(lines)) >= first
-        picked &= np.arange(len(lines)) <= at[-1]
+        first, last = int(at[0]), int(at[-1])
+        picked = [first <= i <= last for i in range(len(lines))]
+    else:
+        picked = [section in x[3] for x in lines]
+        first = picked.index(True)
+    if first and lines[first - 1][2]:
+        picked[first - 1] = True
     return "\n\n".join(x[0] for x, keep in zip(lines, picked) if keep)
 
 
+def _section(lines: list[tuple], content: np.ndarray, share: float = 0.9) -> tuple[int, str] | None:
+    """The innermost section with ``share`` of the content lines' text, or the article or else main element around it; None if that is the page."""
+    weight: dict[tuple[int, str], int] = {}
+    total = 0
+    for x, is_content in zip(lines, content):
+        if is_content:
+            total += len(x[0])
+            for s in x[3]:
+                weight[s] = weight.get(s, 0) + len(x[0])
+    found = max((s for s, w in weight.items() if w >= share * total), default=None)  # inner sections have larger numbers
+    if found is None:
+        return None
+    path = next(x[3] for x in lines if found in x[3])
+    path = path[: path.index(found) + 1]
+    for tag in ("article", "main"):
+        if around := [s for s in path if s[1] == tag]:
+            return around[-1]
+    return None if found[1] == "body" else found
+
+
 def _threshold(values: np.ndarray) -> float:
     """Midway between two cluster centers (one-dimensional 2-means from the extremes); the least value if all are equal."""
     low, high = float(values.min()), float(values.max())
