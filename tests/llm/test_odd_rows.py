@@ -64,7 +64,7 @@ def test_language_stage_drops_what_has_no_letters(spark, docs):
 
 
 def test_null_pages(spark):
-    pages = spark.createDataFrame([(1, None, None), (2, "no scheme", ""), (None, "http://A.B/x?y", "<p>hi"), (3, "https://b.example.com/en/7#q", "<!doctype"), (3, "x://", "<p>a<p>b")], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame([(1, None, None), (2, "no scheme", ""), (None, "http://A.B/x?y", "<p>hi"), (3, "https://b.example.com/en/7#q", "<!doctype html>"), (3, "x://", "<p>a<p>b")], "page_id bigint, url string, html string")
     got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, [("block", "com", "/en/"), ("allow", "example.com", "/en/7")]).collect()}
     assert got == {(1, "", "", None, "allow"), (2, "", "", None, "allow"), (None, "a.b", "/x", None, "allow"), (3, "b.example.com", "/en/7", "example.com/en/7", "allow"), (3, "", "", None, "allow")}
     texts = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_extract.main_text(pages).collect())
