@@ -1,0 +1,181 @@
+"""Scenarios with known answers for what the catalogue's tables don't reach."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from loamworks.functions import pandas_udfs, scalar
+from loamworks.operators import graph, relational, search, sequences, temporal, traffic
+
+
+def one(spark, column, **values):
+    kinds = {int: "bigint", float: "double", str: "string"}
+    schema = ", ".join(f"{k} {kinds.get(type(v), 'string')}" for k, v in values.items())
+    return spark.createDataFrame([tuple(values.values())], schema or "x int").select(column.alias("v")).first()["v"]
+
+
+@pytest.mark.parametrize("a,b,want", [("1.10", "1.9", 1), ("v1.0", "1", 0), ("1.0-b1", "1.0-b2", None), ("latest", "1", None), ("580.9", "580.1", 1), ("1", "1.0.1", -1), (None, "1", None), ("9" * 70, "1", None)])
+def test_version_compare(spark, a, b, want):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(scalar.version_compare(F.col("a"), F.col("b"))).first()[0] == want
+
+
+@pytest.mark.parametrize("new,old,prop,nv,ov,want", [
+    ("OFFICIAL", "OFFICIAL", "size", "1", "1", True), ("COMMUNITY", "OFFICIAL", "size", "1", "1", False), ("AUTOMATED", "OFFICIAL", "version", "580.9", "580.1", True),
+    ("AUTOMATED", "OFFICIAL", "version", "580.0", "580.1", False), ("AUTOMATED", "OFFICIAL", "version", "latest", "580.1", False), ("AUTOMATED", "OFFICIAL", "size", "2", "1", False),
+])
+def test_trust_ladder(spark, new, old, prop, nv, ov, want):
+    df = spark.createDataFrame([(new, old, prop, nv, ov)], "n string, o string, p string, nv string, ov string")
+    assert df.select(scalar.supersedes(*map(F.col, ("p", "n", "o", "nv", "ov")))).first()[0] is want
+
+
+@pytest.mark.parametrize("n,want", [(19, 10.0), (20, 18.0), (21, 18.0), (0, 10.0)])
+def test_floored_index(spark, n, want):
+    df = spark.createDataFrame([([float(i) for i in range(n)],)], "v array<double>")
+    assert df.select(scalar.floor_p90(F.col("v"), 10.0, 5.0, 100.0)).first()[0] == want
+
+
+def test_new_day_in_either_calendar(spark):
+    hour = 3_600_000
+    f = lambda a, b: spark.range(1).select(scalar.new_day(F.lit(a), F.lit(b))).first()[0]
+    assert f(int(14.5 * hour), int(15.5 * hour)) and not f(16 * hour, 17 * hour) and f(23 * hour, 25 * hour)
+
+
+def test_null_if_either_is(spark):
+    assert spark.range(1).select(scalar.both_or_null(F.greatest, F.lit(None).cast("int"), F.lit(1))).first()[0] is None
+
+
+FACT = "entity_id string, property string, region string, language string, platform string, plan string, app_version string, value string, unit string, verification string, source_id string"
+
+
+def current(spark, rows):
+    full = [(e, p, "*", "*", "*", "*", "*", v, None, label, "a", "auto", 0, None, seen, True) for e, p, v, label, seen in rows]
+    return spark.createDataFrame(full, FACT + ", created_by string, valid_from bigint, valid_until bigint, observed_at bigint, is_current boolean")
+
+
+def document(spark, rows):
+    full = [(e, p, None, None, None, None, None, v, None, label, "b", None, newer, i) for i, (e, p, v, label, newer) in enumerate(rows)]
+    return spark.createDataFrame(full, FACT + ", valid_from bigint, only_if_newer boolean, position int")
+
+
+def test_fact_decisions(spark):
+    day = scalar.DAY_MS
+    state = current(spark, [("a", "size", '"A"', "OFFICIAL", 0), ("b", "size", '"A"', "COMMUNITY", 0), ("c", "version", '"580.1"', "OFFICIAL", 0), ("d", "version", '"2.0"', "AUTOMATED", 0), ("e", "size", "1", "OFFICIAL", 10 * day)])
+    doc = document(spark, [("a", "size", '"B"', "COMMUNITY", False), ("b", "size", '"A"', "OFFICIAL", False), ("c", "version", '"580.9"', "AUTOMATED", False), ("d", "version", '"1.9"', "AUTOMATED", True),
+        ("e", "size", "1", "OFFICIAL", False), ("f", "size", "1", "ESTIMATE", False), ("f", "size", "2", "ESTIMATE", False)])
+    decided = temporal.decide(state, doc, "auto", 10 * day + 1000)
+    assert {r["entity_id"]: r["action"] for r in decided.collect()} == {"a": "conflict", "b": "upgrade", "c": "replace", "d": "keep", "e": "confirm", "f": "add"}
+    after = temporal.apply(state, decided, "auto")
+    got = {(r["entity_id"], r["is_current"]): (r["value"], r["verification"], r["observed_at"]) for r in after.collect()}
+    assert got["c", False][0] == '"580.1"' and got["c", True][0] == '"580.9"' and got["f", True][0] == "2" and got["b", True][1] == "OFFICIAL" and got["e", True][2] == 10 * day
+    again = temporal.decide(after, doc, "auto", 10 * day + 1000)
+    assert {r["action"] for r in again.collect()} == {"conflict", "confirm", "keep"}
+    assert sorted(map(str, temporal.apply(after, again, "auto").collect())) == sorted(map(str, after.collect()))
+
+
+def test_conflicts_once(spark):
+    state, doc = current(spark, [("a", "size", "1", "OFFICIAL", 0)]), document(spark, [("a", "size", "2", "COMMUNITY", False)])
+    decided = temporal.decide(state, doc, "auto", 1)
+    queue = decided.limit(0).withColumn("status", F.lit("open"))
+    opened = temporal.conflicts(decided, queue)
+    assert opened.count() == 1
+    assert temporal.conflicts(decided, decided.withColumn("status", F.lit("rejected"))).count() == 0
+
+
+def test_value_that_comes_back_opens_a_new_row(spark):
+    rows = spark.createDataFrame([("k", 1, "A"), ("k", 2, "A"), ("k", 3, "B"), ("k", 4, "A")], "k string, t int, v string")
+    got = [tuple(r) for r in temporal.versions_of(rows, ["k"], "t", [], F.col("v")).orderBy("valid_from").collect()]
+    assert got == [("k", "A", 1, 3, False), ("k", "B", 3, 4, False), ("k", "A", 4, None, True)]
+
+
+def test_first_or_last_wins(spark):
+    rows = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "k string, position int, v string")
+    assert temporal.winners(rows, ["k"], "position").first()["v"] == "b" and temporal.winners(rows, ["k"], "position", last=False).first()["v"] == "a"
+
+
+def test_verdict_ladder(spark):
+    day = scalar.DAY_MS
+    votes = [("x", u, 100 * day, "works") for u in range(3)] + [("x", 0, 99 * day, "broken")] + [("y", 1, 100 * day, "works"), ("y", 2, 100 * day, "broken")] + [("z", 1, 40 * day, "broken")]
+    df = spark.createDataFrame(votes, "t string, u bigint, a bigint, r string")
+    got = {r["t"]: r for r in relational.vote_verdict(df, "t", "u", "a", "r", F.lit(1.0), 100 * day, 60.0 * day).collect()}
+    assert (got["x"]["verdict"], got["x"]["trust"], got["x"]["users"]) == ("works", "COMMUNITY_VERIFIED", 3)
+    assert got["y"]["trust"] == "DISPUTED" and got["z"]["negative"] == pytest.approx(0.5)
+
+
+def test_small_cells_are_hidden(spark):
+    votes = spark.createDataFrame([("kr", 1)] * 4 + [("us", 1)] * 3 + [("us", 0)] * 2, "c string, has int")
+    got = {r["c"]: (r["n"], r["pct"]) for r in relational.suppressed_share(votes, ["c"], F.col("has") == 1).collect()}
+    assert got == {"kr": (4, None), "us": (5, 60), None: (9, 78)}
+
+
+def test_as_of(spark):
+    left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 5)], "k string, t int")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 6, "z")], "k string, s int, v string")
+    got = sorted((r["k"], r["t"], r["v"] or "") for r in relational.as_of(left, right, "k", "t", "s", ["v"]).collect())
+    assert got == [("a", 1, ""), ("a", 5, "y"), ("b", 5, "")]
+
+
+def test_closure_is_bounded_and_distinct(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 3), (5, 6), (6, 5)], "a int, b int")
+    got = sorted(tuple(r) for r in graph.closure(edges, spark.createDataFrame([(1,), (5,)], "id int"), 2).collect())
+    assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (5, 5, 0), (5, 6, 1)]
+
+
+def test_propagation_in_cycles_and_chains(spark):
+    states = spark.createDataFrame([(i, 9 if i == 0 else 1) for i in range(12)], "id int, state int")
+    needs = spark.createDataFrame([(i, i - 1) for i in range(1, 10)] + [(10, 11), (11, 10)], "id int, needs int")
+    got = {r["id"]: r["state"] for r in graph.propagate(states, needs).collect()}
+    assert all(got[i] == 9 for i in range(10)) and got[10] == got[11] == 1
+
+
+def test_components_of_a_long_path(spark):
+    nodes = spark.range(40).select(F.col("id"))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 29)], "a bigint, b bigint")
+    got = {r["id"]: r["component"] for r in graph.components(nodes, edges).collect()}
+    assert all(got[i] == 0 for i in range(30)) and all(got[i] == i for i in range(30, 40))
+
+
+def test_retention(spark):
+    rows = spark.createDataFrame([("k", i, i * 1000) for i in range(100)], "k string, id int, t bigint")
+    kept = sorted(r["id"] for r in sequences.retain(rows, ["k"], "t", "id", 100_000, 5, 50, 20_000).collect())
+    assert kept == list(range(80, 100))
+
+
+def test_islands(spark):
+    rows = spark.createDataFrame([("k", h) for h in (1, 2, 4)], "k string, h int")
+    runs = sequences.islands(rows, ["k"], ["h"], F.col("h") - sequences.before("h", ["k"], ["h"]) > 1)
+    assert sorted((r["h"], r["island"]) for r in runs.collect()) == [(1, 1), (2, 1), (4, 2)]
+
+
+@pytest.mark.parametrize("ua,verified,cls,name", [
+    ("Mozilla/5.0 (compatible; Googlebot/2.1)", False, "declared", "Googlebot"), ("", False, "suspected", "empty"), ("curl/8", False, "declared", "curl"), ("my-crawler", False, "declared", "other"),
+    ("Mozilla/5.0 (Windows NT 10.0)", False, "candidate", "browser"), ("Opera/9", False, "suspected", "not-a-browser"), (None, False, "suspected", "empty"), ("x", True, "verified", "verified"),
+])
+def test_classification_order(spark, ua, verified, cls, name):
+    df = spark.createDataFrame([(ua, verified)], "ua string, v boolean")
+    got = df.select(traffic.classify(F.col("ua"), F.col("v"), F.lit(False), F.lit(0), (7,)).alias("c")).first()["c"]
+    assert (got["cls"], got["name"]) == (cls, name)
+
+
+def test_trending_drops_nested_terms(spark):
+    titles = spark.createDataFrame([(1, "new gpu driver"), (2, "gpu driver crash"), (3, "big patch notes"), (4, "patch notes out")], "id int, t string")
+    got = [t for t, _ in search.drop_nested(search.trending(titles, "id", "t"))]
+    assert got == ["gpu driver", "patch notes"]
+
+
+@pytest.mark.parametrize("v,r,want", [("1.2.3", ">=1.2 <2", True), ("2.0", ">=1.2 <2", False), ("1.0-b1", ">=1.0", False), ("x", "1", None), ("1.4", "^1.2", True), ("0.3.0", "^0.2", False), ("1.2.9", "~1.2", True)])
+def test_ranges(v, r, want):
+    assert pandas_udfs.in_range(v, r) is want
+
+
+def test_text_udfs(spark):
+    df = spark.createDataFrame([("ﬁ e\u0301 👩‍💻",), (None,)], "t string")
+    assert [tuple(r) for r in df.select(pandas_udfs.nfkc("t"), pandas_udfs.graphemes("t")).collect()] == [("fi é 👩‍💻", 5), (None, 0)]
+
+
+def test_plans_push_down_and_stay_off_products(spark, sf):
+    from loamworks.plans.catalogue import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, sf)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "EqualTo(o_orderstatus,O)" in plan("anti_unconfirmed") and "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string>" in plan("anti_unconfirmed")
+    for name in ("or_join_union", "asof_latest", "two_hop"):
+        assert "CartesianProduct" not in plan(name) and "NestedLoop" not in plan(name)
