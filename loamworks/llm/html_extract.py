@@ -198,6 +198,8 @@ def _section(lines: list[tuple], content: np.ndarray, share: float = 0.9) -> tup
 def _threshold(values: np.ndarray) -> float:
     """Midway between two cluster centers (one-dimensional 2-means from the extremes); the least value if all are equal."""
     low, high = float(values.min()), float(values.max())
+    if high - low <= 1e-9 * high:
+        return low
     for _ in range(50):
         cut = (low + high) / 2
         a, b = values[values < cut], values[values >= cut]
@@ -205,7 +207,7 @@ def _threshold(values: np.ndarray) -> float:
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2 if high > low else low
+    return (low + high) / 2
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
