@@ -65,12 +65,12 @@ class _Events(HTMLParser):
         del self.stack[n:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in BLOCK:
+            self._flush()
         self.tags += not self._outside()
         if tag == "br":
             self.parts.append(" ")
             return
-        if tag in BLOCK:
-            self._flush()
         if tag in VOID:
             return
         if tag in CLOSES_P:
