@@ -27,7 +27,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, keeps the document with the least doc_id; rows with a null doc_id that have no named copy stay."""
-    found = simhash.classes(docs, width=5)
+    found = simhash.classes(docs, width=5, similarity=0.8)
     lose = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(lose, "doc_id", "left_anti").select(*docs.columns)
 

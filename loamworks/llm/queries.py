@@ -38,8 +38,8 @@ def query(sql: str | None = None):
 @query()
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose fingerprints of 3-word shingles link at 2 differing bits or fewer."""
-    found = simhash.classes(table(spark, sf_dir, "documents"), width=3, radius=2)
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = simhash.classes(table(spark, sf_dir, "documents"), width=3, radius=2, words=1)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 @query()

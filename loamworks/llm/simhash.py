@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -16,107 +17,158 @@ from loamworks.llm.shared import materialize, spanning_edges
 
 #: Fingerprints in a tile, about.
 TILE = 1024
-QUARTER = 0xFFFF
-_BITS_AT_ONCE = 1 << 16
+SEED = 42
+_AT_ONCE, _RUN = 1 << 15, 128
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash, as a signed integer, of the word shingles of a text.
+def fingerprint(text: str | None, width: int = 3, words: int = 1) -> tuple[bytes, int]:
+    """The SimHash of 64 bits a word of the word shingles of a text, big-endian, and the number of shingles.
 
     A-Z are lower-cased, words are runs without ASCII white space, shingles are ``width`` words joined by spaces, repeats included.
-    Fewer words: the whole sequence is the one shingle. None (null, empty or blank text): 0.
+    Fewer words: the whole sequence is the one shingle. None (null, empty or blank text): zeros. A bit is set if it is in over half of the
+    shingles' hashes: XXH64 with seed 42, and for further words the seeds that follow.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= width:
-        digests = [xxh64_digest(joined, seed)]
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return bytes(8 * words), 0
+    joined = b" ".join(tokens)
+    if len(tokens) <= width:
+        pieces = [joined]
     else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = (ends - [len(w) for w in words]).tolist()
-        pieces = [joined[a:b] for a, b in zip(starts, ends[width - 1 :].tolist())]
-        digests = list(map(xxh64_digest, pieces, repeat(seed)))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(digests), _BITS_AT_ONCE):
-        some = np.frombuffer(b"".join(digests[i : i + _BITS_AT_ONCE]), np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(some, axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(digests)).tobytes(), "big", signed=True)
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id_col, fp bigint) for every row, repeats and null ids included."""
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ends = np.cumsum(sizes + 1) - 1
+        pieces = [joined[a:b] for a, b in zip((ends - sizes).tolist(), ends[width - 1 :].tolist())]
+    out = []
+    for seed in range(SEED, SEED + words):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(pieces), _AT_ONCE):
+            raw = b"".join(map(xxh64_digest, pieces[i : i + _AT_ONCE], repeat(seed)))
+            raw += bytes(-len(raw) % (8 * _RUN))  # whole runs: counts in a run fit a byte, which adds fast
+            runs = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, _RUN, 64)
+            ones += np.add.reduce(runs, axis=1, dtype=np.uint8).sum(0, dtype=np.int64)
+        out.append(np.packbits(ones * 2 > len(pieces)).tobytes())
+    return b"".join(out), len(pieces)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
+    """(id_col, fp binary, shingles bigint) for every row, repeats and null ids included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(x.as_py(), width) for x in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=[id_col, "fp"])
+            found = [fingerprint(x.as_py(), width, words) for x in batch.column(1)]
+            columns = [batch.column(0), pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "fp", "shingles"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp binary, shingles bigint")
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+def radius_of(similarity: float, bits: int, deviations: float = 1.5) -> int:
+    """Differing bits that pairs of texts of one length and that Jaccard similarity of shingles stay within, all but those beyond the deviations.
+
+    The share of differing bits is the angle between the texts' shingle counts over pi, whose cosine is 2 s / (1 + s).
+    """
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return ceil(bits * share + deviations * sqrt(bits * share * (1 - share)))
 
 
-def _offsets(radius: int) -> list[int]:
-    """Differences of two cells within the radius, each pair of cells from one side only."""
-    found = []
-    span = range(-radius, radius + 1)
-    for d in np.array(np.meshgrid(span, span, span, span)).T.reshape(-1, 4).tolist():
-        if sum(map(abs, d)) <= radius and tuple(d) >= (0, 0, 0, 0):
-            found.append(d[0] * 32**3 + d[1] * 32**2 + d[2] * 32 + d[3])
-    return found
+def _matrix(values: pa.Array) -> np.ndarray:
+    """Equally long binaries as rows of unsigned 64-bit numbers."""
+    flat = b"".join(values.to_pylist())
+    return np.frombuffer(flat, np.uint64).reshape(len(values), -1)
 
 
-def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect all that differ in at most ``radius`` bits.
+def _cells(fps: np.ndarray, shingles: np.ndarray, radius: int, similarity: float | None) -> np.ndarray:
+    """A number for each fingerprint, such that those within the radius differ by one of ``_steps``.
 
-    Tiles hold the fingerprints of one cell: the population counts of the four 16-bit quarters. Counts of two fingerprints within the
-    radius differ by no more than the radius, summed over the quarters; tile pairs beyond are never built. The others are
-    compared in full with exclusive-or and bit counts, and each gives a spanning forest of its links, so a large group of near copies
-    yields no more edges than rows.
+    Small radius: the population counts of the four quarters, in 5 bits each (a quarter has 16 bits). Else the band of the whole population count, bands
+    being wider than the radius. Given a similarity, the band of the number of shingles too: counts of similar texts are no further apart
+    than the similarity as a factor.
     """
-    cell = sum((F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(QUARTER))).cast("int") * 32**i for i in range(4)), F.lit(0))
-    distinct = fps.select("fp", cell.alias("cell"))
-    # at most 17^4 cells: that bounds what is broadcast
+    if radius <= 3 and fps.shape[1] == 1:
+        parts = np.bitwise_count(fps.view(np.uint16)).astype(np.int64)
+        return parts @ (32 ** np.arange(parts.shape[1]))
+    band = np.bitwise_count(fps).sum(1, dtype=np.int64) // (radius + 1)
+    size = 0 if similarity is None else np.floor(np.log(np.maximum(shingles, 1)) / log(1 / similarity)).astype(np.int64)
+    return (size + 1) * 1024 + band
+
+
+def _steps(radius: int, words: int) -> list[int]:
+    """Differences of the cells of fingerprints that may be within the radius, each pair of cells from one side only."""
+    if radius <= 3 and words == 1:
+        span = range(-radius, radius + 1)
+        near = [d for d in np.array(np.meshgrid(*[span] * 4)).T.reshape(-1, 4).tolist() if sum(map(abs, d)) <= radius and tuple(d) >= (0, 0, 0, 0)]
+        return [sum(x * 32**k for k, x in enumerate(d[::-1])) for d in near]
+    return [0, 1, 1023, 1024, 1025]
+
+
+def links(nodes: DataFrame, radius: int = 2, words: int = 1, similarity: float | None = None, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between the nodes of distinct fingerprints that connect all that differ in at most ``radius`` bits.
+
+    nodes: node bigint, fp binary, shingles bigint. Tiles hold fingerprints of one cell, see ``_cells``: pairs of tiles whose population counts differ
+    beyond the radius are never built. The others are compared in full with exclusive-or and bit counts, and each gives a spanning forest of
+    its links, so a large group of near copies yields no more edges than rows. The work is quadratic within neighbouring cells.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = _cells(_matrix(batch.column(1)), batch.column(2).to_numpy(), radius, similarity)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.int64())], names=["node", "fp", "cell"])
+
+    distinct = nodes.select("node", "fp", "shingles").mapInArrow(place, "node bigint, fp binary, cell bigint")
+    # a row a cell: at most 17^4 cells of quarters, or a few hundred of bands
     sizes = distinct.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("slots"))
-    placed = distinct.join(F.broadcast(sizes), "cell").withColumn("slot", F.pmod(F.xxhash64("fp"), F.col("slots")).cast("int"))
-    tiles = materialize(placed.groupBy("cell", "slot").agg(F.collect_list("fp").alias("fps")))
+    placed = distinct.join(F.broadcast(sizes), "cell").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
+    tiles = materialize(placed.groupBy("cell", "slot").agg(F.collect_list("node").alias("ids"), F.collect_list("fp").alias("fps")))
     left = tiles.select(
-        F.col("cell").alias("own"), F.col("slot").alias("own_slot"), F.col("fps").alias("left"),
-        F.explode(F.array(*[F.col("cell") + d for d in _offsets(radius)])).alias("cell"),
+        F.col("cell").alias("own"), F.col("slot").alias("own_slot"), F.col("ids").alias("left_ids"), F.col("fps").alias("left_fps"),
+        F.explode(F.array(*[F.col("cell") + d for d in _steps(radius, words)])).alias("cell"),
     )
-    pairs = left.join(tiles, "cell").filter("own <> cell OR own_slot <= slot").select("left", "fps")
+    pairs = left.join(tiles, "cell").filter("own <> cell OR own_slot <= slot").select("left_ids", "left_fps", "ids", "fps")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[np.ndarray] = []
-            both = [batch.column(k) for k in range(2)]
-            at = [x.offsets.to_numpy() for x in both]
-            flat = [x.values.to_numpy(zero_copy_only=False) for x in both]
             for i in range(batch.num_rows):
-                x, y = (flat[k][at[k][i] : at[k][i + 1]] for k in range(2))
-                near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
-                p, q = np.nonzero(near)
+                ids, other = (batch.column(k)[i].values.to_numpy() for k in (0, 2))
+                x, y = (_matrix(batch.column(k)[i].values) for k in (1, 3))
+                p, q = [], []
+                for lo in range(0, len(x), 128):
+                    away = np.zeros((len(x[lo : lo + 128]), len(y)), np.uint16)
+                    for k in range(words):
+                        away += np.bitwise_count(x[lo : lo + 128, None, k] ^ y[None, :, k])
+                    a, b = np.nonzero(away <= radius)
+                    p.append(a + lo)
+                    q.append(b)
+                p, q = np.concatenate(p), np.concatenate(q)
                 if not len(p):
                     continue
-                nodes, inverse = np.unique(np.concatenate([x, y]), return_inverse=True)
-                a, b = spanning_edges(inverse[p], inverse[len(x) + q], len(nodes))
+                nodes_, inverse = np.unique(np.concatenate([ids, other]), return_inverse=True)
+                a, b = spanning_edges(inverse[p], inverse[len(x) + q], len(nodes_))
                 if len(a):
-                    out.append(np.stack([nodes[a], nodes[b]]))
+                    out.append(np.stack([nodes_[a], nodes_[b]]))
             found = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
 
     return pairs.mapInArrow(compare, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """(id_col, fp bigint, component_id) for every row of ``docs``.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int | None = None, words: int = 4, similarity: float = 0.8) -> DataFrame:
+    """(id_col, fp binary, component_id) for every row of ``docs``.
 
-    component_id is the least id reachable over links of at most ``radius`` differing bits, the row's own id included. Texts that are
-    null, empty or blank share fingerprint 0 and link like any other. Rows with a null id link too, but only non-null ids name a
-    class: a class of null ids alone has a null component_id. Other columns of ``docs`` are not read. No rows give no rows.
+    Fingerprints of ``words`` times 64 bits link within ``radius`` differing bits; by default, those of texts whose shingles are as similar as
+    ``similarity`` or more, and whose numbers of shingles are no further apart than that similarity allows. component_id is the least id reachable
+    over links, the row's own id included. Texts that are null, empty or blank share fingerprint 0 and link like any other. Rows with a null
+    id link too, but only non-null ids name a class: a class of null ids alone has a null component_id. Other columns of ``docs`` are not read. No
+    rows give no rows.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, width))
-    least = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = connected_components(links(least, radius))
-    named = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    fps = materialize(fingerprints(docs, id_col, text_col, width, words))
+    # equal fingerprints are one node, whose number of shingles is the least among them: sizes only bound the search
+    keys = ["fp"] if radius is not None else ["fp", "shingles"]
+    count = [] if "shingles" in keys else [F.min("shingles").alias("shingles")]
+    nodes = materialize(fps.groupBy(*keys).agg(F.min(id_col).alias("least"), *count).withColumn("node", F.monotonically_increasing_id()))
+    found = links(nodes, radius, words) if radius is not None else links(nodes, radius_of(similarity, 64 * words), words, similarity)
+    roots = connected_components(found)
+    named = nodes.select("node", *keys, "least").join(roots, "node", "left").select(*keys, "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(materialize(named.join(names, "root").select("fp", "component_id")), "fp").select(id_col, "fp", "component_id")
+    return fps.join(materialize(named.join(names, "root").select(*keys, "component_id")), keys).select(id_col, "fp", "component_id")

@@ -57,16 +57,39 @@ def test_simhash(spark, sf, docs):
     assert [got[i][1] for i in ids] == [ids[r] for r in roots(len(ids), links)]
 
 
-def test_simhash_chain_of_near_fingerprints(spark):
+@pytest.mark.parametrize("words,radius", [(1, 2), (1, 9), (4, 30)])
+def test_simhash_links(spark, words, radius):
     rng = np.random.default_rng(5)
-    base = rng.integers(-(2**63), 2**63 - 1, 300)
-    near = np.concatenate([base, *[base[:100] ^ (np.int64(1) << np.int64(k)) ^ (np.int64(1) << np.int64(k + 3)) for k in (0, 15, 31, 47, 60)]])
-    fps = spark.createDataFrame([(int(x),) for x in np.unique(near)], "fp bigint")
-    values = np.unique(near)
-    want = roots(len(values), [(i, j) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values[i] ^ values[:i]) <= 2)])
-    found = simhash.connected_components(simhash.links(fps, 2, tile=16))
-    got = {r["node"]: r["root"] for r in found.collect()}
-    assert all(got.get(int(v), int(v)) == int(values[want[i]]) for i, v in enumerate(values))
+    base = rng.integers(0, 2**64 - 1, (300, words), np.uint64)
+    near = [base]
+    for k in (0, 15, 31, 47, 60):
+        moved = base[:100].copy()
+        for j in range(max(1, radius // 2)):
+            moved[:, j % words] ^= np.uint64(1) << np.uint64((k + 7 * j) % 64)
+        near.append(moved)
+    values = np.unique(np.concatenate(near), axis=0)
+    rows = [(i, v.tobytes(), 100) for i, v in enumerate(values)]
+    want = roots(len(values), [(i, j) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values[i] ^ values[:i]).sum(1) <= radius)])
+    nodes = spark.createDataFrame(rows, "node bigint, fp binary, shingles bigint")
+    got = {r["node"]: r["root"] for r in simhash.connected_components(simhash.links(nodes, radius, words, tile=16)).collect()}
+    assert [got.get(i, i) for i in range(len(values))] == want
+
+
+def test_simhash_finds_similar_texts(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, truth = [], {}
+    for g in range(40):
+        words = rng.choice(vocabulary, 60 + 20 * g).tolist()
+        for k in range(3):
+            copy = list(words)
+            for at in rng.choice(len(words), k * len(words) // 100, replace=False):  # each changes five shingles at most
+                copy[at] = "changed"
+            truth[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(truth[i] == truth[c] for i, c in got.items())
+    assert sum(c == min(j for j in truth if truth[j] == truth[i]) for i, c in got.items()) >= 0.98 * len(rows)
 
 
 def test_vectors(spark, sf):
@@ -263,6 +286,17 @@ def test_pipeline(spark, sf, docs):
     common = {k: max(v) for k, v in holders.items() if len(v) >= 5}
     kept = {i: "\n".join(x for x in t.split("\n") if common.get(key(x), i) == i) for i, t in kept.items()}
     ids = sorted(kept)
-    prints = [plain_simhash(kept[i], 5) for i in ids]
-    found = roots(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    prints, sizes = [], []
+    for i in ids:
+        words = WORD.findall(kept[i].translate(LOWER))
+        shingles = [" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+        bits = np.zeros(256, int)
+        for s in shingles:
+            bits += np.unpackbits(np.frombuffer(b"".join(xxhash.xxh64_digest(s.encode(), seed) for seed in (42, 43, 44, 45)), np.uint8))
+        prints.append(np.packbits(2 * bits > len(shingles)).view(np.uint64))
+        sizes.append(max(1, len(shingles)))
+    prints, near = np.array(prints), simhash.radius_of(0.8, 256)
+    close = lambda a: np.flatnonzero(np.bitwise_count(prints[a] ^ prints[:a]).sum(1) <= near)
+    band = np.floor(np.log(sizes) / np.log(1.25))
+    found = roots(len(ids), [(a, b) for a in range(len(ids)) for b in close(a) if abs(band[a] - band[b]) <= 1])
     assert sorted(set(packed["doc_id"])) == [i for k, i in enumerate(ids) if found[k] == k]
