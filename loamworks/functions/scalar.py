@@ -109,3 +109,35 @@ def strip_html(c: Column) -> Column:
 def env_key(m: Column) -> Column:
     """k=v of a map, sorted by key, joined by semicolons."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+
+
+def slug(c: Column) -> Column:
+    """Lower-case letters and digits, joined by hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def excerpt(c: Column, n: int) -> Column:
+    """Text without Markdown marks, cut to n characters with an ellipsis."""
+    c = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    c = collapse_spaces(F.regexp_replace(c, r"[`*_>#|]+", " "))
+    return F.when(F.length(c) > n, F.concat(F.rtrim(F.substring(c, 1, n - 1)), F.lit("…"))).otherwise(c)
+
+
+def price(c: Column, decimal_comma: Column) -> Column:
+    """A price with grouped digits, by whether the country writes a decimal comma; null if it is not one price."""
+    text = F.regexp_replace(c, r"[^\d.,-]", "")
+    plain = F.when(decimal_comma, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(text, F.lit(","), F.lit("")))
+    grouped = F.when(decimal_comma, text.rlike(r"^\d{1,3}(\.\d{3})*(,\d{1,2})?$|^\d+(,\d{1,2})?$")).otherwise(text.rlike(r"^\d{1,3}(,\d{3})*(\.\d{1,2})?$|^\d+(\.\d{1,2})?$"))
+    return F.when(grouped, plain.try_cast("double"))
+
+
+def network(ip: Column) -> Column:
+    """The /24 of an IPv4 address, the first three groups of an IPv6 one."""
+    return F.when(ip.contains(":"), F.concat(F.substring_index(ip, ":", 3), F.lit("::/48"))).otherwise(F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24")))
+
+
+def hangul_parts(code: Column) -> Column:
+    """struct(initial, medial, final) of a composed syllable's code point, by position in the standard's tables; null for others."""
+    at = code - 0xAC00
+    parts = F.struct(F.floor(at / 588).cast("int").alias("initial"), F.floor(F.pmod(at, F.lit(588)) / 28).cast("int").alias("medial"), F.pmod(at, F.lit(28)).cast("int").alias("final"))
+    return F.when(code.between(0xAC00, 0xD7A3), parts)
