@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def settle(df: DataFrame) -> DataFrame:
     """Writes a frame to the session's shared folder and reads it back, so that a loop's lineage stays short and executors can be lost."""
     folder = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{folder}/loamworks-loop/{uuid.uuid4().hex}"
+    path = f"{folder}/loamworks/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
