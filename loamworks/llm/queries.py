@@ -42,7 +42,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-@query()
+@query(
+    """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+    w AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT l.b, w.c FROM w JOIN l ON w.id = l.a)
+    SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, min(w.c) AS component_id, e.vec_id = min(w.c) AS kept FROM embeddings e JOIN w ON e.vec_id = w.id GROUP BY e.vec_id"""
+)
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of vectors linked at a cosine of 0.95 or more."""
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
