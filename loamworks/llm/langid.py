@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: n-grams kept of a language and of a document, and the labelled documents of each language that the profiles are fitted on, about.
 PROFILE, DOC_GRAMS, SAMPLE = 500, 400, 4000
+#: Labels, at most: their counts and profiles reach the driver.
+LABELS = 2000
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _SPACE = ord(" ")
@@ -47,9 +49,14 @@ def profiles(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE, id_col:
     counted is bounded; what reaches the driver is ``size`` n-grams a label.
     """
     known = docs.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    share = known.groupBy("label").agg((F.lit(float(sample)) / F.count("*")).alias("share"))  # a row a label
+    sizes = known.groupBy("label").agg(F.count("*").alias("n")).limit(LABELS + 1).collect()
+    if len(sizes) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    if not sizes:
+        return {}
+    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["label"], sample / r["n"])])
     chance = F.pmod(F.xxhash64("id", F.lit("profile")), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.join(share, "label").filter(chance < F.col("share")).select("label", "text")
+    picked = known.filter(chance < F.element_at(share, F.col("label"))).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -171,9 +171,9 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, end_id: in
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     rows = docs.sparkSession.createDataFrame(plan(counts, capacity), "length bigint, low bigint, high bigint, per_bin bigint, bin bigint, place bigint")
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("length", "_salt", F.coalesce("before", F.lit(0)).alias("before"))  # at most capacity times SALTS rows
+    before = before.select("length", "_salt", F.coalesce("before", F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "_salt").orderBy("ids_crc32", id_col, "piece", "start")
-    ranked = pieces.withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(before), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("before"))
+    ranked = pieces.withColumn("_rank", F.row_number().over(order) - 1).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("before"))
     placed = ranked.join(F.broadcast(rows), "length").filter("_rank >= low AND _rank < high")  # a few rows a length
     nth = F.col("_rank") - F.col("low")
     return placed.select(

@@ -14,7 +14,7 @@ from loamworks.llm.shared import Memo, worker_store
 
 MARK = "▁"  # stands for a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the model's format
-MEMO, PAIRS, LONGEST = 150_000, 200_000, 64
+MEMO, PAIRS, LONGEST = 300_000, 200_000, 64
 
 
 def read_model(path: str) -> dict:
@@ -68,6 +68,8 @@ class PieceCodec:
             self.shorter[k] = next((token[t[:m]] for m in range(len(t) - 1, 0, -1) if t[:m] in token and reachable[token[t[:m]]]), -1)
         self.size = [len(t) for t in self.text]
         self.ids = [[normal[t][0]] if t in normal else [self.bytes[b] for b in t.encode()] for t in self.text]
+        self.listed = [",".join(map(str, ids)) for ids in self.ids]
+        self.spelled = [self.decode_marked(ids).replace(MARK, " ") for ids in self.ids]
         self.fits = Memo(lambda ab: self.compatible(*ab), PAIRS)
         self.spaced = Memo(lambda w: self._render(MARK + w), MEMO)
         self.plain = Memo(self._render, MEMO // 4)
@@ -95,26 +97,27 @@ class PieceCodec:
 
     def _word(self, text: str) -> list[int]:
         """Tokens of a text of known characters without runs of spaces, by backtracking over longest matches."""
-        longest = [-1] * len(text)
-        for end, (k, n) in self.auto.iter(text):
-            longest[end - n + 1] = k  # ends ascend, so the longest match from a place is the last
-        open_ = (1 << (len(text) + 1)) - 1  # bit i: no failure known at place i
+        size, shorter, fits, n = self.size, self.shorter, self.fits, len(text)
+        longest = [-1] * n
+        for end, (k, length) in self.auto.iter(text):
+            longest[end - length + 1] = k  # ends ascend, so the longest match from a place is the last
+        open_ = (1 << (n + 1)) - 1  # bit i: no failure known at place i
         out: list[int] = []
-        at, k = 0, longest[0] if text else -1
-        while at < len(text):
+        at, k = 0, longest[0] if n else -1
+        while at < n:
             while k >= 0:
-                end = at + self.size[k]
-                if open_ >> end & 1 and (not out or self.fits[out[-1], k]):
+                end = at + size[k]
+                if open_ >> end & 1 and (not out or fits[out[-1], k]):
                     break
-                k = self.shorter[k]
+                k = shorter[k]
             if k >= 0:
                 out.append(k)
                 at = end
-                k = longest[at] if at < len(text) else -1
+                k = longest[at] if at < n else -1
             else:
                 open_ &= ~(1 << at)
                 k = out.pop()
-                at -= self.size[k]
+                at -= size[k]
         return out
 
     def _run(self, n: int) -> list[int]:
@@ -185,12 +188,15 @@ class PieceCodec:
         text = self.decode_marked(ids).replace(MARK, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
-    def _render(self, marked: str) -> tuple[str, int, str]:
+    def _render(self, marked: str) -> tuple[str, str]:
+        if self.chars.issuperset(marked) and marked.rfind(MARK) <= 0 and marked != MARK:
+            tokens = self._word(marked)
+            return ",".join([self.listed[k] for k in tokens]), "".join([self.spelled[k] for k in tokens])
         ids = self.encode_marked(marked)
-        return ",".join(map(str, ids)), len(ids), self.decode_marked(ids).replace(MARK, " ")
+        return ",".join(map(str, ids)), self.decode_marked(ids).replace(MARK, " ")
 
-    def rendered(self, text: str) -> list[tuple[str, int, str]]:
-        """(comma-joined ids, their number, decoded text) of parts of a text that no piece spans; words are remembered.
+    def rendered(self, text: str) -> list[tuple[str, str]]:
+        """(comma-joined ids, decoded text) of parts of a text that no piece spans; words are remembered.
 
         Pieces hold a mark only at their start, and no piece holds a line feed: parts end before spaces and around line feeds.
         """
@@ -236,8 +242,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             for x in batch.column(1):
                 parts = codec.rendered(x.as_py() or "")
                 joined = ",".join([p[0] for p in parts])
-                text = "".join([p[2] for p in parts])
-                n.append(sum([p[1] for p in parts]))
+                text = "".join([p[1] for p in parts])
+                n.append(joined.count(",") + 1 if joined else 0)
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 back.append(hashlib.sha256((text[1:] if codec.prefix and text[:1] == " " else text).encode()).hexdigest())
                 if with_ids:
