@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from loamworks.llm.shared import materialize, release
 
 
-def _star(pairs: DataFrame, keep_center: bool) -> DataFrame:
-    """``pairs`` (u, v): every v of a u is tied to the least of u and its vs."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    tied = pairs.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    if keep_center:
-        tied = tied.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return tied.filter("a <> b").distinct()
+def _least(pairs: DataFrame) -> DataFrame:
+    """(u, m) of ``pairs`` (u, v): the least of u and its vs.
+
+    Written, so that a join with it shuffles both sides as they are read, which lets adaptive execution split a u that many pairs hold.
+    """
+    return materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node that each node with an edge can reach.
 
     edges: columns a and b, of one integer type; loops, repeats and nulls are ignored. No rows give no rows.
-    Each round is two shuffles over at most the edges there were, and is written to the shared folder, so lineage stays short
+    Each round joins at most the edges there were with their least ends, and is written to the shared folder, so lineage stays short
     and a lost executor repeats one round at most. Raises RuntimeError if ``rounds`` don't suffice.
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -35,9 +34,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = found
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # large star: each larger neighbour goes to the least one; only those pairs are carried, the least is taken over all
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        after = materialize(_star(large, keep_center=True))
-        release(now)
+        least = _least(both)
+        large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        # small star: a node and its smaller neighbours go to the least of them
+        lower = _least(large)
+        tied = large.join(lower, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(lower.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        after = materialize(tied.filter("a <> b").distinct())
+        for used in (now, least, large, lower):
+            release(used)
         now = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")
