@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loamworks.functions import pandas_udfs, scalar
-from loamworks.operators import graph, relational, search, sequences, temporal, traffic
+from loamworks.functions import colour, pandas_udfs, scalar
+from loamworks.operators import boards, graph, relational, search, sequences, temporal, traffic
 
 
 def one(spark, column, **values):
@@ -179,3 +179,35 @@ def test_plans_push_down_and_stay_off_products(spark, sf):
     assert "EqualTo(o_orderstatus,O)" in plan("anti_unconfirmed") and "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string>" in plan("anti_unconfirmed")
     for name in ("or_join_union", "asof_latest", "two_hop"):
         assert "CartesianProduct" not in plan(name) and "NestedLoop" not in plan(name)
+
+
+def test_search_intent_takes_the_first_word_only_if_others_remain(spark):
+    rows = [("GPT Price status",), ("가격",), ("  Claude   장애 ",), ("nothing here",), ("",), (None,)]
+    intent, rest = boards.search_intent(F.col("q"))
+    got = [tuple(r) for r in spark.createDataFrame(rows, "q string").select(intent.alias("i"), rest.alias("r")).collect()]
+    assert got == [("price", "GPT status"), (None, ""), ("status", "Claude"), (None, "nothing here"), (None, ""), (None, None)]
+
+
+def test_evidence_confidence(spark):
+    day = 86_400_000
+    rows = [("a", 990 * day, 6), ("a", 900 * day, 2), ("b", 990 * day, 5), ("c", 100 * day, 7), ("d", 1001 * day, 7), ("d", None, 7), ("e", 999 * day, None), ("f", 990 * day, 3)]
+    got = {r["k"]: (r["n"], r["age_days"], r["stale"], r["confidence"]) for r in boards.evidence_confidence(spark.createDataFrame(rows, "k string, ms long, rank int"), "k", "ms", "rank", 1000 * day).collect()}
+    assert got == {"a": (2, 100, False, "HIGH"), "b": (1, 10, False, "MEDIUM"), "c": (1, 900, True, "LOW"), "d": (0, None, True, "LOW"), "e": (0, None, True, "LOW"), "f": (1, 10, False, "LOW")}
+
+
+def test_merge_ordered_and_next_content(spark):
+    lists = spark.createDataFrame([(["b", "a"], ["c", "a", "c"]), (None, ["x"]), (["x"], None)], "s array<string>, i array<string>")
+    assert [r[0] for r in lists.select(boards.merge_ordered(F.col("s"), F.col("i"))).collect()] == [["b", "a", "c"], ["x"], ["x"]]
+    pages = spark.createDataFrame([("t", 1, "/a"), ("u", 2, "/b"), (None, 2, "/0")], "cluster string, priority int, route string")
+    found = boards.next_content(pages, "cluster", "priority", "route", pages.filter("cluster = 't'")).collect()
+    assert [(r["route"], r["penalty"]) for r in found] == [("/0", 0), ("/b", 0), ("/a", 1)]
+
+
+def test_colours_and_shapes(spark):
+    rows = spark.createDataFrame([(1.0, 1.0, 1.0), (0.0, 0.0, 0.0), (None, 0.0, 0.0)], "r double, g double, b double")
+    light = [r[0] for r in rows.select(colour.oklab(F.col("r"), F.col("g"), F.col("b"))[0]).collect()]
+    assert abs(light[0] - 1) < 1e-6 and light[1] == 0 and light[2] is None
+    one = rows.limit(1).select(colour.contrast(colour.luminance(*[F.lit(1.0)] * 3), colour.luminance(*[F.lit(0.0)] * 3))).first()[0]
+    assert abs(one - 21) < 1e-9
+    shapes = spark.createDataFrame([([0.0, 2.0, 2.0, 0.0], [0.0, 0.0, 3.0, 3.0]), ([0.0, 1.0], [0.0, 1.0])], "x array<double>, y array<double>")
+    assert [r[0] for r in shapes.select(colour.polygon_area(F.col("x"), F.col("y"))).collect()] == [6.0, 0.0]
