@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp binary, shingles bigint")
 
 
-def radius_of(similarity: float, bits: int, deviations: float = 1.5) -> int:
+def radius_of(similarity: float, bits: int, deviations: float = 2.0) -> int:
     """Differing bits that pairs of texts of one length and that Jaccard similarity of shingles stay within, all but those beyond the deviations.
 
     The share of differing bits is the angle between the texts' shingle counts over pi, whose cosine is 2 s / (1 + s).
