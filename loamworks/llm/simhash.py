@@ -1,4 +1,4 @@
-"""SimHash fingerprints of whole texts and their near-duplicate classes, by tiled exact comparison."""
+"""SimHash fingerprints of whole texts and their near-duplicate classes, by tiled exact comparison of fingerprints or, within what they find, of texts."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_digest
+from xxhash import xxh3_128_digest, xxh64_digest
 
 from loamworks.llm.components import connected_components
 from loamworks.llm.shared import materialize, spanning_edges
@@ -19,6 +19,21 @@ from loamworks.llm.shared import materialize, spanning_edges
 TILE = 1024
 SEED = 42
 _AT_ONCE, _RUN = 1 << 15, 128
+#: Texts in a tile of a family, about, and their shingles.
+FAMILY_TILE, FAMILY_SHINGLES = 512, 1_000_000
+
+
+def shingles_of(text: str | None, width: int) -> list[bytes]:
+    """The word shingles of a text in order, repeats included, see ``fingerprint``."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return []
+    joined = b" ".join(tokens)
+    if len(tokens) <= width:
+        return [joined]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes + 1) - 1
+    return [joined[a:b] for a, b in zip((ends - sizes).tolist(), ends[width - 1 :].tolist())]
 
 
 def fingerprint(text: str | None, width: int = 3, words: int = 1) -> tuple[bytes, int]:
@@ -28,16 +43,12 @@ def fingerprint(text: str | None, width: int = 3, words: int = 1) -> tuple[bytes
     Fewer words: the whole sequence is the one shingle. None (null, empty or blank text): zeros. A bit is set if it is in over half of the
     shingles' hashes: XXH64 with seed 42, and for further words the seeds that follow.
     """
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
+    return _bits(shingles_of(text, width), words)
+
+
+def _bits(pieces: list[bytes], words: int) -> tuple[bytes, int]:
+    if not pieces:
         return bytes(8 * words), 0
-    joined = b" ".join(tokens)
-    if len(tokens) <= width:
-        pieces = [joined]
-    else:
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ends = np.cumsum(sizes + 1) - 1
-        pieces = [joined[a:b] for a, b in zip((ends - sizes).tolist(), ends[width - 1 :].tolist())]
     out = []
     for seed in range(SEED, SEED + words):
         ones = np.zeros(64, np.int64)
@@ -62,6 +73,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp binary, shingles bigint")
 
 
+def set_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, words: int) -> DataFrame:
+    """(id_col, own, fp binary, shingles bigint, same binary) for every row: fingerprint and number of the distinct shingles.
+
+    own: a hash of the text; same: a hash of 128 bits that texts of the same set of shingles share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (sorted(set(shingles_of(x.as_py(), width))) for x in batch.column(2))
+            found = [(*_bits(x, words), xxh3_128_digest(b"\n".join(x))) for x in sets]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[id_col, "own", "fp", "shingles", "same"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.md5(text_col).alias("own"), text_col).mapInArrow(run, f"`{id_col}` {kind}, own string, fp binary, shingles bigint, same binary")
+
+
 def radius_of(similarity: float, bits: int, deviations: float = 2.0) -> int:
     """Differing bits that pairs of texts of one length and that Jaccard similarity of shingles stay within, all but those beyond the deviations.
 
@@ -156,19 +184,102 @@ def links(nodes: DataFrame, radius: int = 2, words: int = 1, similarity: float |
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int | None = None, words: int = 4, similarity: float = 0.8) -> DataFrame:
     """(id_col, fp binary, component_id) for every row of ``docs``.
 
-    Fingerprints of ``words`` times 64 bits link within ``radius`` differing bits; by default, those of texts whose shingles are as similar as
-    ``similarity`` or more, and whose numbers of shingles are no further apart than that similarity allows. component_id is the least id reachable
-    over links, the row's own id included. Texts that are null, empty or blank share fingerprint 0 and link like any other. Rows with a null
+    With a ``radius``, fingerprints of ``words`` times 64 bits link within that many differing bits. By default, texts link whose sets of shingles
+    have a Jaccard similarity of ``similarity`` or more, exactly; the fingerprints, then of distinct shingles, find what to compare, see ``radius_of``. component_id
+    is the least id reachable over links, the row's own id included. Texts that are null, empty or blank have the same empty set and link. Rows with a null
     id link too, but only non-null ids name a class: a class of null ids alone has a null component_id. Other columns of ``docs`` are not read. No
     rows give no rows.
     """
+    if radius is None:
+        return _similar(docs, id_col, text_col, width, words, similarity)
     fps = materialize(fingerprints(docs, id_col, text_col, width, words))
-    # equal fingerprints are one node, whose number of shingles is the least among them: sizes only bound the search
-    keys = ["fp"] if radius is not None else ["fp", "shingles"]
-    count = [] if "shingles" in keys else [F.min("shingles").alias("shingles")]
-    nodes = materialize(fps.groupBy(*keys).agg(F.min(id_col).alias("least"), *count).withColumn("node", F.monotonically_increasing_id()))
-    found = links(nodes, radius, words) if radius is not None else links(nodes, radius_of(similarity, 64 * words), words, similarity)
+    # equal fingerprints are one node, whose number of shingles is the least among them
+    nodes = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("shingles").alias("shingles")).withColumn("node", F.monotonically_increasing_id()))
+    roots = connected_components(links(nodes, radius, words))
+    named = nodes.select("node", "fp", "least").join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(materialize(named.join(names, "root").select("fp", "component_id")), "fp").select(id_col, "fp", "component_id")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, similarity: float) -> DataFrame:
+    """``classes`` by exact similarity: fingerprints only find the families of texts that are compared."""
+    fps = materialize(set_fingerprints(docs, id_col, text_col, width, words))
+    # texts of the same set are one node
+    nodes = fps.groupBy("same").agg(
+        F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.min(id_col).alias("least"), F.min(F.struct(F.col(id_col).alias("id"), "own")).alias("one")
+    )
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
+    families = connected_components(links(nodes, radius_of(similarity, 64 * words), words, similarity)).withColumnRenamed("root", "family")
+    members = materialize(nodes.select("node", "shingles", "one").join(families, "node"))
+    found = verified_links(docs.select(F.col(id_col).alias("id"), F.md5(text_col).alias("own"), F.col(text_col).alias("text")), members, width, similarity)
     roots = connected_components(found)
-    named = nodes.select("node", *keys, "least").join(roots, "node", "left").select(*keys, "least", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", "same", "least").join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(materialize(named.join(names, "root").select(*keys, "component_id")), keys).select(id_col, "fp", "component_id")
+    return fps.join(materialize(named.join(names, "root").select("same", "component_id")), "same").select(id_col, "fp", "component_id")
+
+
+def verified_links(texts: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect, within each family, all nodes whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    texts: (id, own, text), own a hash of the text; members: (node, shingles, one (id, own), family). Sets are sorted XXH64 hashes of shingles. A family
+    is dealt into tiles, each two of which are compared as a row; nodes that are linked already are not compared again, and
+    a row gives a spanning forest of its links, so that a large group of near copies yields no more edges than nodes.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), width).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["node", "family", "hashes"])
+
+    wanted = members.select("node", "family", F.col("one.id").alias("id_"), F.col("one.own").alias("own_"))
+    # own is null where the text is
+    found = texts.join(wanted, texts.id.eqNullSafe(F.col("id_")) & texts.own.eqNullSafe(F.col("own_"))).select("node", "family", "text").dropDuplicates(["node"])
+    sets = found.mapInArrow(hashes, "node bigint, family bigint, hashes binary")
+    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / FAMILY_TILE, F.sum("shingles") / FAMILY_SHINGLES)).cast("int").alias("slots"))
+    placed = sets.join(sizes, "family").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
+    tiles = materialize(placed.groupBy("family", "slot", "slots").agg(F.collect_list("node").alias("ids"), F.collect_list("hashes").alias("sets")))
+    left = tiles.select("family", F.col("slot").alias("own_slot"), F.col("ids").alias("left_ids"), F.col("sets").alias("left_sets"), F.explode(F.sequence("slot", F.col("slots") - 1)).alias("slot"))
+    pairs = left.join(tiles.drop("slots"), ["family", "slot"]).select("left_ids", "left_sets", "ids", "sets", (F.col("own_slot") == F.col("slot")).alias("same"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for i in range(batch.num_rows):
+                ids, other = (batch.column(k)[i].values.to_numpy() for k in (0, 2))
+                x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(k)[i].values] for k in (1, 3))
+                for p, q in set_links(x, None if batch.column(4)[i].as_py() else y, similarity):
+                    a.append(ids[p])
+                    b.append(other[q])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return pairs.mapInArrow(compare, "a bigint, b bigint")
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted XXH64 hashes."""
+    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, shingles_of(text, width), repeat(SEED))), np.uint64))
+
+
+def set_links(x: list[np.ndarray], y: list[np.ndarray] | None, similarity: float) -> Iterator[tuple[int, int]]:
+    """(i, j) that connect all x[i] and y[j], or those of x where y is None, of a Jaccard similarity of ``similarity`` or more."""
+    own = y is None
+    y, base = (x, 0) if own else (y, len(x))
+    sizes = np.array([len(v) for v in y])
+    label = np.arange(len(y) + base)
+    for i, v in enumerate(x):
+        if not len(v):
+            continue
+        near = (label[base:] != label[i]) & (np.minimum(sizes, len(v)) >= similarity * np.maximum(sizes, len(v)) - 1e-6)
+        if own:
+            near[: i + 1] = False
+        near = np.flatnonzero(near)
+        if not len(near):
+            continue
+        flat = np.concatenate([y[j] for j in near])
+        hit = v[np.minimum(np.searchsorted(v, flat), len(v) - 1)] == flat
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+        near = near[both / (len(v) + sizes[near] - both) >= similarity]
+        if len(near):
+            labels, first = np.unique(label[base + near], return_index=True)
+            label[np.isin(label, labels)] = label[i]
+            yield from ((i, int(near[k])) for k in first)
