@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
-from math import acos, ceil, log, pi, sqrt
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +99,28 @@ def radius_of(similarity: float, bits: int, deviations: float = 2.0) -> int:
     return ceil(bits * share + deviations * sqrt(bits * share * (1 - share)))
 
 
+def search_radius(similarity: float, bits: int, deviations: float = 4.0) -> int:
+    """Differing bits within which texts are worth comparing: 4 deviations beyond what is expected of sets just as similar, of any size.
+
+    Small sets differ by more than the angle says, for ties: with 4 shingles in 5, 3 bits in 16.
+    """
+    share = max(acos(2 * similarity / (1 + similarity)) / pi, *(_small_share(n, x, similarity) for n in range(1, 65) for x in range(n + 1)))
+    return ceil(bits * share + deviations * sqrt(bits * share * (1 - share)))
+
+
+def _small_share(common: int, left: int, similarity: float) -> float:
+    """Share of differing bits of two sets with so many common shingles, ``left`` only in the one and as many in the other as the similarity allows."""
+    right = int(common / similarity + 1e-9) - common - left
+    if right < 0:
+        return 0.0
+    over = lambda n, k, size: sum(comb(n, j) for j in range(n + 1) if 2 * (k + j) > size) / 2**n
+    total = 0.0
+    for k in range(common + 1):
+        a, b = over(left, k, common + left), over(right, k, common + right)
+        total += comb(common, k) / 2**common * (a + b - 2 * a * b)
+    return total
+
+
 def _matrix(values: pa.Array) -> np.ndarray:
     """Equally long binaries as rows of unsigned 64-bit numbers."""
     flat = b"".join(values.to_pylist())
@@ -185,7 +207,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """(id_col, fp binary, component_id) for every row of ``docs``.
 
     With a ``radius``, fingerprints of ``words`` times 64 bits link within that many differing bits. By default, texts link whose sets of shingles
-    have a Jaccard similarity of ``similarity`` or more, exactly; the fingerprints, then of distinct shingles, find what to compare, see ``radius_of``. component_id
+    have a Jaccard similarity of ``similarity`` or more, exactly; the fingerprints, then of distinct shingles, find what to compare, see ``search_radius``. component_id
     is the least id reachable over links, the row's own id included. Texts that are null, empty or blank have the same empty set and link. Rows with a null
     id link too, but only non-null ids name a class: a class of null ids alone has a null component_id. Other columns of ``docs`` are not read. No
     rows give no rows.
@@ -209,7 +231,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int
         F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.min(id_col).alias("least"), F.min(F.struct(F.col(id_col).alias("id"), "own")).alias("one")
     )
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
-    families = connected_components(links(nodes, radius_of(similarity, 64 * words), words, similarity)).withColumnRenamed("root", "family")
+    families = connected_components(links(nodes, search_radius(similarity, 64 * words), words, similarity)).withColumnRenamed("root", "family")
     members = materialize(nodes.select("node", "shingles", "one").join(families, "node"))
     found = verified_links(docs.select(F.col(id_col).alias("id"), F.md5(text_col).alias("own"), F.col(text_col).alias("text")), members, width, similarity)
     roots = connected_components(found)

@@ -59,3 +59,20 @@ def test_given_documents_go_by_exact_similarity(spark, sf):
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     lower = [t.translate({i: i + 32 for i in range(65, 91)}) for t in texts]
     assert components(spark, texts) == least_ids(lower)
+
+
+@pytest.mark.parametrize("n", [8, 40, 300])
+def test_repeated_passages_are_no_difference(spark, n):
+    words = [f"w{i}" for i in range(n)]
+    once = " ".join(words)
+    texts = [once, once + " " + once, " ".join(words[: n // 2] * 4 + words[n // 2 :]), "another text of more than five words"]
+    assert components(spark, texts) == least_ids(texts)
+
+
+def test_short_texts_of_four_and_five_shingles_link(spark):
+    texts = []
+    for g in range(150):
+        words = [f"g{g}w{i}" for i in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]
+    got = components(spark, texts)
+    assert got == least_ids(texts) == [i - i % 2 for i in range(300)]
