@@ -33,11 +33,20 @@ def byte_ranks(vocabulary: bytes) -> dict[bytes, int]:
     return {bytes(char[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if token not in special}
 
 
+def added_tokens(vocabulary: bytes) -> dict[str, bytes]:
+    """Ids, as in ``ByteEncoder``, of added tokens by their strings; those that take neighbouring space or stand only alone are not supported."""
+    found = json.loads(vocabulary)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens with single_word, lstrip or rstrip are not supported")
+    return {t["content"]: int(t["id"]).to_bytes(4, "little") for t in found}
+
+
 class ByteEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers; words are remembered.
 
     No token spans the place before a space that a character other than white space follows, so parts between such places are
-    encoded on their own. Strings of special tokens are ordinary text.
+    encoded on their own. ``encode`` takes strings of added tokens as ordinary text; ``encode_added`` gives each its one id, as the tokenizers library
+    does by default.
     """
 
     def __init__(self, vocabulary: bytes):
@@ -45,10 +54,22 @@ class ByteEncoder:
 
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_ranks(vocabulary), special_tokens={})
         self.words = Memo(lambda w: self._ids(" " + w), MEMO)
+        self.added = added_tokens(vocabulary)
+        # of tokens that start at one place, the longest
+        self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
+    def encode_added(self, text: str) -> bytes:
+        if self._added is None:
+            return self.encode(text)
+        plain, *rest = self._added.split(text)
+        out = [self.encode(plain)]
+        for token, plain in zip(rest[::2], rest[1::2]):
+            out += [self.added[token], self.encode(plain)]
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -83,7 +104,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_i
             rows: list[tuple] = []
             lists = []
             for i, x in enumerate(batch.column(1)):
-                ids = encoder.encode(x.as_py() or "") + end
+                ids = encoder.encode_added(x.as_py() or "") + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
                     rows.append((i, k, start, length, zlib.crc32(part)))
