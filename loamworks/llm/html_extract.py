@@ -126,6 +126,12 @@ class _Events(HTMLParser):
     def _outside(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
 
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # an unknown marked section: a bogus comment up to the next >
+            return self.parse_bogus_comment(i)
+
     def finish(self) -> None:
         self.close()
         self._flush()

@@ -21,3 +21,10 @@ def test_extract(html, want):
 @pytest.mark.parametrize("html", [None, "", "<", "<![CDATA[", "<!ELEMENT", "&#xZZ;", "<p" * 1000, "</" * 500, "<div>" * 3000 + "x"])
 def test_odd_html(html):
     assert isinstance(extract(html), str)
+
+
+@pytest.mark.parametrize("odd", ["<![endif--]>", "<![foo[>", "<![ CDATA[>", "<![>", "<![foo[ x ]]>"])
+def test_text_after_an_unknown_marked_section_survives(odd):
+    got = extract(f"<article><p>Before it.</p>{odd}<p>After it, to the end.</p></article>")
+    assert got.startswith("Before it.") and got.endswith("After it, to the end.")
+    assert extract(f"{odd}<p>After it.</p>").endswith("After it.")
