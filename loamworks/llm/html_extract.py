@@ -152,7 +152,7 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
     Lines in menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are never content, by their element or
     its class, id or role. Of the others, text-to-tag ratios are smoothed with a Gaussian, and lines at the middle between the two clusters' centers or
     above are content. The innermost section that holds nearly all text of these lines, or the article or main element around it, is the article,
-    and all its lines are taken, with a heading just before it. Where only the page itself holds them, the article reaches from
+    and all its lines are taken, with content lines outside it in page order and a heading just before the first. Where only the page itself holds them, the article reaches from
     the first content line to the last. Null, empty or unparsable html gives ''.
     """
     if not html:
@@ -174,7 +174,7 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
         first, last = int(at[0]), int(at[-1])
         picked = [first <= i <= last for i in range(len(lines))]
     else:
-        picked = [section in x[3] for x in lines]
+        picked = [section in x[3] or bool(c) for x, c in zip(lines, content)]
         first = picked.index(True)
     if first and lines[first - 1][2]:
         picked[first - 1] = True

@@ -28,3 +28,11 @@ def test_text_after_an_unknown_marked_section_survives(odd):
     got = extract(f"<article><p>Before it.</p>{odd}<p>After it, to the end.</p></article>")
     assert got.startswith("Before it.") and got.endswith("After it, to the end.")
     assert extract(f"{odd}<p>After it.</p>").endswith("After it.")
+
+
+def test_content_outside_the_section_is_kept_in_page_order():
+    long = [f"Paragraph {i} of a long article, with many words in it so that it is surely taken as content by its ratio." for i in range(60)]
+    lead, end = "A lead paragraph in a division of its own, with many words. " * 3 + "Lead.", "A closing paragraph in another division, with many words. " * 3 + "End."
+    short = ["x", "y", "z", "x", "y"]
+    html = f"<body><div>{lead}</div><div>{''.join(f'<p>{x}</p>' for x in long + short)}</div><div>{end}</div></body>"
+    assert extract(html) == "\n\n".join([lead, *long, *short, end])
