@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 
 from loamworks.llm.shared import Memo, materialize, worker_store
 
-#: Rows of one length are ranked in so many groups, so that a length that many rows share is no single task's.
-SALTS = 256
+#: Rows of one length are ranked in so many groups at least, more where there are more than so many rows for each, so that a length that many rows
+#: share is no single task's.
+SALTS, SALT_ROWS = 256, 500_000
 MEMO, LONGEST = 200_000, 64
 #: Fixed value: how byte-level vocabularies split text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD_SPACE = re.compile(r" (?=\s|\Z)")
 _BEFORE_WORD = re.compile(r"(?= \S)")
+#: Runs of Unicode's white space too long for the pattern's look-ahead, which steps back over a whole run.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
 
 
 def byte_ranks(vocabulary: bytes) -> dict[bytes, int]:
@@ -59,7 +62,15 @@ class ByteEncoder:
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        """Ids of a text; a long run of white space is one word up to its last character, or its end where the text ends there."""
+        ids: list[int] = []
+        at = 0
+        for run in _LONG_SPACE.finditer(text) if len(text) >= 256 else ():
+            end = run.end() - (run.end() < len(text))
+            ids += self.encoding.encode_ordinary(text[at : run.start()])
+            ids += self.encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return np.array(ids + self.encoding.encode_ordinary(text[at:] if at else text), "<u4").tobytes()
 
     def encode_added(self, text: str) -> bytes:
         if self._added is None:
@@ -184,10 +195,11 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, end_id: in
 
     A null or empty text is the end id alone. Repeated rows are packed each. Null ids are passed on. Other columns are not read. No rows
     give no rows. Only the count of pieces of each length reaches the driver; pieces find their place by their rank among those of their length,
-    counted within 256 groups of each length and offset by the groups before.
+    counted within groups of each length and offset by the groups before.
     """
-    salted = tokenized_pieces(docs, vocabulary_path, capacity, end_id, id_col, text_col, with_ids).withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    pieces = materialize(salted)
+    pieces = materialize(tokenized_pieces(docs, vocabulary_path, capacity, end_id, id_col, text_col, with_ids))
+    salts = max(SALTS, -(-pieces.count() // SALT_ROWS))
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sizes = materialize(pieces.groupBy("length", "_salt").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     rows = docs.sparkSession.createDataFrame(plan(counts, capacity), "length bigint, low bigint, high bigint, per_bin bigint, bin bigint, place bigint")
