@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamworks.llm.shared import SPACES, ascii_lower
+from loamworks.llm.shared import LOWER, SPACES, UPPER, materialize
 
-#: A line that is everywhere is looked up in so many tasks.
-SALTS = 16
+#: Common lines are sent to all tasks up to so many (24 bytes each); beyond, they are joined, each looked up in a task for so many lines, about.
+SENT, SALT_LINES = 200_000, 2_000_000
 
 
 def line_key(line: Column) -> Column:
     """A line without ASCII white space at its ends, A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
+    key = F.btrim(line, F.lit(SPACES))
+    # of lines in ASCII, lower() changes A-Z alone, and is fast
+    return F.when(F.octet_length(key) == F.char_length(key), F.lower(key)).otherwise(F.translate(key, UPPER, LOWER))
 
 
 def _hash(key: Column) -> Column:
@@ -21,17 +23,25 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g"))
 
 
-def common_lines(docs: DataFrame, least_docs: int = 5, least_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h, g, keeper): hashes of keys of ``least_chars`` code points or more in ``least_docs`` or more documents, and the largest id of these."""
-    seen = _keys(docs, least_chars, id_col, text_col).filter("id IS NOT NULL").groupBy("h", "g", "id").agg(F.lit(1).alias("one"))
+def long_lines(docs: DataFrame, least_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, own, pos, h, g) of each line whose key has ``least_chars`` code points: its document, the hash of that text, its place from 0, the key's hash."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("own", _hash(F.col("text")))
+    lines = texts.select("id", "own", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.char_length("line") >= least_chars)
+    keys = lines.select("id", "own", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= least_chars)
+    return keys.select("id", "own", "pos", _hash(F.col("key")).alias("k")).select("id", "own", "pos", "k.h", "k.g")
+
+
+def common_lines(lines: DataFrame, least_docs: int = 5) -> DataFrame:
+    """(h, g, keeper): hashes of the keys in ``least_docs`` or more documents, and the largest id of these. Rows without an id are no document."""
+    seen = lines.filter("id IS NOT NULL").groupBy("h", "g", "id").agg(F.lit(1).alias("one"))
     return seen.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= least_docs).select("h", "g", "keeper")
 
 
-def _keys(docs: DataFrame, least_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(h, g, id) of each line whose key is long enough."""
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(text_col, "\n", -1)).alias("line"))
-    keys = lines.select("id", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= least_chars)
-    return keys.select("id", _hash(F.col("key")).alias("k")).select("k.h", "k.g", "id")
+def _stays(lost: Column) -> Column:
+    """Flags of lines up to the last lost one, from the lost lines' places in ascending order."""
+    gap = lambda i: F.get(lost, i) - F.coalesce(F.get(lost, i - 1), F.lit(-1)) - 1
+    runs = F.transform(F.sequence(F.lit(0), F.size(lost) - 1), lambda i: F.concat(F.array_repeat(F.lit(True), gap(i)), F.array(F.lit(False))))
+    return F.flatten(runs)
 
 
 def drop_common_lines(docs: DataFrame, least_docs: int = 5, least_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,19 +49,27 @@ def drop_common_lines(docs: DataFrame, least_docs: int = 5, least_chars: int = 4
 
     A line whose key (``line_key``) has ``least_chars`` code points or more and is found in ``least_docs`` or more documents goes, except
     from the document with the largest id that holds it. A null text is an empty one: one empty line. Rows that repeat an id are one
-    document to the counts, and each loses the same lines. Rows with a null id are no document to the counts, and lose every line that is
+    document to the counts, and each loses its lines. Rows with a null id are no document to the counts, and lose every line that is
     common. No rows give no rows. Columns of ``docs`` called n_lines or n_dropped are replaced.
+
+    Lines are exploded and hashed once, and what is written of them is their place and hashes; the places that a text loses, at most its lines, go
+    back to it, and it is put together from the others by position.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    common = common_lines(docs, least_docs, least_chars, id_col, text_col).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keys = _keys(docs, least_chars, id_col, text_col).distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    lost = keys.join(common, ["h", "g", "salt"]).filter("id IS NULL OR id <> keeper")
-    # bounded by the lines of one document; null ids share one row
-    lost = lost.groupBy(F.col("id").alias("_lost_id")).agg(F.collect_set(F.struct("h", "g")).alias("_lost"))
-    split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    joined = docs.select(*rest).join(lost, F.col(id_col).eqNullSafe(F.col("_lost_id")), "left")
-    none = F.col("_lost").isNull()
-    kept = F.when(none, split).otherwise(F.filter(split, lambda x: ~F.array_contains(F.col("_lost"), _hash(line_key(x)))))
-    out = joined.withColumn("_kept", kept).withColumn("n_lines", F.size(split).cast("bigint"))
-    out = out.withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-    return out.select(*[F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(c) for c in rest], "n_lines", "n_dropped")
+    lines = materialize(long_lines(docs, least_chars, id_col, text_col))
+    common = materialize(common_lines(lines, least_docs))
+    if common.count() <= SENT:
+        found = lines.join(F.broadcast(common), ["h", "g"])
+    else:
+        salts = -(-lines.count() // SALT_LINES)
+        spread = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = lines.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)).cast("int")).join(spread, ["h", "g", "salt"])
+    lost = found.filter("id IS NULL OR id <> keeper").groupBy(F.col("id").alias("_id"), F.col("own").alias("_own")).agg(F.sort_array(F.collect_set("pos")).alias("_lost"))
+    lost = lost.select("_id", "_own", _stays(F.col("_lost")).alias("_stays"), F.size("_lost").alias("_gone"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    joined = docs.select(*rest, _hash(text).alias("_hash")).join(lost, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: F.coalesce(F.get("_stays", i), F.lit(True))), "\n")
+    kept = F.when(F.col("_stays").isNull(), text).otherwise(kept)
+    return joined.select(
+        *[kept.alias(c) if c == text_col else F.col(c) for c in rest], F.size(F.split(text, "\n", -1)).cast("bigint").alias("n_lines"), F.coalesce("_gone", F.lit(0)).cast("bigint").alias("n_dropped")
+    )
