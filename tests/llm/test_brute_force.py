@@ -4,13 +4,13 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from itertools import pairwise
 from math import log10
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loamworks.llm import embed_dedup, imatch, langid, lm_scoring, packing, queries, simhash, url_filter
 from loamworks.llm.shared import spanning_edges
@@ -136,30 +136,79 @@ def test_spanning_edges():
     assert roots(200, zip(a, b)) == roots(200, zip(nodes, low)) and len(nodes) < 200
 
 
+class PlainAutomaton:
+    """One state at a time, by arcs and failure arcs; states are tuples of tokens, 0 for a text's start and None for its end."""
+
+    def __init__(self, texts, priors):
+        self.priors = priors
+        self.counts = Counter(t[i : i + k] for t in texts for k in range(1, len(priors) + 2) for i in range(len(t) - k + 1))
+        self.total = sum(len(t) - 1 for t in texts)
+        self.kinds = len({w for t in texts for w in t[1:]})
+
+    def probability(self, state, w):
+        if not state:
+            return (self.counts[(w,)] + 0.5) / (self.total + 0.5 * (self.kinds + 1))
+        prior, seen = self.priors[len(state) - 1], self.counts[state]
+        return (self.counts[(*state, w)] + prior * self.probability(state[1:], w)) / (seen + prior)
+
+    def read(self, state, w):
+        """(next state, log-probability)"""
+        p, at = 0.0, state
+        while at and not self.counts[(*at, w)]:  # failure arc
+            prior = self.priors[len(at) - 1]
+            p += log10(prior / (self.counts[at] + prior))
+            at = at[1:]
+        p += log10(self.probability(at, w))
+        after = (*state, w)[-len(self.priors) :] if self.priors else ()
+        while after and not self.counts[after]:
+            after = after[1:]
+        return after, p
+
+    def score(self, text):
+        state, total = (0,)[: len(self.priors)] if self.counts[(0,)] else (), 0.0
+        for w in text[1:]:
+            state, p = self.read(state, w)
+            total += p
+        return total
+
+
+def lm_tokens(text):
+    return (0, *WORD.findall((text or "").translate(LOWER)), None)
+
+
 def test_lm_scores(spark, sf, docs):
     got = {r["doc_id"]: r for r in queries.QUERIES["op5_lm_scoring"](spark, sf).collect()}
-    tokens = {i: [*WORD.findall(t.translate(LOWER)), None] for i, t in docs.items()}
+    tokens = {i: lm_tokens(t) for i, t in docs.items()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in docs}
-    one, two = Counter(), Counter()
-    for i, ts in tokens.items():
-        if not held[i]:
-            one.update(ts)
-            two.update(pairwise([0, *ts]))
-    total, mu = sum(one.values()), lm_scoring.PRIOR
-    p = lambda w: (one[w] + 0.5) / (total + 0.5 * (len(one) + 1))
-    known = set(one)
-    start = one[None]
+    plain = PlainAutomaton([ts for i, ts in tokens.items() if not held[i]], lm_scoring.PRIORS)
+    assert len(lm_scoring.PRIORS) >= 2
     for i, ts in tokens.items():
         r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["train_tokens"], r["n_known"]) == (held[i], len(ts), total, sum(w in known for w in ts))
-        assert r["base_score"] == pytest.approx(sum(log10(p(w)) for w in ts), abs=1e-6)
-        score = 0.0
-        for a, w in pairwise([0, *ts]):  # one state at a time, by arcs and failure arcs
-            here = start if a == 0 else one.get(a, 0)
-            score += log10((two[a, w] + mu * p(w)) / (here + mu)) if two.get((a, w)) else log10(mu / (here + mu)) + log10(p(w))
-        assert r["score"] == pytest.approx(score, abs=1e-6)
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"], r["n_known"]) == (held[i], len(ts) - 1, plain.total, sum(plain.counts[(w,)] > 0 for w in ts[1:]))
+        assert r["base_score"] == pytest.approx(sum(log10(plain.probability((), w)) for w in ts[1:]), abs=1e-6)
+        assert r["score"] == pytest.approx(plain.score(ts), abs=1e-6)
     out = [i for i in docs if held[i]]
-    assert sum(got[i]["score"] for i in out) > sum(got[i]["base_score"] for i in out)
+    shorter = PlainAutomaton([ts for i, ts in tokens.items() if not held[i]], lm_scoring.PRIORS[:1])
+    assert sum(got[i]["score"] for i in out) > sum(shorter.score(tokens[i]) for i in out) > sum(got[i]["base_score"] for i in out)
+
+
+@pytest.mark.parametrize("priors", [(), (3.0,), (3.0, 1.0), (3.0, 1.0, 0.5, 0.25)])
+def test_lm_orders_over_many_blocks(spark, priors):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcd"), rng.integers(12)).tolist()) for _ in range(60)] + ["a b c a b c a b"] * 5 + [None, "", "z"]
+    held = [i % 3 == 1 for i in range(len(texts))]
+    plain = PlainAutomaton([lm_tokens(t) for t, h in zip(texts, held) if not h], priors)
+    rows = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held))], "doc_id bigint, text string, h boolean")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(rows, F.col("h"), priors, block_tokens=40, bucket_tokens=30).collect()}
+    assert got == {i: pytest.approx(plain.score(lm_tokens(t)), abs=1e-9) for i, t in enumerate(texts)}
+
+
+def test_lm_what_follows_a_state_sums_to_one():
+    texts = [lm_tokens(t) for t in ("a b c a b", "b a", "c c a b c a", "a b c a b")]
+    plain = PlainAutomaton(texts, (3.0, 1.0, 0.5))
+    words = [*{w for t in texts for w in t[1:]}, "never seen"]
+    for state in [(), ("a",), ("a", "b"), ("b", "c", "a"), (0,), (0, "a")]:
+        assert sum(10 ** plain.read(state, w)[1] for w in words) == pytest.approx(1)
 
 
 def test_pieces(spark, sf, docs):
