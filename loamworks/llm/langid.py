@@ -114,10 +114,10 @@ def predict(docs: DataFrame, teach: DataFrame | None = None, size: int = PROFILE
     is null, empty or without letters is `und` with score 0, as is every text if nothing teaches. Repeated rows are predicted each.
     Columns called lang_pred or score are replaced. No rows give no rows.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(Ranks(profiles(docs.filter(~held_out(id_col)) if teach is None else teach, size, sample, id_col, text_col, label_col)))
+    known = docs.sparkSession.sparkContext.broadcast(profiles(docs.filter(~held_out(id_col)) if teach is None else teach, size, sample, id_col, text_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ranks.value
+        model = Ranks(known.value)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             found = [model.predict(x.as_py(), n) for x in batch.column(at)]
