@@ -107,12 +107,12 @@ def held_out(id_col: str = "doc_id", folds: int = 3) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 1, F.lit(False))
 
 
-def predict(docs: DataFrame, teach: DataFrame | None = None, size: int = PROFILE, sample: int = SAMPLE, n: int = DOC_GRAMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", keep: bool = False) -> DataFrame:
-    """(id_col, held_out boolean, lang_pred, score double) for every row, or, with ``keep``, all columns of ``docs`` with lang_pred and score.
+def predict(docs: DataFrame, teach: DataFrame | None = None, size: int = PROFILE, sample: int = SAMPLE, n: int = DOC_GRAMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(id_col, held_out boolean, lang_pred, score double) for every row, or, with ``keep``, all columns of ``docs`` with lang_pred and score, called ``names``.
 
     Profiles are learned from ``teach``, or else from the rows of ``docs`` that are not held out. Only the text is used to predict. A text that
     is null, empty or without letters is `und` with score 0, as is every text if nothing teaches. Repeated rows are predicted each.
-    Columns called lang_pred or score are replaced. No rows give no rows.
+    Columns called as ``names`` are replaced. No rows give no rows.
     """
     known = docs.sparkSession.sparkContext.broadcast(profiles(docs.filter(~held_out(id_col)) if teach is None else teach, size, sample, id_col, text_col, label_col))
 
@@ -123,11 +123,11 @@ def predict(docs: DataFrame, teach: DataFrame | None = None, size: int = PROFILE
             found = [model.predict(x.as_py(), n) for x in batch.column(at)]
             more = [pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             rest = [i for i in range(batch.num_columns) if keep or i != at]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + more, names=[batch.schema.names[i] for i in rest] + ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + more, names=[batch.schema.names[i] for i in rest] + [*names])
 
     if keep:
-        rows = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
+        rows = docs.select(*[c for c in docs.columns if c not in names])
     else:
         rows = docs.select(id_col, held_out(id_col).alias("held_out"), text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep or f.name != text_col)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")

@@ -320,11 +320,15 @@ def test_linked_hosts_take_their_neighbours_verdict(spark):
 
 
 def test_pipeline(spark, sf, docs):
-    """Stage by stage against plain versions."""
+    """Stage by stage against plain versions; the packed rows against the tokenizers library."""
     import corpus_pipeline
+    from test_similar_texts import least_ids
+    from tokenizers import Tokenizer
 
-    packed = corpus_pipeline.run(spark, sf).toPandas()
-    kept = {i: t for i, t in docs.items() if any(map(str.isalpha, t))}
+    packed = corpus_pipeline.run(spark, sf).toPandas().sort_values(["doc_id", "piece"])
+    told = {r["doc_id"]: r for r in langid.predict(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    kept = {i: t for i, t in docs.items() if any(map(str.isalpha, t)) and told[i]["score"] >= 0.25}
+    assert len(kept) >= 0.99 * sum(any(map(str.isalpha, t)) for t in docs.values())
     key = lambda line: line.strip(" \t\n\x0b\f\r").translate(LOWER)
     holders = {}
     for i, t in kept.items():
@@ -334,17 +338,23 @@ def test_pipeline(spark, sf, docs):
     common = {k: max(v) for k, v in holders.items() if len(v) >= 5}
     kept = {i: "\n".join(x for x in t.split("\n") if common.get(key(x), i) == i) for i, t in kept.items()}
     ids = sorted(kept)
-    prints, sizes = [], []
-    for i in ids:
-        words = WORD.findall(kept[i].translate(LOWER))
-        shingles = [" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
-        bits = np.zeros(256, int)
-        for s in shingles:
-            bits += np.unpackbits(np.frombuffer(b"".join(xxhash.xxh64_digest(s.encode(), seed) for seed in (42, 43, 44, 45)), np.uint8))
-        prints.append(np.packbits(2 * bits > len(shingles)).view(np.uint64))
-        sizes.append(max(1, len(shingles)))
-    prints, near = np.array(prints), simhash.radius_of(0.8, 256)
-    close = lambda a: np.flatnonzero(np.bitwise_count(prints[a] ^ prints[:a]).sum(1) <= near)
-    band = np.floor(np.log(sizes) / np.log(1.25))
-    found = roots(len(ids), [(a, b) for a in range(len(ids)) for b in close(a) if abs(band[a] - band[b]) <= 1])
-    assert sorted(set(packed["doc_id"])) == [i for k, i in enumerate(ids) if found[k] == k]
+    found = least_ids([" ".join(WORD.findall(kept[i].translate(LOWER))) for i in ids])
+    kept = {i: kept[i] for k, i in enumerate(ids) if found[k] == k}
+    assert sorted(set(packed["doc_id"])) == sorted(kept)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, pieces in packed.groupby("doc_id"):
+        tokens = [*library.encode(kept[i], add_special_tokens=False).ids, 0]
+        assert pieces["start"].tolist() == (np.cumsum(pieces["length"]) - pieces["length"]).tolist() and pieces["length"].sum() == len(tokens)
+        assert all(r.ids_crc32 == zlib.crc32(np.array(tokens[r.start : r.start + r.length], "<u4").tobytes()) for r in pieces.itertuples())
+    for _, s in packed.sort_values("offset").groupby("sequence_id"):
+        assert (s["offset"].to_numpy() == np.cumsum(s["length"]) - s["length"]).all() and s["length"].sum() <= 2048
+    assert packed["sequence_id"].nunique() <= -(-packed["length"].sum() // 2048) + 2
+
+
+def test_language_stage_rejects_other_languages(spark, sf):
+    import corpus_pipeline
+
+    taught = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(10**9, "这是一个用中文写的文件，里面没有别的语言的字母", None, "x", 20), (10**9 + 1, "the and that with for are was", None, "x", 20), (10**9 + 2, "00 1234 !!", "en", "x", 5)], taught.schema)
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.keep_languages(spark, taught.unionByName(odd), "").filter("doc_id >= 1000000000").collect()}
+    assert got == {10**9 + 1: "en"}
