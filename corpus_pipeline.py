@@ -14,9 +14,17 @@ from loamworks.session import table
 ORACLE_SQL = None
 
 
+#: Texts whose nearest profile scores less resemble no learned language: on average, their n-grams are three quarters of a profile out of place, or not in it.
+LEAST_SCORE = 0.25
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: null texts and those without letters."""
-    return langid.predict(docs, keep=True).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Drops documents in none of the learned languages: null texts, those without letters, and those whose best score is below ``LEAST_SCORE``.
+
+    A document that stays without a language gets the predicted one.
+    """
+    found = langid.predict(docs, keep=True, names=("_lang", "_score")).filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE))
+    return found.select(*[F.coalesce("lang", "_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
