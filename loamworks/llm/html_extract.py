@@ -22,6 +22,7 @@ MAIN = frozenset("article main".split())
 SECTIONS = frozenset("article body center div main section table".split())
 CLOSES_P = BLOCK - frozenset("html head body title caption tbody td tfoot th thead tr legend option optgroup summary".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = ("ul", "ol", "dl", "table", "select", "menu")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role attributes that mark what is not the article.
 MARKS = frozenset(
@@ -35,72 +36,86 @@ SIGMA = 1.0
 
 
 class _Events(HTMLParser):
-    """Turns a page into lines: (text, tags, heading, path), in page order, without what is hidden or page furniture.
+    """Turns a page into lines: (text, tags, heading, weight, section), in page order, without what is never shown as text.
 
-    A line is the text between two block boundaries, tags how many were met since the line before, heading whether it is one; path holds
-    the sectioning ancestors, outermost first, as (number, tag).
+    A line is the text between two block boundaries, tags how many were met since the line before, heading whether it is one, weight 0 in page furniture and
+    else 1, section the number of the innermost sectioning element around it. ``parent`` and ``kind`` tell of each section its parent's number and its
+    tag; 0 is the page. Sections are numbered as they open. Each event costs the same, however deep the page is.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, excluded, main
-        self.lines: list[tuple[str, int, bool, tuple]] = []
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, main, hidden
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.blocks: list[int] = []  # places of block elements
+        self.lines: list[tuple[str, int, bool, int, int]] = []
         self.parts: list[str] = []
-        self.path: list[tuple[int, str]] = []
-        self.tags = self.sections = 0
+        self.parent, self.kind, self.path = [0], [""], [0]
+        self.tags = 0
 
     def _flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags, any(t in HEADINGS for t, _, _ in self.stack[-2:]), tuple(self.path)))
+            furniture = bool(self.stack) and self.stack[-1][1]
+            self.lines.append((text, self.tags, any(e[0] in HEADINGS for e in self.stack[-2:]), int(not furniture), self.path[-1]))
             self.tags = 0
         self.parts.clear()
 
     def _pop(self, n: int) -> None:
-        if any(t in BLOCK for t, _, _ in self.stack[n:]):
+        if self.blocks and self.blocks[-1] >= n:
             self._flush()
-        gone = sum(t in SECTIONS for t, _, _ in self.stack[n:])
-        if gone:
-            del self.path[-gone:]
-        del self.stack[n:]
+        while len(self.stack) > n:
+            self._close(self.stack.pop()[0])
+
+    def _close(self, tag: str) -> None:
+        at = self.open[tag].pop()
+        if self.blocks and self.blocks[-1] == at:
+            self.blocks.pop()
+        if tag in SECTIONS:
+            self.path.pop()
+
+    def _last(self, tags) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._flush()
-        self.tags += not self._outside()
+        self.tags += not self._hidden()
         if tag == "br":
             self.parts.append(" ")
             return
         if tag in VOID:
             return
-        if tag in CLOSES_P:
-            self._close_open(("p",), BLOCK - {"p"})
-        if tag in SELF_CLOSING:
-            self._close_open(SELF_CLOSING[tag], frozenset(("ul", "ol", "dl", "table", "select", "menu")))
-        above_out, above_main = self.stack[-1][1:] if self.stack else (False, False)
+        if tag in CLOSES_P and self.blocks and self.stack[self.blocks[-1]][0] == "p":
+            self._pop(self.blocks[-1])
+        if tag in SELF_CLOSING and (at := self._last(SELF_CLOSING[tag])) > self._last(LISTS):
+            self._pop(at)
+        _, above_out, above_main, above_hidden = self.stack[-1] if self.stack else ("", False, False, False)
         words = set()
-        hidden = tag in HIDDEN or tag in CHROME or (tag == "header" and not above_main)
+        hidden = tag in HIDDEN
+        out = tag in CHROME or (tag == "header" and not above_main)
         for name, value in attrs:
             if name in ("class", "id", "role"):
                 words.update(re.split(r"[^a-z0-9]+", (value or "").lower()))
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 hidden = True
         if tag not in MAIN and tag not in ("body", "html"):
-            hidden = hidden or not MARKS.isdisjoint(words)
+            out = out or not MARKS.isdisjoint(words)
         elif tag == "article" and above_main and not {"comment", "comments", "reply"}.isdisjoint(words):
-            hidden = True
-        self.stack.append((tag, above_out or hidden, above_main or tag in MAIN))
+            out = True
+        at = len(self.stack)
+        # what changes whether text counts ends a line, so that none is partly furniture
+        if (above_out or out) != above_out:
+            self._flush()
+        self.stack.append((tag, above_out or out, above_main or tag in MAIN, above_hidden or hidden))
+        self.open.setdefault(tag, []).append(at)
+        if tag in BLOCK or (above_out or out) != above_out:
+            self.blocks.append(at)
         if tag in SECTIONS:
-            self.sections += 1
-            self.path.append((self.sections, tag))
-
-    def _close_open(self, tags: tuple[str, ...], stop: frozenset) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
-                self._pop(i)
-                return
-            if self.stack[i][0] in stop:
-                return
+            self.parent.append(self.path[-1])
+            self.kind.append(tag)
+            self.path.append(len(self.parent) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -108,23 +123,20 @@ class _Events(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += not self._outside()
-        if tag in ("br", "p") and tag not in (t for t, _, _ in self.stack):
-            self.parts.append(" ")
-            return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop(i)
-                return
-            if self.stack[i][0] in BLOCK and tag not in BLOCK:
-                return  # an inline end tag does not close a block
+        self.tags += not self._hidden()
+        at = self._last((tag,))
+        if at < 0:
+            if tag in ("br", "p"):
+                self.parts.append(" ")
+        elif tag in BLOCK or not self.blocks or at >= self.blocks[-1]:  # an inline end tag does not close a block
+            self._pop(at)
 
     def handle_data(self, data: str) -> None:
-        if not self._outside():
+        if not self._hidden():
             self.parts.append(data)
 
-    def _outside(self) -> bool:
-        return bool(self.stack) and self.stack[-1][1]
+    def _hidden(self) -> bool:
+        return bool(self.stack) and self.stack[-1][3]
 
     def parse_html_declaration(self, i: int) -> int:
         try:
@@ -149,11 +161,11 @@ def _smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
 def extract(html: str | None, sigma: float = SIGMA) -> str:
     """The main text of a page: its blocks in page order, joined by an empty line.
 
-    Lines in menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are never content, by their element or
-    its class, id or role. Of the others, text-to-tag ratios are smoothed with a Gaussian, and lines at the middle between the two clusters' centers or
-    above are content. The innermost section that holds nearly all text of these lines, or the article or main element around it, is the article,
-    and all its lines are taken, with content lines outside it in page order and a heading just before the first. Where only the page itself holds them, the article reaches from
-    the first content line to the last. Null, empty or unparsable html gives ''.
+    Text-to-tag ratios of lines are smoothed with a Gaussian; what stands in menus, page headers, footers, sidebars, notices, adverts, forms and reader
+    comments, by its element or its class, id or role, weighs nothing. Lines at the middle between the two clusters' centers or above are content. They
+    choose the region: the innermost section that holds nearly all of their text, or the article or main element around it. All its lines
+    that weigh something are taken, with content lines outside it in page order and a heading just before the first. Where only the page itself holds them,
+    the region reaches from the first content line to the last. Null, empty or unparsable html gives ''.
     """
     if not html:
         return ""
@@ -164,41 +176,48 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
     except AssertionError:  # the parser's answer to some malformed declarations: keep the lines so far
         parser._flush()
     lines = parser.lines
-    if not lines:
+    weight = np.array([x[3] for x in lines], bool)
+    if not weight.any():
         return ""
-    smooth = _smooth(np.array([len(x[0]) / max(1, x[1]) for x in lines]), sigma)
-    content = smooth >= _threshold(smooth)
-    section = _section(lines, content)
-    if section is None:
-        at = np.flatnonzero(content)
-        first, last = int(at[0]), int(at[-1])
-        picked = [first <= i <= last for i in range(len(lines))]
+    content = content_lines([(len(x[0]), x[1], x[3]) for x in lines], sigma)
+    section = _section(parser, content)
+    if section:
+        inside = np.zeros(len(parser.parent), bool)
+        for k in range(section, len(inside)):
+            inside[k] = k == section or inside[parser.parent[k]]
+        picked = weight & (inside[[x[4] for x in lines]] | content)
     else:
-        picked = [section in x[3] or bool(c) for x, c in zip(lines, content)]
-        first = picked.index(True)
-    if first and lines[first - 1][2]:
+        at = np.flatnonzero(content)
+        picked = weight & (np.arange(len(lines)) >= at[0]) & (np.arange(len(lines)) <= at[-1])
+    first = int(picked.argmax())
+    if first and lines[first - 1][2] and weight[first - 1]:
         picked[first - 1] = True
     return "\n\n".join(x[0] for x, keep in zip(lines, picked) if keep)
 
 
-def _section(lines: list[tuple], content: np.ndarray, share: float = 0.9) -> tuple[int, str] | None:
-    """The innermost section with ``share`` of the content lines' text, or the article or else main element around it; None if that is the page."""
-    weight: dict[tuple[int, str], int] = {}
-    total = 0
-    for x, is_content in zip(lines, content):
+def content_lines(lines: list[tuple[int, int, int]], sigma: float = SIGMA) -> np.ndarray:
+    """Which lines (characters, tags, weight) lie in the upper of two clusters of smoothed text-to-tag ratios; at least one that weighs something."""
+    chars, tags, weight = np.array(lines, float).T
+    score = weight * _smooth(weight * chars / np.maximum(1, tags), sigma)
+    return (score >= _threshold(score)) & (weight > 0)
+
+
+def _section(parser: _Events, content: np.ndarray, share: float = 0.9) -> int:
+    """The innermost section with ``share`` of the content lines' text, or the article or else main element around it; 0 if that is the page."""
+    size = np.zeros(len(parser.parent), np.int64)
+    for x, is_content in zip(parser.lines, content):
         if is_content:
-            total += len(x[0])
-            for s in x[3]:
-                weight[s] = weight.get(s, 0) + len(x[0])
-    found = max((s for s, w in weight.items() if w >= share * total), default=None)  # inner sections have larger numbers
-    if found is None:
-        return None
-    path = next(x[3] for x in lines if found in x[3])
-    path = path[: path.index(found) + 1]
-    for tag in ("article", "main"):
-        if around := [s for s in path if s[1] == tag]:
-            return around[-1]
-    return None if found[1] == "body" else found
+            size[x[4]] += len(x[0])
+    total = size.sum()
+    for k in range(len(size) - 1, 0, -1):  # inner sections have larger numbers
+        size[parser.parent[k]] += size[k]
+    found = int(np.flatnonzero(size >= share * total)[-1])
+    around: dict[str, int] = {}
+    at = found
+    while at:
+        around.setdefault(parser.kind[at], at)
+        at = parser.parent[at]
+    return around.get("article") or around.get("main") or (0 if parser.kind[found] == "body" else found)
 
 
 def _threshold(values: np.ndarray) -> float:

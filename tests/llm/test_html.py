@@ -1,5 +1,10 @@
+from math import ceil, exp
+from time import perf_counter
+
+import numpy as np
 import pytest
 
+from loamworks.llm import html_extract
 from loamworks.llm.html_extract import extract
 
 CASES = [
@@ -36,3 +41,60 @@ def test_content_outside_the_section_is_kept_in_page_order():
     short = ["x", "y", "z", "x", "y"]
     html = f"<body><div>{lead}</div><div>{''.join(f'<p>{x}</p>' for x in long + short)}</div><div>{end}</div></body>"
     assert extract(html) == "\n\n".join([lead, *long, *short, end])
+
+
+UNMARKED = (
+    "<body><div><ul>{menu}</ul></div><div><h2>A title</h2>{story}<p>So.</p></div><table><tr>{cells}</tr></table><div>{menu}</div></body>"
+).format(
+    menu="".join(f"<li><a href=/{i}><b>Item {i}</b></a></li>" for i in range(12)),
+    story="".join(f"<p>Paragraph {i} of a story on a page without telling elements or classes, with enough words that its ratio of text to tags is high.</p>" for i in range(8)),
+    cells="".join(f"<td><a href=/t{i}>Topic {i}</a></td>" for i in range(12)),
+)
+
+
+def test_clusters_choose_the_region_where_nothing_else_tells(monkeypatch):
+    got = extract(UNMARKED).split("\n\n")
+    assert got[0] == "A title" and got[-1] == "So." and len(got) == 10 and all(x.startswith("Paragraph") for x in got[1:-1])
+    monkeypatch.setattr(html_extract, "_threshold", lambda values: -1.0)
+    assert "Item 3" in extract(UNMARKED)  # without the threshold all lines are content
+
+
+def plain_content(lines, sigma):
+    """Ratio, smoothing and two clusters, a line at a time."""
+    ratio = [w * c / max(1, t) for c, t, w in lines]
+    reach = ceil(2 * sigma)
+    score = []
+    for i, (_, _, w) in enumerate(lines):
+        near = [(exp(-((i - j) ** 2) / (2 * sigma**2)), ratio[j]) for j in range(max(0, i - reach), min(len(lines), i + reach + 1))]
+        score.append(w * sum(a * b for a, b in near) / sum(a for a, _ in near))
+    low, high = min(score), max(score)
+    if high - low <= 1e-9 * high:
+        return [w > 0 for _, _, w in lines]
+    for _ in range(50):
+        parts = [[x for x in score if x < (low + high) / 2], [x for x in score if x >= (low + high) / 2]]
+        new = tuple(sum(p) / len(p) if p else c for p, c in zip(parts, (low, high)))
+        if new == (low, high):
+            break
+        low, high = new
+    return [s >= (low + high) / 2 - 1e-9 and w > 0 for s, (_, _, w) in zip(score, lines)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_ratio_smoothing_and_threshold_against_plain_ones(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 60))
+    lines = list(zip(rng.integers(1, 400, n).tolist(), rng.integers(0, 9, n).tolist(), (rng.random(n) < 0.8).astype(int).tolist()))
+    sigma = float(rng.choice([0.5, 1.0, 2.0]))
+    assert html_extract.content_lines(lines, sigma).tolist() == plain_content(lines, sigma)
+
+
+DEEP = ["<div>x" * 20_000, "<span>" * 30_000 + "</b>" * 3_000 + "x", "<p><div>" + "<span>" * 30_000 + "</p>" * 30_000 + "x", "<b><div>" + "<span>" * 30_000 + "</b>" * 30_000 + "x", "<ul><li>" * 20_000, "<ul>" + "<li>x" * 30_000]
+
+
+@pytest.mark.parametrize("html", DEEP)
+def test_deep_pages_take_linear_time(html):
+    began = perf_counter()
+    extract(html)
+    assert perf_counter() - began < 10
+    long = extract(html + "</ul>" * 20_000 + "</div>" * 20_001 + "<article><p>" + "The end of it all. " * 5000 + "</article>")
+    assert long.endswith("The end of it all.")
