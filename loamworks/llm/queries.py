@@ -58,31 +58,26 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
-def _url_sql(rounds: int = url_filter.ROUNDS, d: float = url_filter.DAMPING) -> str:
+def _url_sql(d: float = url_filter.DAMPING, steps: int = 150) -> str:
+    """The verdicts in SQL, by so many steps of propagation: 0.85^150 of a rank is far below the tolerance."""
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
-    steps = "".join(
-        f""", k{i + 1} AS (SELECT kind, host, sum(x) AS x FROM (
-            SELECT a.kind, a.b AS host, {d} * r.x * a.w AS x FROM k{i} r JOIN arcs a ON r.kind = a.kind AND r.host = a.a
-            UNION ALL SELECT kind, host, {1 - d} * x FROM k0) GROUP BY kind, host)"""
-        for i in range(rounds)
-    )
-    return f"""WITH parts AS (SELECT page_id, html, CASE WHEN url IS NULL OR position('://' IN url) = 0 THEN '' ELSE substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+    aside, href = (x.replace("'", "''") for x in (url_filter.ASIDE, url_filter.HREF))
+    return f"""WITH RECURSIVE parts AS (SELECT page_id, html, CASE WHEN url IS NULL OR position('://' IN url) = 0 THEN '' ELSE substr(url, position('://' IN url) + 3) END AS rest FROM pages),
     split AS (SELECT page_id, html, {lower.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
     rules(verdict, h, p) AS (VALUES {rules}),
     fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS given
         FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
     judged AS (SELECT s.*, f.rule, f.given FROM split s LEFT JOIN fits f USING (page_id)),
-    links AS (SELECT host AS src, {lower.format("dst")} AS dst, count(*) AS n FROM (SELECT host, unnest(regexp_extract_all(html,
-        '{url_filter.HREF.replace(chr(39), chr(39) * 2)}', 1)) AS dst FROM split)
+    links AS (SELECT host AS src, {lower.format("dst")} AS dst, count(*) AS n FROM (SELECT host, unnest(regexp_extract_all(regexp_replace(html, '{aside}', ' ', 'g'), '{href}', 1)) AS dst FROM split)
         WHERE host <> '' AND host <> {lower.format("dst")} GROUP BY ALL),
     raw AS (SELECT 't' AS kind, src AS a, dst AS b, n FROM links UNION ALL SELECT 'd', dst, src, n FROM links),
     arcs AS (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) AS w FROM raw),
     seeds AS (SELECT host, CASE given WHEN 'allow' THEN 't' ELSE 'd' END AS kind, count(*) AS x FROM judged WHERE given IS NOT NULL AND host <> '' GROUP BY ALL),
-    k0 AS (SELECT kind, host, x / sum(x) OVER (PARTITION BY kind) AS x FROM seeds){steps},
-    ranks AS (SELECT host, round(coalesce(sum(x) FILTER (WHERE kind = 't'), 0), 12) AS trust, round(coalesce(sum(x) FILTER (WHERE kind = 'd'), 0), 12) AS distrust
-        FROM (SELECT kind, host, CASE WHEN (SELECT count(*) FROM arcs) = 0 THEN {1 - d} * x ELSE x END AS x FROM k{rounds}) GROUP BY host)
-    SELECT page_id, j.host, path, rule, coalesce(given, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+    flow AS (SELECT 0 AS step, kind, host, CAST({1 - d} * x AS DOUBLE) AS x FROM seeds
+        UNION ALL SELECT f.step + 1, a.kind, a.b, sum({d} * f.x * a.w) FROM flow f JOIN arcs a ON f.kind = a.kind AND f.host = a.a WHERE f.step < {steps} GROUP BY ALL),
+    ranks AS (SELECT host, coalesce(sum(x) FILTER (WHERE kind = 't'), 0) AS trust, coalesce(sum(x) FILTER (WHERE kind = 'd'), 0) AS distrust FROM flow GROUP BY host)
+    SELECT page_id, j.host, path, rule, coalesce(given, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * (1 + {url_filter.TIE}) THEN 'block' ELSE 'allow' END) AS verdict
     FROM judged j LEFT JOIN ranks r ON j.host = r.host"""
 
 

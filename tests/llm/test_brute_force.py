@@ -293,20 +293,52 @@ def test_imatch_many_ranges(spark, monkeypatch):
 
 
 def test_propagation(spark):
-    edges = spark.createDataFrame([("a", "b", 2), ("b", "c", 1), ("c", "bad", 1), ("b", "bad", 3)], "src string, dst string, n bigint")
-    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("bad", 0.0, 2.0)], "host string, trusted double, blocked double")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(edges, seeds, 0.85, 12).collect()}
-    hosts = ["a", "b", "c", "bad"]
-    links = {("a", "b"): 2, ("b", "c"): 1, ("c", "bad"): 1, ("b", "bad"): 3}
-    for kind, start, arcs in ((0, {"a": 1.0}, links), (1, {"bad": 1.0}, {(d, s): n for (s, d), n in links.items()})):
-        rank = dict(start)
-        for _ in range(12):
+    links = {("a", "b"): 2, ("b", "c"): 1, ("c", "bad"): 1, ("b", "bad"): 3, ("c", "a"): 2}
+    chain = {(f"h{i}", f"h{i + 1}"): 1 for i in range(20)}  # further from every seed than any fixed number of steps
+    edges = spark.createDataFrame([(s, d, n) for (s, d), n in (links | chain).items()], "src string, dst string, n bigint")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("bad", 0.0, 2.0), ("h20", 0.0, 1.0)], "host string, trusted double, blocked double")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(edges, seeds).collect()}
+    arcs = links | chain
+    for kind, start, arcs in ((0, {"a": 1.0}, arcs), (1, {"bad": 2.0, "h20": 1.0}, {(d, s): n for (s, d), n in arcs.items()})):
+        hosts = {h for pair in arcs for h in pair}
+        rank = {h: 0.15 * start.get(h, 0) for h in hosts}
+        for _ in range(200):
             after = {h: 0.15 * start.get(h, 0) for h in hosts}
             for (s, d), n in arcs.items():
-                after[d] += 0.85 * rank.get(s, 0) * n / sum(m for (x, _), m in arcs.items() if x == s)
+                after[d] += 0.85 * rank[s] * n / sum(m for (x, _), m in arcs.items() if x == s)
             rank = after
         for h in hosts:
-            assert got.get(h, (0.0, 0.0))[kind] == pytest.approx(rank[h])
+            assert got.get(h, (0.0, 0.0))[kind] == pytest.approx(rank[h], rel=1e-5)
+    assert got["h0"][1] > 0
+
+
+def test_verdicts_do_not_depend_on_what_else_there_is(spark):
+    link = lambda h: f'<a href="//{h}/">x</a>'
+    pages = [(1, "http://spam.test/bad/1", ""), (2, "http://friend.test/", link("spam.test")), (3, "http://far.test/", link("friend.test"))]
+    more = [(100 + i, f"http://s{i}.test/bad/", "") for i in range(50)]
+    for rows in (pages, pages + more):
+        got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string"), [("block", "test", "/bad/")]).collect()}
+        assert [got[i] for i in (1, 2, 3)] == ["block"] * 3
+
+
+def test_links_are_those_of_tags(spark):
+    html = """<!-- <a href="http://a.test/"> --><script>x='<a href="http://b.test/">'</script><a class=x HREF='//C.test/p'>y</a><a data-href="http://d.test/">
+        href="http://e.test/"<a href=https://f.test>z</a><a href="/own">o</a><style>/* <a href="//g.test"> */</style><area href = " HTTP://h.test?q "><!-- <a href="//i.test/">"""
+    pages = spark.createDataFrame([(1, "http://me.test/", html), (2, "http://me.test/2", None)], "page_id bigint, url string, html string")
+    assert sorted((r["src"], r["dst"]) for r in url_filter.host_edges(pages).collect()) == [("me.test", f"{h}.test") for h in "cfh"]
+
+
+def test_url_sql_follows_links(spark, tmp_path):
+    from oracle import TABLES, compare
+
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    rows = [(1, "http://x.example.com/en/1", ""), (2, "http://friend.io/", link("x.example.com")), (3, "http://y.example.net/de/5", link("peer.io") + link("friend.io")), (4, "http://peer.io/", link("far.io")), (5, "http://far.io", None), (6, None, "")]
+    for t in TABLES:
+        frame = spark.createDataFrame(rows, "page_id bigint, url string, html string") if t == "pages" else spark.range(1)
+        frame.write.parquet(f"{tmp_path}/{t}.parquet")
+    compare(spark, str(tmp_path), queries.QUERIES["op2_url_filter"], queries.ORACLE["op2_url_filter"])
+    got = {r["page_id"]: r["verdict"] for r in queries.QUERIES["op2_url_filter"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[2] == "block" and got[3] == got[4] == got[5] == "allow"
 
 
 def test_linked_hosts_take_their_neighbours_verdict(spark):
