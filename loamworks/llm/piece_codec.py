@@ -101,13 +101,13 @@ class PieceCodec:
         longest = [-1] * n
         for end, (k, length) in self.auto.iter(text):
             longest[end - length + 1] = k  # ends ascend, so the longest match from a place is the last
-        open_ = (1 << (n + 1)) - 1  # bit i: no failure known at place i
+        failed = bytearray((n >> 3) + 1)  # bit i: no way on from place i
         out: list[int] = []
         at, k = 0, longest[0] if n else -1
         while at < n:
             while k >= 0:
                 end = at + size[k]
-                if open_ >> end & 1 and (not out or fits[out[-1], k]):
+                if not failed[end >> 3] >> (end & 7) & 1 and (not out or fits[out[-1], k]):
                     break
                 k = shorter[k]
             if k >= 0:
@@ -115,7 +115,7 @@ class PieceCodec:
                 at = end
                 k = longest[at] if at < n else -1
             else:
-                open_ &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 k = out.pop()
                 at -= size[k]
         return out
@@ -135,12 +135,14 @@ class PieceCodec:
         for part in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text):
             word = part.lstrip(MARK)
             spaces = len(part) - len(word)
-            known = [""]
+            known, run = [], []  # runs of known characters with an unknown one between each two
             for c in MARK[: min(spaces, 1)] + word:
                 if c in self.chars:
-                    known[-1] += c
+                    run.append(c)
                 else:
-                    known += [c, ""]
+                    known += ["".join(run), c]
+                    run = []
+            known.append("".join(run))
             first = self._word(known[0]) if known[0] else []
             if spaces > 1:  # the words' merges come first; the spaces that they leave merge among themselves
                 free = spaces if first and self.text[first[0]] == MARK else spaces - 1
