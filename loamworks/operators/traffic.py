@@ -1,58 +1,89 @@
-"""Classification of requests by ordered rules, and normalised paths."""
+"""Classification of requests by ordered rules, device and browser families, normalised paths, and the rows of the traffic log."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamworks.functions import agents
 from loamworks.operators.graph import first_match
 
+_STRUCT = "struct<cls:string,name:string,category:string,reason:string,device:string,browser:string>"
+#: Columns of a logged point, in their order: dimensions, then the weight.
+POINT = ("kind", "cls", "name", "category", "path", "ref", "device", "browser", "locale", "country", "reason", "route", "env", "entry")
 
-@dataclass(frozen=True)
-class Rule:
-    """A pattern for the user agent, and what it tells; the first of an ordered list that matches wins."""
-
-    pattern: str
-    name: str
-    category: str
-    networks: tuple[int, ...] = ()
-
-
-#: A starting list: well-known public agents. Deployments pass their own, longer list.
-AGENTS = (
-    Rule(r"Googlebot", "Googlebot", "search"), Rule(r"bingbot", "Bingbot", "search"), Rule(r"DuckDuckBot", "DuckDuckBot", "search"), Rule(r"GPTBot", "GPTBot", "ai"),
-    Rule(r"ClaudeBot", "ClaudeBot", "ai"), Rule(r"CCBot", "CCBot", "ai"), Rule(r"facebookexternalhit", "Facebook", "preview"), Rule(r"Twitterbot", "Twitter", "preview"),
-)
-LIBRARIES = (Rule(r"^curl/", "curl", "library"), Rule(r"^Wget/", "wget", "library"), Rule(r"^python-requests", "requests", "library"), Rule(r"^Go-http-client", "go", "library"))
-
-
-def classify(ua: Column, verified: Column, webdriver: Column, network: Column, datacenters: tuple[int, ...], agents=AGENTS, libraries=LIBRARIES) -> Column:
-    """struct(cls, name, category): one CASE in the order platform-verified, known agent, empty, library, generic bot, webdriver, not a browser, datacenter, candidate."""
-    say = lambda cls, name, category: F.struct(F.lit(cls).alias("cls"), F.lit(name).alias("name"), F.lit(category).alias("category"))
-    ua = F.coalesce(ua, F.lit(""))
-    tests = [(verified, say("verified", "verified", "bot"))]
-    for r in agents:
-        known = ua.rlike(f"(?i){r.pattern}")
-        if r.networks:
-            tests.append((known & network.isin(*r.networks), say("verified", r.name, r.category)))
-        tests.append((known, say("declared", r.name, r.category)))
-    tests.append((ua == "", say("suspected", "empty", "unknown")))
-    tests += [(ua.rlike(f"(?i){r.pattern}"), say("declared", r.name, r.category)) for r in libraries]
-    tests.append((ua.rlike(r"(?i)bot|crawl|spider|scrape"), say("declared", "other", "bot")))
-    tests.append((webdriver, say("suspected", "webdriver", "automation")))
-    tests.append((~ua.startswith("Mozilla/"), say("suspected", "not-a-browser", "unknown")))
-    if datacenters:
-        tests.append((network.isin(*datacenters), say("suspected", "datacenter", "unknown")))
-    out = None
-    for test, value in tests:
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(say("candidate", "browser", "human"))
+
+def _cases(tests: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    out = F.when(*tests[0])
+    for test, value in tests[1:]:
+        out = out.when(test, value)
+    return out.otherwise(otherwise)
+
+
+def _any(rules: list[tuple]) -> str:
+    """One pattern for a list of them, so that an agent on no list costs one test instead of one a rule."""
+    return "|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for _, p, *_ in rules)
+
+
+def _known(ua: Column, rules: list[tuple]) -> Column:
+    """struct(name, category, networks) of the first rule that matches, or null."""
+    say = lambda r: F.struct(F.lit(r[0]).alias("name"), F.lit(r[2]).alias("category"), F.array(*map(F.lit, r[3])).cast("array<bigint>").alias("networks"))
+    none = F.lit(None).cast("struct<name:string,category:string,networks:array<bigint>>")
+    return F.when(ua.rlike(_any(rules)), _cases([(ua.rlike(r[1]), say(r)) for r in rules], none))
+
+
+def classify(requests: DataFrame, known: list[tuple] = agents.AGENTS, libraries: list[tuple] = agents.LIBRARIES, hosting: tuple[int, ...] = agents.HOSTING) -> DataFrame:
+    """Adds cls, name, category, reason, device and browser to requests with ua, accept_language, sec_fetch_mode, network, organization, verified, platform_category, kind, webdriver.
+
+    verified: a listed agent confirmed by the platform or its operator's own network. declared: a name that nothing confirms. suspected: automation
+    without a name, by library, missing or odd agent text, script control, missing headers of a page request, or a hosting network. candidate: the
+    rest, who look like people; only they have a device and browser. Null texts are empty, null flags false. Agent texts count up to 512 characters.
+    """
+    ua = F.left(F.coalesce("ua", F.lit("")), F.lit(512))
+    rows = requests.withColumn("_ua", ua).withColumns({"_agent": _known(F.col("_ua"), known), "_library": _known(F.col("_ua"), libraries)})
+    ua, agent, library = F.col("_ua"), F.col("_agent"), F.col("_library")
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    network, platform = F.coalesce("network", F.lit(0)).cast("bigint"), F.coalesce("platform_category", F.lit(""))
+    text = lambda v: F.lit(v) if isinstance(v, str) else v
+
+    def bot(cls: str | Column, name: str | Column, category: str | Column, reason: str | Column) -> Column:
+        return F.struct(text(cls), text(name), text(category), text(reason), F.lit("bot"), F.lit("bot")).cast(_STRUCT)
+
+    confirmed = F.array_contains(agent["networks"], network) & (network != 0)
+    ours = reduce(lambda out, kv: F.when(platform == kv[0], kv[1]).otherwise(out), agents.PLATFORM_CATEGORIES.items(), F.lit("other"))
+    or_else = lambda c, other: F.when(c != "", c).otherwise(other)
+    own_name = F.regexp_extract(ua, r"(?i)([A-Za-z][\w.-]{1,40}?(?:bot|crawler|spider))\b", 1)
+    generic = or_else(own_name, or_else(F.regexp_extract(ua, r"([A-Za-z][\w.-]{1,40})/", 1), F.lit("Unknown bot")))
+    client = or_else(F.trim(F.regexp_extract(ua, r"^([A-Za-z][\w .-]{0,39}?)(?:/|\s|$)", 1)), F.lit("Non-browser client"))
+    version = lambda b: F.coalesce(F.regexp_extract(ua, rf"{b}/(\d+)", 1).try_cast("int"), F.lit(0))
+    page = F.coalesce("kind", F.lit("page")) == "page"
+    place = F.coalesce(F.left("organization", F.lit(40)), F.concat(F.lit("AS"), network.cast("string")))
+    person = F.struct(F.lit("candidate"), F.lit(""), F.lit(""), F.lit(""), device(ua), browser(ua)).cast(_STRUCT)
+    tests = [
+        (flag("verified") | (platform != ""), bot("verified", F.coalesce(agent["name"], or_else(platform, F.lit("Verified bot"))), F.coalesce(agent["category"], ours), "platform")),
+        (agent.isNotNull(), bot(F.when(confirmed, "verified").otherwise("declared"), agent["name"], agent["category"], F.when(confirmed, "network").otherwise("agent"))),
+        (F.trim(ua) == "", bot("suspected", "No user agent", "library", "empty-agent")),
+        (library.isNotNull(), bot("suspected", library["name"], "library", library["category"])),
+        (F.regexp_replace(ua, "(?i)cubot", "").rlike(agents.GENERIC), bot("declared", generic, "other", "agent")),  # a brand of phones, not a bot
+        (flag("webdriver"), bot("suspected", "WebDriver", "library", "webdriver")),
+        (~ua.rlike(r"^Mozilla/5\.0 \("), bot("suspected", client, "library", "no-browser")),
+        (page & empty("accept_language"), bot("suspected", "Browser without Accept-Language", "other", "no-accept-language")),
+        (page & empty("sec_fetch_mode") & ((version("Chrome") >= 80) | (version("Firefox") >= 90)), bot("suspected", "Browser without Fetch Metadata", "other", "no-fetch-metadata")),
+        (network.isin(*hosting) if hosting else F.lit(False), bot("suspected", F.concat(F.lit("Datacenter · "), place), "other", "datacenter")),
+    ]
+    return rows.withColumn("_told", _cases(tests, person)).select(*requests.columns, "_told.*")
 
 
 def device(ua: Column) -> Column:
-    return first_match(ua, [(ua.rlike("(?i)ipad|tablet"), "tablet"), (ua.rlike("(?i)mobi|iphone|android"), "phone"), (ua == "", "unknown")], "desktop")
+    return first_match(ua, [(ua.rlike(r"(?i)iPad|Tablet|PlayBook|Silk/|Kindle|Android(?!.*Mobile)"), "tablet"), (ua.rlike("(?i)Mobi|iPhone|iPod|Android|Windows Phone"), "mobile")], "desktop")
+
+
+def browser(ua: Column) -> Column:
+    """The family alone."""
+    return first_match(ua, [(ua.rlike(p), name) for name, p in agents.BROWSERS], "other")
 
 
 def normal_path(url: Column, allowed: tuple[str, ...]) -> Column:
@@ -62,3 +93,26 @@ def normal_path(url: Column, allowed: tuple[str, ...]) -> Column:
     found = [F.when(url.rlike(f"[?&]{k}=[^&#]+"), F.concat(F.lit(f"{k}="), F.regexp_extract(url, f"[?&]{k}=([^&#]+)", 1))) for k in allowed]
     query = F.concat_ws("&", *found)
     return F.concat(F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
+def allowed_event(name: Column, values: Column, names: tuple[str, ...], dimensions: dict[str, tuple[str, ...]], most: int = 100) -> Column:
+    """A map of what may be logged of an event: its name, the listed dimensions with a listed value, and a count clamped to 0..most; null for names not listed.
+
+    values: a map of texts. Unknown keys and values are dropped.
+    """
+    kept = F.map_filter(values, lambda k, v: reduce(lambda a, b: a | b, [(k == d) & v.isin(*ok) for d, ok in dimensions.items()], F.lit(False)))
+    count = F.try_element_at(values, F.lit("count")).try_cast("int")
+    clamped = F.when(count.isNotNull(), F.create_map(F.lit("count"), F.greatest(F.lit(0), F.least(F.lit(most), count)).cast("string")))
+    return F.when(name.isin(*names), F.map_concat(F.create_map(F.lit("event"), name), kept, F.coalesce(clamped, F.create_map().cast("map<string,string>"))))
+
+
+def points(rows: DataFrame, dimensions: tuple[str, ...] = POINT) -> DataFrame:
+    """Rows as logged points: day, ts, every dimension as a text of at most 96 characters (empty where null or missing), weight. Append them partitioned by day."""
+    have = set(rows.columns)
+    text = lambda c: (F.left(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(96)) if c in have else F.lit("")).alias(c)
+    return rows.select(F.to_date("ts").alias("day"), "ts", *map(text, dimensions), (F.coalesce("weight", F.lit(1.0)) if "weight" in have else F.lit(1.0)).alias("weight"))
+
+
+def append_points(rows: DataFrame, path: str) -> None:
+    """Appends points to a Parquet log, a folder a day; also fit for foreachBatch."""
+    points(rows).write.mode("append").partitionBy("day").parquet(path)

@@ -146,14 +146,29 @@ def test_islands(spark):
     assert sorted((r["h"], r["island"]) for r in runs.collect()) == [(1, 1), (2, 1), (4, 2)]
 
 
-@pytest.mark.parametrize("ua,verified,cls,name", [
-    ("Mozilla/5.0 (compatible; Googlebot/2.1)", False, "declared", "Googlebot"), ("", False, "suspected", "empty"), ("curl/8", False, "declared", "curl"), ("my-crawler", False, "declared", "other"),
-    ("Mozilla/5.0 (Windows NT 10.0)", False, "candidate", "browser"), ("Opera/9", False, "suspected", "not-a-browser"), (None, False, "suspected", "empty"), ("x", True, "verified", "verified"),
+_BROWSER = "Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 Chrome/126.0 Safari/537.36"
+
+
+@pytest.mark.parametrize("ua,more,cls,name,reason", [
+    ("Mozilla/5.0 (compatible; Googlebot/2.1)", {}, "declared", "Googlebot", "agent"), ("Mozilla/5.0 (compatible; Googlebot/2.1)", {"network": 15169}, "verified", "Googlebot", "network"), ("", {}, "suspected", "No user agent", "empty-agent"),
+    ("curl/8", {}, "suspected", "curl", "library"), ("my-crawler/1", {}, "declared", "my-crawler", "agent"), (_BROWSER, {}, "candidate", "", ""), ("Opera/9", {}, "suspected", "Opera", "no-browser"), (None, {}, "suspected", "No user agent", "empty-agent"),
+    ("x", {"verified": True}, "verified", "Verified bot", "platform"), (_BROWSER, {"accept_language": None}, "suspected", "Browser without Accept-Language", "no-accept-language"), (_BROWSER, {"network": 16509}, "suspected", "Datacenter · AS16509", "datacenter"),
+    (_BROWSER, {"sec_fetch_mode": ""}, "suspected", "Browser without Fetch Metadata", "no-fetch-metadata"), (_BROWSER, {"sec_fetch_mode": "", "kind": "beacon"}, "candidate", "", ""), (_BROWSER, {"webdriver": True}, "suspected", "WebDriver", "webdriver"),
 ])
-def test_classification_order(spark, ua, verified, cls, name):
-    df = spark.createDataFrame([(ua, verified)], "ua string, v boolean")
-    got = df.select(traffic.classify(F.col("ua"), F.col("v"), F.lit(False), F.lit(0), (7,)).alias("c")).first()["c"]
-    assert (got["cls"], got["name"]) == (cls, name)
+def test_classification_order(spark, ua, more, cls, name, reason):
+    row = {"ua": ua, "accept_language": "en", "sec_fetch_mode": "navigate", "network": 0, "organization": None, "verified": None, "platform_category": None, "kind": "page", "webdriver": None} | more
+    kinds = "ua string, accept_language string, sec_fetch_mode string, network bigint, organization string, verified boolean, platform_category string, kind string, webdriver boolean"
+    got = traffic.classify(spark.createDataFrame([tuple(row.values())], kinds)).first()
+    assert (got["cls"], got["name"], got["reason"]) == (cls, name, reason)
+
+
+def test_points_are_appended_by_day(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01 10:00:00", "page", "x" * 200), ("2024-01-02 10:00:00", None, "y")], "ts string, kind string, name string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for _ in range(2):
+        traffic.append_points(rows, f"{tmp_path}/log")
+    got = spark.read.parquet(f"{tmp_path}/log")
+    assert got.count() == 4 and sorted((r["kind"], len(r["name"])) for r in got.filter("day = '2024-01-01'").collect()) == [("page", 96)] * 2
+    assert got.filter("kind = '' AND path = '' AND weight = 1").count() == 2
 
 
 def test_trending_drops_nested_terms(spark):
