@@ -1,4 +1,4 @@
 """All queries on the driver's tables, with the SQL that must give the same rows."""
 
-from loamworks.plans import aggregates, boards, entities, filters, graphs, joins, kernels, requests, series, tables, texts, windows  # noqa: F401  they register their queries
+from loamworks.plans import aggregates, boards, entities, filters, graphs, joins, kernels, publish, requests, series, tables, texts, windows  # noqa: F401  they register their queries
 from loamworks.plans.registry import ORACLE, QUERIES  # noqa: F401
