@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamworks.functions import scalar
+from loamworks.functions import scalar, values
 
 RELEASE = "array<struct<tag_name:string,name:string,draft:boolean,prerelease:boolean,published_at:string,html_url:string>>"
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
@@ -120,3 +120,21 @@ def benchmark_scores(rows: DataFrame, scenes: tuple[str, ...], version: str, lea
 def seed_documents(spark: SparkSession, path: str) -> DataFrame:
     """All JSON seed documents below a folder, one row each."""
     return spark.read.option("multiLine", True).option("recursiveFileLookup", True).json(path)
+
+
+_NEWS = "struct<appnews:struct<newsitems:array<struct<title:string,url:string,date:bigint,tags:array<string>>>>>"
+
+
+def news_posts(fetched: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """(key, title, url, posted, update, version, channel) of a JSON list of posts; those without a date are left out."""
+    rows = fetched.select(key, F.explode(F.from_json(body, _NEWS)["appnews"]["newsitems"]).alias("n")).filter("n.date IS NOT NULL")
+    kind = values.post_kind(F.coalesce("n.title", F.lit("")), F.coalesce(F.array_contains("n.tags", "patchnotes"), F.lit(False)))
+    return rows.select(key, "n.title", "n.url", F.timestamp_seconds("n.date").alias("posted"), kind.alias("k")).select(key, "title", "url", "posted", "k.*")
+
+
+def news_versions(fetched: DataFrame, key: str, body: str = "body", keep: int = 8) -> DataFrame:
+    """(key, version, released, place): the ``keep`` newest stable versions of each feed, each with the day of the first post about it."""
+    posts = news_posts(fetched, key, body).filter("update AND channel = 'stable' AND version IS NOT NULL")
+    first = posts.groupBy(key, "version").agg(F.min("posted").alias("first")).select(key, "version", F.date_format("first", "yyyy-MM-dd").alias("released"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("released"), "version"))
+    return first.withColumn("place", place.cast("bigint")).filter(F.col("place") <= keep)
