@@ -84,6 +84,19 @@ def validate(rows: DataFrame, rules: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(broken, message) for broken, message in rules]))
 
 
+#: Bits of a tile's neighbours, clockwise from the one above.
+NEIGHBOURS = ((0, -1, 1), (1, -1, 2), (1, 0, 4), (1, 1, 8), (0, 1, 16), (-1, 1, 32), (-1, 0, 64), (-1, -1, 128))
+
+
+def tile_masks(cells: DataFrame) -> DataFrame:
+    """(x, y, edges, blob) of distinct filled cells: bits of the four neighbours by edges, and of all eight, a corner counting only between two filled edges."""
+    told = F.array(*[F.struct((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.lit(w).alias("w")) for dx, dy, w in (*NEIGHBOURS, (0, 0, 0))])
+    masks = cells.select(F.inline(told)).groupBy("x", "y").agg(F.sum("w").alias("m"), F.bool_or(F.col("w") == 0).alias("filled")).filter("filled")
+    edges = F.col("m").bitwiseAND(85)
+    corner = lambda bit, both: F.when(F.col("m").bitwiseAND(both) == both, bit).otherwise(0)
+    return masks.select("x", "y", edges.alias("edges"), (edges + corner(2, 7) + corner(8, 28) + corner(32, 112) + corner(128, 193)).alias("blob"))
+
+
 def near_signatures(signatures: DataFrame, id_col: str, signature: str, radius: int, bits: int = 64) -> DataFrame:
     """(a, b) of the ids of distinct signatures that differ in at most ``radius`` bits, least ids standing for equal signatures.
 

@@ -74,3 +74,33 @@ def suppressed_share(votes: DataFrame, keys: list[str], has: Column, least: int
     sets = [[], *[[k] for k in keys], *([keys] if len(keys) > 1 else [])]
     cells = votes.groupingSets(sets, *keys).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.count_if(has).alias("yes"))
     return cells.withColumn("pct", F.when(F.col("n") >= least, F.floor(100 * F.col("yes") / F.col("n") + 0.5))).drop("yes")
+
+
+def places(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Adds each row's place, from 1, in an order over all rows: ranges are ordered each in its task, and a range starts after the rows of those before."""
+    from loamworks.operators.graph import settle
+
+    # written, since a range's bounds are sampled and must be the same for all that follows
+    dealt = settle(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(before.select("_range", "_before"), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
+def blocked_places(rows: DataFrame, keys: list[str], block: Column, order: list[Column], descending: bool = False, name: str = "place") -> DataFrame:
+    """Adds each row's place, from 1, among those of its keys, where ``block`` never falls along the order (never rises, if ``descending``).
+
+    Rows are numbered within blocks, and a block starts after the rows of those before, so that a key with a third of all rows is no one task's.
+    """
+    marked = rows.withColumn("_block", block)
+    by = F.desc_nulls_last("_block") if descending else F.asc_nulls_last("_block")
+    sizes = marked.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("_before", before).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), "_before")
+    own = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
+    same = F.col("_block").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = marked.withColumn("_own", own).join(offsets, same).withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint"))
+    return out.select(*rows.columns, name)

@@ -48,3 +48,23 @@ def moving_quadratic(column: str, position: str, keys: list[str], half: int) ->
     det = n * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2)
     top = b0 * (m2 * m4 - m3 * m3) - m1 * (b1 * m4 - b2 * m3) + m2 * (b1 * m3 - b2 * m2)
     return F.when(n >= 3, top / det).otherwise(b0 / n)
+
+
+def before_in_blocks(rows: DataFrame, value: str, keys: list[str], block: Column, order: list[str], name: str = "before") -> DataFrame:
+    """Adds the value of the row before within the keys, where ``block`` never falls along the order: lags are taken within blocks, and a block's first row gets the last of the block before."""
+    marked = rows.withColumn("_block", block)
+    last = marked.groupBy(*keys, "_block").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    carried = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))
+    edges = last.withColumn("_carried", carried["v"]).drop("_last")
+    own = Window.partitionBy(*keys, "_block").orderBy(*order)
+    joined = marked.withColumn("_lag", F.lag(value).over(own)).withColumn("_first", F.row_number().over(own) == 1).join(edges, [*keys, "_block"])
+    return joined.withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag"))).select(*rows.columns, name)
+
+
+def islands_in_blocks(rows: DataFrame, keys: list[str], block: Column, order: list[str], starts: Column) -> DataFrame:
+    """Adds ``island``: how many rows up to this one start an island, within the keys, where ``block`` never falls along the order."""
+    marked = rows.withColumn("_block", block).withColumn("_start", F.coalesce(starts, F.lit(False)).cast("bigint"))
+    sums = marked.groupBy(*keys, "_block").agg(F.sum("_start").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum("_start").over(Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("_own", own).join(sums.withColumn("_before", before).drop("_n"), [*keys, "_block"]).withColumn("island", F.col("_own") + F.col("_before")).select(*rows.columns, "island")

@@ -92,11 +92,10 @@ def undated_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of events in either direction; those without a date come last in both."""
     starts = F.when(F.col("event_id") % 5 > 0, F.unix_millis(F.col("ts").cast("timestamp")))
     rows = table(spark, sf_dir, "events").select("event_type", "event_id", starts.alias("starts"))
-    by = relational.Window.partitionBy("event_type")
-    return rows.select(
-        "event_type", "event_id", F.row_number().over(by.orderBy(F.asc_nulls_last("starts"), "event_id")).cast("bigint").alias("rising"),
-        F.row_number().over(by.orderBy(F.desc(F.coalesce("starts", F.lit(0))), "event_id")).cast("bigint").alias("falling"),
-    )
+    day = F.floor(F.col("starts") / 86_400_000)
+    rising = relational.blocked_places(rows, ["event_type"], day, [F.asc_nulls_last("starts"), F.col("event_id")], name="rising")
+    both = relational.blocked_places(rising, ["event_type"], F.coalesce(day, F.lit(0)), [F.desc(F.coalesce("starts", F.lit(0))), F.col("event_id")], descending=True, name="falling")
+    return both.select("event_type", "event_id", "rising", "falling")
 
 
 @query(

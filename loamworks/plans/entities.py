@@ -94,17 +94,14 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT vec_id, CAST(sum(CASE WHEN x > 0 THEN 1::HUGEINT << (i - 1) ELSE 0 END) AS HUGEINT) AS s FROM (SELECT vec_id, unnest(embedding[1:24]) AS x, generate_subscripts(embedding[1:24], 1) AS i FROM embeddings) GROUP BY vec_id),
-    o AS (SELECT CAST(s AS BIGINT) AS s, min(vec_id) AS id FROM s GROUP BY s)
-    SELECT x.id AS a, y.id AS b FROM o x JOIN o y ON x.id < y.id AND bit_count(xor(x.s, y.s)) <= 3"""
+    """WITH s AS (SELECT vec_id, sum(CASE WHEN x > 0 THEN 1::HUGEINT << (i - 1) ELSE 0 END)::HUGEINT AS s FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY vec_id),
+    o AS (SELECT s, min(vec_id) AS id FROM s GROUP BY s)
+    SELECT x.id AS a, y.id AS b FROM o x JOIN o y ON x.id < y.id AND bit_count(xor(x.s, y.s)) <= 7"""
 )
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of sign-bit signatures that differ in three of 24 bits or fewer."""
-    bits = [F.when(F.col("embedding")[i] > 0, F.lit(1 << i)).otherwise(F.lit(0).cast("bigint")) for i in range(24)]
-    signature = bits[0].cast("bigint")
-    for b in bits[1:]:
-        signature = signature.bitwiseOR(b.cast("bigint"))
-    return entities.near_signatures(table(spark, sf_dir, "embeddings").select("vec_id", signature.alias("s")), "vec_id", "s", 3, 24)
+    """Pairs of sign-bit signatures that differ in seven of 64 bits or fewer."""
+    signature = F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
+    return entities.near_signatures(table(spark, sf_dir, "embeddings").select("vec_id", signature.alias("s")), "vec_id", "s", 7, 64)
 
 
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
@@ -147,17 +144,16 @@ def missing_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT user_id % 40 AS x, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS y FROM events WHERE event_type = 'signup' AND user_id % 3 = 0)
-    SELECT a.x, CAST(a.y AS INTEGER) AS y, CAST(sum(CASE WHEN b.x IS NOT NULL THEN w ELSE 0 END) AS BIGINT) AS mask FROM c a, (VALUES (0, -1, 1), (1, 0, 2), (0, 1, 4), (-1, 0, 8)) d(dx, dy, w)
-    LEFT JOIN c b ON b.x = a.x + dx AND b.y = a.y + dy GROUP BY a.x, a.y"""
+    """WITH c AS (SELECT DISTINCT user_id % 40 AS x, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS y FROM events WHERE event_type = 'signup'),
+    m AS (SELECT a.x, a.y, CAST(sum(CASE WHEN b.x IS NOT NULL THEN w ELSE 0 END) AS BIGINT) AS m FROM c a, (VALUES (0, -1, 1), (1, -1, 2), (1, 0, 4), (1, 1, 8), (0, 1, 16), (-1, 1, 32), (-1, 0, 64), (-1, -1, 128)) d(dx, dy, w)
+        LEFT JOIN c b ON b.x = a.x + dx AND b.y = a.y + dy GROUP BY a.x, a.y)
+    SELECT x, CAST(y AS INTEGER) AS y, m & 85 AS edges, (m & 85) + CASE WHEN m & 7 = 7 THEN 2 ELSE 0 END + CASE WHEN m & 28 = 28 THEN 8 ELSE 0 END + CASE WHEN m & 112 = 112 THEN 32 ELSE 0 END + CASE WHEN m & 193 = 193 THEN 128 ELSE 0 END AS blob FROM m"""
 )
 def autotile_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of its four neighbours each filled tile has, as bits: tiles tell their neighbours, and bits are summed."""
+    """Which of its eight neighbours each filled tile has, as bits: tiles tell their neighbours, and bits are summed."""
     y = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-    cells = table(spark, sf_dir, "events").filter("event_type = 'signup' AND user_id % 3 = 0").select((F.col("user_id") % 40).alias("x"), y.alias("y")).distinct()
-    told = F.array(*[F.struct((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.lit(w).alias("w")) for dx, dy, w in ((0, -1, 1), (1, 0, 2), (0, 1, 4), (-1, 0, 8), (0, 0, 0))])
-    rows = cells.select(F.inline(told))
-    return rows.groupBy("x", "y").agg(F.sum("w").alias("mask"), F.bool_or(F.col("w") == 0).alias("filled")).filter("filled").drop("filled")
+    cells = table(spark, sf_dir, "events").filter("event_type = 'signup'").select((F.col("user_id") % 40).alias("x"), y.alias("y")).distinct()
+    return entities.tile_masks(cells)
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamworks.operators import graph
@@ -30,13 +30,13 @@ def closure_down(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT 'c' || c_custkey AS root, 'c' || c_custkey AS id, 0 AS depth FROM customer WHERE c_custkey % 10 = 0
+    f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT 'c' || c_custkey AS root, 'c' || c_custkey AS id, 0 AS depth FROM customer
         UNION ALL SELECT root, a, depth + 1 FROM walk JOIN edges ON id = b WHERE depth < 2)
     SELECT root, id, min(depth) AS depth FROM walk GROUP BY root, id"""
 )
 def closure_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that stands above a given list of customers."""
-    roots = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    """All that stands above each customer."""
+    roots = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
     up = part_of(spark, sf_dir).select(F.col("b").alias("a"), F.col("a").alias("b"))
     return graph.closure(up, roots, 2)
 
@@ -77,16 +77,19 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE p AS (SELECT c_custkey AS id, c_acctbal AS strength, row_number() OVER (ORDER BY c_custkey) - 1 AS slot FROM customer ORDER BY c_custkey LIMIT 64),
-    r(round, slot, id, strength) AS (SELECT 0, slot, id, strength FROM p UNION ALL
-        SELECT * FROM (SELECT round + 1, slot // 2, arg_max(id, (strength, -id)), max(strength) FROM r WHERE round < 6 GROUP BY round, slot // 2))
-    SELECT CAST(round AS INTEGER) AS round, slot, id FROM r WHERE round > 0"""
+    """WITH RECURSIVE p AS (SELECT c_nationkey AS bracket, c_custkey AS id, c_acctbal AS strength, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS slot, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+    r(bracket, round, slot, id, strength, n) AS (SELECT bracket, 0, slot, id, strength, n FROM p UNION ALL
+        SELECT * FROM (SELECT bracket, round + 1, slot // 2, arg_max(id, (strength, -id)), max(strength), any_value((n + 1) // 2) FROM r WHERE n > 1 GROUP BY bracket, round, slot // 2))
+    SELECT bracket, CAST(round AS INTEGER) AS round, slot, id FROM r WHERE round > 0"""
 )
 def tournament_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Winners of each round of a bracket of 64: the stronger of each pair goes on; a slot without a partner has a bye."""
-    first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("strength")).orderBy("id").limit(64)
-    slots = first.withColumn("slot", F.expr("row_number() OVER (ORDER BY id) - 1").cast("bigint"))  # 64 rows
+    """Winners of each round of each nation's bracket: the stronger of each pair goes on; a slot without a partner has a bye."""
+    by = Window.partitionBy("c_nationkey")
+    first = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("bracket"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("strength"),
+        (F.row_number().over(by.orderBy("c_custkey")) - 1).cast("bigint").alias("slot"), F.count("*").over(by).alias("n"),
+    )
     # a round's winner is the strongest of the 2^round slots below it
-    rounds = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("round"))
+    rounds = first.filter("n > 1").select("*", F.explode(F.sequence(F.lit(1), F.ceil(F.log2("n")).cast("int"))).alias("round"))
     at = F.floor(F.col("slot") / F.pow(F.lit(2), F.col("round"))).alias("slot")
-    return rounds.groupBy("round", at).agg(F.max_by("id", F.struct("strength", -F.col("id"))).alias("id"))
+    return rounds.groupBy("bracket", "round", at).agg(F.max_by("id", F.struct("strength", -F.col("id"))).alias("id"))

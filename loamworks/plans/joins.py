@@ -125,13 +125,13 @@ def ordered_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey, v, row_number() OVER (ORDER BY a, b, c, p_partkey) AS place FROM (SELECT p_partkey, a || '.' || b || '.' || c AS v, a, b, c
-        FROM (SELECT p_partkey, p_partkey % 3 AS a, p_partkey % 17 AS b, p_partkey % 101 AS c FROM part)) ORDER BY place LIMIT 100"""
+        FROM (SELECT p_partkey, p_partkey % 3 AS a, p_partkey % 17 AS b, p_partkey % 101 AS c FROM part))"""
 )
 def version_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred in the order of their versions' numbers; ranks come from the sorted hundred."""
+    """Every part's place in the order of their versions' numbers."""
     v = F.concat_ws(".", F.col("p_partkey") % 3, F.col("p_partkey") % 17, F.col("p_partkey") % 101)
-    first = table(spark, sf_dir, "part").select("p_partkey", v.alias("v")).orderBy(scalar.version_sort_key(v), "p_partkey").limit(100)
-    return first.withColumn("place", F.expr("row_number() OVER (ORDER BY transform(split(v, '[.]'), x -> CAST(x AS INT)), p_partkey)").cast("bigint"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", v.alias("v")).withColumn("key", scalar.version_sort_key(F.col("v")))
+    return relational.places(rows, ["key", "p_partkey"]).select("p_partkey", "v", "place")
 
 
 @query("SELECT o_orderkey, round((3 * up + 2 * comments + views / 50.0) / (age + 2), 9) AS hot FROM (SELECT o_orderkey, o_orderkey % 37 AS up, o_orderkey % 11 AS comments, o_custkey AS views, o_orderkey % 500 AS age FROM orders) ORDER BY (3 * up + 2 * comments + views / 50.0) / (age + 2) DESC, o_orderkey LIMIT 40")

@@ -32,23 +32,23 @@ def assign(vectors: DataFrame, centers: DataFrame, dims: int, most: int = 1000)
     return vectors.crossJoin(F.broadcast(one)).withColumn("nearest", ranked).select("vec_id", "label", "embedding", F.col("nearest.l").alias("assigned"), F.col("nearest.d").alias("distance"))
 
 
-_ASSIGN = """m AS (SELECT label, """ + ", ".join(f"avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS m{i}" for i in range(8)) + """ FROM embeddings GROUP BY label),
-    d AS (SELECT vec_id, m.label AS l, round(""" + " + ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - m{i}) * (CAST(embedding[{i + 1}] AS DOUBLE) - m{i})" for i in range(8)) + """, 9) AS d FROM embeddings, m),
+_ASSIGN = """m AS (SELECT label, """ + ", ".join(f"avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS m{i}" for i in range(64)) + """ FROM embeddings GROUP BY label),
+    d AS (SELECT vec_id, m.label AS l, round(""" + " + ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - m{i}) * (CAST(embedding[{i + 1}] AS DOUBLE) - m{i})" for i in range(64)) + """, 9) AS d FROM embeddings, m),
     a AS (SELECT vec_id, arg_min(l, (d, l)) AS assigned FROM d GROUP BY vec_id)"""
 
 
 @query(f"WITH {_ASSIGN} SELECT vec_id, assigned FROM a")
 def palette_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest of the labels' means, over eight components."""
+    """Nearest of the labels' means, over all components."""
     v = table(spark, sf_dir, "embeddings")
-    return assign(v, _centers(v, "label", 8), 8).select("vec_id", "assigned")
+    return assign(v, _centers(v, "label", 64), 64).select("vec_id", "assigned")
 
 
 @query(f"WITH {_ASSIGN} SELECT assigned, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS c0, round(avg(CAST(embedding[2] AS DOUBLE)), 6) AS c1 FROM a JOIN embeddings USING (vec_id) GROUP BY assigned")
 def palette_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Lloyd step: assign, then new means."""
     v = table(spark, sf_dir, "embeddings")
-    got = assign(v, _centers(v, "label", 8), 8)
+    got = assign(v, _centers(v, "label", 64), 64)
     mean = lambda i: F.round(F.avg(F.col("embedding")[i].cast("double")), 6)
     return got.groupBy("assigned").agg(F.count("*").alias("n"), mean(0).alias("c0"), mean(1).alias("c1"))
 

@@ -123,8 +123,8 @@ def autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def frame_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest, root mean square and mean change from row to row."""
-    d = F.col("value") - sequences.before("value", ["event_type"], ["ts", "event_id"])
-    return table(spark, sf_dir, "events").select("event_type", d.alias("x")).filter("x IS NOT NULL").groupBy("event_type").agg(
+    rows = sequences.before_in_blocks(table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value"), "value", ["event_type"], F.to_date("ts"), ["ts", "event_id"])
+    return rows.select("event_type", (F.col("value") - F.col("before")).alias("x")).filter("x IS NOT NULL").groupBy("event_type").agg(
         F.round(F.max(F.abs("x")), 6).alias("max_abs"), F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 6).alias("rms"), F.round(F.avg(F.abs("x")), 6).alias("mean_abs")
     )
 
@@ -147,5 +147,5 @@ def loop_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest run of failures since a success."""
     ev = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("adapter"), (F.col("event_type") == "error").alias("bad"), "ts", "event_id")
-    runs = sequences.islands(ev, ["adapter"], ["ts", "event_id"], ~F.col("bad"))
+    runs = sequences.islands_in_blocks(ev, ["adapter"], F.to_date("ts"), ["ts", "event_id"], ~F.col("bad"))
     return runs.groupBy("adapter", "island").agg(F.count_if("bad").alias("n")).groupBy("adapter").agg(F.max("n").alias("worst"))
