@@ -94,14 +94,17 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT vec_id, sum(CASE WHEN x > 0 THEN 1::HUGEINT << (i - 1) ELSE 0 END)::HUGEINT AS s FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY vec_id),
-    o AS (SELECT s, min(vec_id) AS id FROM s GROUP BY s)
-    SELECT x.id AS a, y.id AS b FROM o x JOIN o y ON x.id < y.id AND bit_count(xor(x.s, y.s)) <= 7"""
+    """WITH k AS (SELECT p_partkey AS id, p_partkey // 6 AS k FROM part), s AS (SELECT id, xor(xor((k * 2654435761 % 2147483648) * 4294967296 + (k * 40503 + 12345) % 2147483648, 1::BIGINT << CAST(id % 6 * 7 AS INT)), 1::BIGINT << CAST(id * 11 % 61 AS INT)) AS s FROM k),
+    o AS (SELECT s, min(id) AS id FROM s GROUP BY s)
+    SELECT x.id AS a, y.id AS b FROM o x JOIN o y ON x.id < y.id AND bit_count(xor(x.s, y.s)) <= 3"""
 )
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of sign-bit signatures that differ in seven of 64 bits or fewer."""
-    signature = F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
-    return entities.near_signatures(table(spark, sf_dir, "embeddings").select("vec_id", signature.alias("s")), "vec_id", "s", 7, 64)
+    """Pairs of 62-bit signatures that differ in three bits or fewer; groups of six parts have nearly the same."""
+    k = F.floor(F.col("p_partkey") / 6)
+    base = (k * 2654435761 % 2147483648) * 4294967296 + (k * 40503 + 12345) % 2147483648
+    flip = lambda n: F.expr(f"shiftleft(1L, CAST({n} AS INT))")
+    signature = base.bitwiseXOR(flip("p_partkey % 6 * 7")).bitwiseXOR(flip("p_partkey * 11 % 61"))
+    return entities.near_signatures(table(spark, sf_dir, "part").select("p_partkey", signature.alias("s")), "p_partkey", "s", 3, 64)
 
 
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
