@@ -39,6 +39,22 @@ def trigram_bm25(docs: DataFrame, phrase: str, id_col: str, text_col: str, k1: f
     return both.select(id_col, reduce(lambda x, y: x + y, map(part, range(len(wanted)))).alias("score"))
 
 
+def weighted_bm25(docs: DataFrame, phrase: str, id_col: str, weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``trigram_bm25`` over several columns: a trigram counts as often as it stands in each, times the column's weight; the phrase may stand in any."""
+    low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in weights}
+    wanted = sorted({phrase.lower()[i : i + 3] for i in range(len(phrase) - 2)})
+    pattern = lambda t: F.lit("(?=" + "".join(f"[{c}]" if c not in "^\\]" else "\\" + c for c in t) + ")")
+    size = sum((F.greatest(F.length(x) - 2, F.lit(0)) for x in low.values()), F.lit(0))
+    tf = [sum((F.regexp_count(x, pattern(t)) * w for (c, x), w in zip(low.items(), weights.values())), F.lit(0.0)).alias(f"t{i}") for i, t in enumerate(wanted)]
+    hit = reduce(lambda x, y: x | y, [F.contains(x, F.lit(phrase.lower())) for x in low.values()])
+    rows = docs.select(F.col(id_col), size.alias("size"), hit.alias("hit"), *tf)
+    total = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(wanted))])
+    both = rows.filter("hit").crossJoin(F.broadcast(total))  # one row
+    idf = lambda i: F.log(1 + (F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
+    part = lambda i: idf(i) * F.col(f"t{i}") * (k1 + 1) / (F.col(f"t{i}") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    return both.select(id_col, reduce(lambda x, y: x + y, map(part, range(len(wanted)))).alias("score"))
+
+
 def trending(titles: DataFrame, id_col: str, text_col: str, pair_weight: float = 1.3, least: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
     """(term, n, weight): words and pairs of words by the number of titles that hold them, each once a title, pairs weighted up."""
     words = F.filter(F.split(F.regexp_replace(F.lower(text_col), r"[^\p{L}\p{N}]+", " "), " "), lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\d+$") & ~w.isin(*stop) if stop else (F.length(w) >= 2) & ~w.rlike(r"^\d+$"))
