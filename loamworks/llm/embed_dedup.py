@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from loamworks.llm.components import connected_components
 from loamworks.llm.shared import materialize, spanning_edges
 
-#: Cells at the top of the tree, and the vectors sampled to place them: a documented bound, see ``pivots``.
-CELLS, SAMPLE = 12, 512
+#: Cells at the top of the tree, at least and at most, one for each block of vectors between, and the vectors sampled to place them: a documented bound, see ``pivots``.
+CELLS, MOST_CELLS, SAMPLE = 4, 256, 1024
 #: Vectors in a block, about.
 BLOCK = 8192
 #: Radii of the nets below a cell, each half of the one above.
@@ -87,7 +87,11 @@ def cover_tree(x: np.ndarray, radii: tuple = RADII) -> tuple[np.ndarray, np.ndar
 
 
 def _levels(place: np.ndarray, head: np.ndarray, reach: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(vectors, reach, first child, children) of the nodes of each level; the last level is the vectors themselves."""
+    """(vectors, reach, first child, children) of the nodes of each level; the last level is the vectors themselves.
+
+    Some of the uppermost nodes may be missing, with all below them: the others are counted anew, in their order.
+    """
+    place = np.stack([np.unique(p, return_inverse=True)[1] for p in place.T], 1) if len(place) else place
     nodes = []
     for k in range(place.shape[1] + 1):
         last = k == place.shape[1]
@@ -179,7 +183,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     good = rows.filter(comparable(F.col("embedding")))
     # equal vectors are one node, so that a group of copies costs one vector
     nodes = materialize(good.groupBy("embedding").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
-    tops = pivots(nodes)
+    tops = pivots(nodes, min(MOST_CELLS, max(CELLS, -(-nodes.count() // block))))
+    far = float(np.sqrt(2 - 2 * least))
     kind = nodes.schema["embedding"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,23 +201,36 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
 
     placed = nodes.select("node", "n", "embedding").mapInArrow(place, f"node bigint, n bigint, embedding {kind}, dim int, cell int, dist double")
     stats = materialize(placed.groupBy("dim", "cell").agg(F.max("dist").alias("reach"), F.ceil(F.count("*") / block).cast("int").alias("slots")))
+    # at most MOST_CELLS numbers for each dimension of the sample
+    reaches: dict[int, np.ndarray] = {dim: np.full(len(top), -10.0) for dim, top in tops.items()}
+    for r in stats.filter(F.col("dim").isin(*tops)).select("dim", "cell", "reach").collect() if tops else ():
+        reaches[r["dim"]][r["cell"]] = r["reach"]
     # a row for each dimension and cell: joined, and broadcast only if Spark finds it small
     placed = placed.join(stats.select("dim", "cell", "slots"), ["dim", "cell"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
 
     def grow(key: tuple, block_: pa.Table) -> pa.Table:
         block_ = block_.combine_chunks()
-        tree = cover_tree(unit_rows(block_.column("embedding").chunk(0)))
-        lists = [pa.array(list(t), pa.list_(kind_)) for t, kind_ in zip(tree, (pa.int32(), pa.bool_(), pa.float64()))]
-        return pa.table([block_.column(c) for c in ("node", "n", "embedding", "dim", "cell", "slot")] + lists, names=["node", "n", "embedding", "dim", "cell", "slot", "place", "head", "reach"])
-
-    grown = placed.select("node", "n", "embedding", "dim", "cell", "slot").groupBy("dim", "cell", "slot").applyInArrow(grow, f"node bigint, n bigint, embedding {kind}, dim int, cell int, slot int, place array<int>, head array<boolean>, reach array<double>")
+        x = unit_rows(block_.column("embedding").chunk(0))
+        place_, head, reach = tree = cover_tree(x)
+        dim = key[0].as_py()
+        if dim in tops:  # the cells that what is below each uppermost node may have links into
+            at = np.flatnonzero(head[:, 0])
+            at = at[np.argsort(place_[at, 0])]
+            away = np.sqrt(np.maximum(2 - 2 * (x[at] @ tops[dim].T), 0))
+            open_ = away <= reaches[dim] + far + reach[at, 0][:, None] + 1e-6
+            visits = [np.flatnonzero(o).tolist() for o in open_]
+            visits = [visits[p] for p in place_[:, 0]]
+        else:
+            visits = [[key[1].as_py()]] * len(x)
+        lists = [pa.array(list(t), pa.list_(kind_)) for t, kind_ in zip((*tree, visits), (pa.int32(), pa.bool_(), pa.float64(), pa.int32()))]
+        return pa.table([block_.column(c) for c in ("node", "n", "embedding", "dim", "cell", "slot")] + lists, names=["node", "n", "embedding", "dim", "cell", "slot", "place", "head", "reach", "visits"])
+
+    grown = placed.select("node", "n", "embedding", "dim", "cell", "slot").groupBy("dim", "cell", "slot").applyInArrow(grow, f"node bigint, n bigint, embedding {kind}, dim int, cell int, slot int, place array<int>, head array<boolean>, reach array<double>, visits array<int>")
     trees = materialize(grown)
 
-    gaps = [(dim, a, b, float(np.sqrt(max(0.0, 2 - 2 * float(top[a] @ top[b]))))) for dim, top in tops.items() for a in range(len(top)) for b in range(len(top))]
-    gap = vectors.sparkSession.createDataFrame(gaps, "dim int, cell int, other int, gap double")
-    partners = stats.alias("a").join(stats.alias("b"), F.expr("a.dim = b.dim")).select("a.dim", "a.cell", F.expr("b.cell").alias("other"), F.expr("b.slots").alias("others"), F.expr("a.reach + b.reach").alias("reach"))
-    partners = partners.join(gap, ["dim", "cell", "other"], "left").filter(F.coalesce("gap", F.lit(0.0)) <= F.col("reach") + float(np.sqrt(2 - 2 * least)) + EPS)
-    both = trees.join(partners.select("dim", "cell", "other", "others"), ["dim", "cell"]).withColumn("other_slot", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    # pairs of cells are taken only where both sides have nodes that may reach the other; a node brings all its vectors, or stays away with them
+    slots = stats.select("dim", F.col("cell").alias("other"), F.col("slots").alias("others"))
+    both = trees.withColumn("other", F.explode("visits")).drop("visits").join(slots, ["dim", "other"]).withColumn("other_slot", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     own, other = F.struct("cell", "slot"), F.struct(F.col("other").alias("cell"), F.col("other_slot").alias("slot"))
     both = both.select("dim", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), (own <= other).alias("first"), "node", "n", "embedding", "place", "head", "reach")
 

@@ -390,3 +390,21 @@ def test_language_stage_rejects_other_languages(spark, sf):
     odd = spark.createDataFrame([(10**9, "这是一个用中文写的文件，里面没有别的语言的字母", None, "x", 20), (10**9 + 1, "the and that with for are was", None, "x", 20), (10**9 + 2, "00 1234 !!", "en", "x", 5)], taught.schema)
     got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.keep_languages(spark, taught.unionByName(odd), "").filter("doc_id >= 1000000000").collect()}
     assert got == {10**9 + 1: "en"}
+
+
+def test_vectors_of_far_clusters_do_not_meet(spark, monkeypatch):
+    """Tight clusters: the same links as by brute force, and few vectors sent to more than their own cell."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(12, 16))
+    x = np.concatenate([c + rng.normal(scale=0.03, size=(150, 16)) for c in centers])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    sent = []
+    whole = embed_dedup.materialize
+    monkeypatch.setattr(embed_dedup, "materialize", lambda df: sent.append(out := whole(df)) or out)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = embed_dedup.near_vectors(rows, 0.95, block=150).toPandas().sort_values("vec_id")
+    assert (got["n_links"].to_numpy() == near.sum(1)).all() and (got["component_id"].to_numpy() == roots(len(x), zip(*np.nonzero(near)))).all()
+    trees = next(df for df in sent if "visits" in df.columns)
+    assert trees.select(F.sum(F.size("visits"))).first()[0] < 3 * len(x)
