@@ -9,11 +9,25 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Writes a frame to the session's shared folder and reads it back, so that a loop's lineage stays short and executors can be lost."""
-    folder = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{folder}/loamworks/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """Writes a frame to the session's shared folder and reads it back, so that a loop's lineage stays short and executors can be lost.
+
+    The folder is spark.checkpoint.dir; only on one machine is there a default.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(folder or '/tmp/checkpoints').rstrip('/')}/loamworks/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def drop_settled(df: DataFrame) -> None:
+    """Deletes what ``settle`` wrote; the frame must not be read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def closure(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
@@ -40,7 +54,9 @@ def propagate(states: DataFrame, depends: DataFrame, rounds: int = 50) -> DataFr
         risen = settle(better)
         if not risen.head(1):
             return now
-        now = settle(now.join(risen.withColumnRenamed("state", "new"), "id", "left").select("id", F.coalesce("new", "state").alias("state")))
+        after = settle(now.join(risen.withColumnRenamed("state", "new"), "id", "left").select("id", F.coalesce("new", "state").alias("state")))
+        drop_settled(now)
+        now = after
     raise RuntimeError(f"states did not settle in {rounds} rounds")
 
 
@@ -56,10 +72,37 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
         after = settle(hooked.join(jump, F.col("component") == F.col("j"), "left").select("id", F.least("component", "to").alias("component")))
         if not now.join(after.withColumnRenamed("component", "new"), "id").filter("component <> new").head(1):
             return after
+        drop_settled(now)
         now = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """(id, level): the round in which each node can be done, 0 without needs, else the one after the last of its needs.
+
+    nodes: (id); needs: distinct (id, needs), both among the nodes. Each node is done once: what it was needed for waits for one less. Raises RuntimeError for
+    what waits for itself.
+    """
+    needs = settle(needs.select("id", "needs"))
+    waiting = settle(needs.groupBy("id").agg(F.count("*").alias("n")))
+    done = settle(nodes.join(waiting, "id", "left_anti").select("id", F.lit(0).alias("level")))
+    found, k = [done], 0
+    while done.head(1):
+        k += 1
+        less = needs.join(done.select(F.col("id").alias("needs")), "needs").groupBy("id").agg(F.count("*").alias("m"))
+        after = settle(waiting.join(less, "id", "left").select("id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")))
+        drop_settled(waiting)
+        done, waiting = settle(after.filter("n = 0").select("id", F.lit(k).alias("level"))), settle(after.filter("n > 0"))
+        drop_settled(after)
+        found.append(done)
+    if waiting.head(1):
+        raise RuntimeError("some nodes wait for themselves")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def union_distinct(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -167,13 +167,7 @@ def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In which round each part can be done: after all that it needs."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     needs = parts.select("id", F.floor(F.col("id") / 2).alias("needs")).filter("needs > 0").join(parts.withColumnRenamed("id", "needs"), "needs", "left_semi")
-    found = level = parts.withColumn("level", F.lit(0))
-    for k in range(1, 64):
-        level = graph.settle(level.select(F.col("id").alias("needs")).join(needs, "needs").select("id", F.lit(k).alias("level")).distinct())
-        if not level.head(1):
-            return found.groupBy("id").agg(F.max("level").alias("level"))
-        found = found.unionByName(level)
-    raise RuntimeError("a cycle, or more than 63 rounds")
+    return graph.levels(parts, needs)
 
 
 @query(

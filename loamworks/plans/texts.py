@@ -33,7 +33,11 @@ def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", traffic.normal_path(F.col("url"), ("page",)).alias("path"))
 
 
-@query()
+@query(
+    r"""WITH a AS (SELECT page_id, html, regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'g') AS t FROM pages), b AS (SELECT page_id, html, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a)
+    SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) AS n_chars,
+        regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<a\s')) AS links FROM b"""
+)
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of the text, title and number of links of every page."""
     html = F.col("html")
