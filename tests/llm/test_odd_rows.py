@@ -88,3 +88,31 @@ def test_line_dedup_keeps_the_last_copy(docs):
     assert got[9] == ("nine", 2, 1) and got[10] == ("ten", 2, 1) and got[11] == ("", 2, 2) and got[12] == ("", 1, 1) and got[13] == (f"{LINE}\nthirteen", 2, 0)
     null = line_dedup.drop_common_lines(docs).filter(F.col("doc_id").isNull() & F.contains("text", F.lit("nobody"))).first()
     assert null["text"] == "nobody"
+
+
+def test_pages_with_clashing_columns(spark):
+    clash = ("host", "path", "rule", "verdict", "given", "found", "trust", "text", "n_chars", "src", "dst")
+    rows = [(1, "http://a.test/x/1", '<p>one <a href="//b.test/">b</a>', *["x"] * len(clash)), (1, "http://a.test/x/1", '<p>one <a href="//b.test/">b</a>', *["x"] * len(clash)), (2, "http://b.test/", "<p>" + "two " * 300_000, *["x"] * len(clash))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, " + ", ".join(f"{c} string" for c in clash))
+    got = sorted((r["page_id"], r["host"], r["verdict"]) for r in url_filter.judge(pages, [("allow", "a.test", "/x")]).collect())
+    assert got == [(1, "a.test", "allow"), (1, "a.test", "allow"), (2, "b.test", "allow")]
+    texts = sorted((r["page_id"], r["n_chars"]) for r in html_extract.main_text(pages).collect())
+    assert texts == [(1, 5), (1, 5), (2, 4 * 300_000 - 1)]
+
+
+def test_vectors_with_clashing_columns(spark):
+    clash = ("node", "n", "least", "dim", "cell", "slot", "root", "id", "kept", "component_id")
+    rows = [(i, [1.0, 0.01 * (i % 3)], *["x"] * len(clash)) for i in (1, 2, 3, 3)]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, " + ", ".join(f"{c} string" for c in clash))).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (3, 3, 1)]
+
+
+def test_equally_near_languages_go_by_name():
+    ranks = langid.Ranks({"b": langid.top_grams("the same text", 50), "a": langid.top_grams("the same text", 50)})
+    assert ranks.predict("the same")[0] == "b" and langid.Ranks(dict(sorted({"b": ranks.codes, "a": ranks.codes}.items()))).predict("the same")[0] == "a"
+
+
+def test_pieces_of_equal_length_and_content_are_packed_once_each(spark):
+    docs = spark.createDataFrame([(i // 2, "the same words again") for i in range(400)], "doc_id bigint, text string")
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 16).collect()
+    assert len(got) == 400 and len({(r["sequence_id"], r["offset"]) for r in got}) == 400
