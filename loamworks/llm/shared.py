@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space: \x20 and \x09 to \x0D.
 SPACES = " \t\n\x0b\f\r"
+#: Whether a query's shuffle files are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -21,18 +23,34 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the folder that driver and executors share; a default of our own only where none is set."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/loamworks/{spark.sparkContext.applicationId}"
+    """This application's part of the folder that driver and executors share, to be deleted when the application is done.
+
+    A default of our own only on one machine: on a cluster, executors would write to folders that nobody else sees, so there an unset folder is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(folder or '/tmp/checkpoints').rstrip('/')}/loamworks/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: lineage ends there.
 
-    Unlike cached blocks the files outlive executors, and unlike checkpoint() the plan runs once.
+    Unlike cached blocks the files outlive executors, and unlike checkpoint() the plan runs once. The shuffle files of the plan are deleted as soon as it has run: what
+    is written takes their place.
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
