@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.llm import embed_dedup, html_extract, imatch, langid, line_dedup, lm_scoring, packing, piece_codec, simhash, url_filter
+from loamworks.llm import embed_dedup, html_extract, imatch, langid, lexical_search, line_dedup, lm_scoring, packing, piece_codec, simhash, url_filter
 from loamworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of an edited version, and their likeness."""
     return imatch.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w,
+        row_number() OVER () AS r FROM documents),
+    sizes AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM words WHERE len(w) > 0),
+    asked AS (SELECT i, term, count(*) AS times FROM (SELECT row_number() OVER () AS i, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+    held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM held, sizes GROUP BY term, n_docs),
+    scored AS (SELECT i, r, CAST(sum(times * weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(words.w) * n_docs) // n_terms)))) AS BIGINT) AS score
+        FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN words USING (r), sizes GROUP BY i, r),
+    ranked AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scored JOIN words USING (r) WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN (SELECT item_id, row_number() OVER () AS i FROM benchmark) USING (i) WHERE rank <= 10"""
+)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)

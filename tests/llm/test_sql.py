@@ -12,5 +12,5 @@ def test_same_rows_as_sql(spark, sf, name):
 def test_names():
     import __spark_entry__ as e
 
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(e.queries())
