@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from xxhash import xxh64_intdigest
 
-from loamworks.llm.shared import Memo, materialize, release
+from loamworks.llm.shared import Memo, materialize, release, terms_of
 from loamworks.operators.relational import top_per_key
 
 #: Hash buckets of query terms, a bit each: 0.5 MB are sent to all tasks, however many queries there are. Other terms in a query term's bucket are dropped by the joins.
@@ -23,14 +23,6 @@ BLOCK_TERMS = 200_000
 #: Pairs of a posting and a query that a task adds up at once.
 AT_ONCE = 2_000_000
 
-#: Every byte that is not of a term as a space, A-Z lower-cased.
-_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-
-def terms_of(text: str | None) -> list[bytes]:
-    """The terms of a text in order: runs of ASCII letters and digits and of all that is not ASCII, only A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split()
-
 
 def _bucket(term: bytes) -> int:
     return xxh64_intdigest(term) % BUCKETS

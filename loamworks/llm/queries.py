@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.llm import embed_dedup, html_extract, imatch, langid, lexical_search, line_dedup, lm_scoring, packing, piece_codec, simhash, url_filter
+from loamworks.llm import embed_dedup, html_extract, imatch, langid, lexical_search, line_dedup, lm_scoring, packing, piece_codec, resampling, simhash, url_filter
 from loamworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,9 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents that score highest for each benchmark item."""
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+@query()
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's distribution, and the rank of those drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

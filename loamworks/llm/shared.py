@@ -22,6 +22,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+#: Every byte that is not of a term as a space, A-Z lower-cased.
+_TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def terms_of(text: str | None) -> list[bytes]:
+    """The terms of a text in order: runs of ASCII letters and digits and of all that is not ASCII, only A-Z lower-cased. Null: none."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's part of the folder that driver and executors share, to be deleted when the application is done.
 
