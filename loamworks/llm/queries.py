@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.llm import embed_dedup, html_extract, imatch, langid, lexical_search, line_dedup, lm_scoring, packing, piece_codec, resampling, simhash, url_filter
+from loamworks.llm import chat_format, embed_dedup, html_extract, imatch, langid, lexical_search, line_dedup, lm_scoring, packing, piece_codec, resampling, simhash, url_filter
 from loamworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,6 +155,32 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+#: A conversation that speaks in control strings, besides the given ones.
+CONTROL_TALK = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def _chat_sql(t: chat_format.Template = chat_format.TEMPLATE) -> str:
+    """What reading back must give; a formatted text is as long as its parts and two characters more for each control string and one for each backslash."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    size = "length({0}) + (length({0}) - length(replace({0}, '\\', '')))" + "".join(f" + 2 * (length({{0}}) - length(replace({{0}}, {quoted(c)}, ''))) // {len(c)}" for c in t.control)
+    fixed = len(t.before) + len(t.middle) + len(t.after)
+    extra = ", ".join(f"({c}, {n}, {quoted(r)}, {quoted(x)})" for c, n, r, x in CONTROL_TALK)
+    return f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES {extra}) v(conv_id, turn, role, text))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{t.learned}'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = '{t.learned}'), '')) AS loss_sha256,
+        CAST(sum({fixed} + {size.format("role")} + length(role) - length(replace(role, chr(10), '')) + {size.format("text")}) AS BIGINT) AS formatted_chars FROM said GROUP BY conv_id"""
+
+
+@query(_chat_sql())
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations as read back from their formatted texts and loss masks; each is a reply tree without branches, scored by the length of its texts."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(CONTROL_TALK, given.schema)
+    messages = chat_format.chains(given.unionByName(extra)).withColumn("score", F.char_length("text").cast("double"))
+    return chat_format.digests(chat_format.format_trees(messages, 1), name="conv_id")
+
+
 @query()
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight towards the benchmark's distribution, and the rank of those drawn."""
