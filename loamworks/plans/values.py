@@ -174,12 +174,20 @@ def change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Listing title, and whether it is exactly an RTX 4060 Ti with 16 GB.
 LISTINGS = [
-    ("MSI RTX 4060 Ti 16GB Gaming X", True), ("RTX 4060Ti 16 GB", True), ("RTX 4060 16GB", False), ("RTX 4060 Ti 8GB", False), ("RTX 4060 Ti Super 16GB", False), ("RTX 4060 Ti 16GB laptop", False), ("Wanted: RTX 4060 Ti 16GB", False), ("GTX 4060 Ti 16GB", False), ("RTX 40600 Ti 16GB", False),
-    ("RTX 4060 Ti 16GB 부품용", False), ("geforce rtx 4060 ti 16gb", True), ("", False),
+    ("MSI RTX 4060 Ti 16GB Gaming X", "RTX 4060 Ti 16GB", True), ("RTX 4060Ti 16 GB", "RTX 4060 Ti 16GB", True), ("RTX 4060 16GB", "RTX 4060 Ti 16GB", False), ("RTX 4060 Ti 8GB", "RTX 4060 Ti 16GB", False), ("RTX 4060 Ti Super 16GB", "RTX 4060 Ti 16GB", False),
+    ("RTX 4060 Ti 16GB laptop", "RTX 4060 Ti 16GB", False), ("Wanted: RTX 4060 Ti 16GB", "RTX 4060 Ti 16GB", False), ("GTX 4060 Ti 16GB", "RTX 4060 Ti 16GB", False), ("RTX 40600 Ti 16GB", "RTX 4060 Ti 16GB", False), ("RTX 4060 Ti 16GB 부품용", "RTX 4060 Ti 16GB", False),
+    ("geforce rtx 4060 ti 16gb", "RTX 4060 Ti 16GB", True), ("", "RTX 4060 Ti 16GB", False), ("Intel Core i5-12400F processor", "i5-12400F", True), ("Intel i5-12400F CPU", "i5-12400", False), ("Core i7 13700K boxed", "Core i7-13700K", True), ("i7-13700", "Core i7-13700K", False),
+    ("Intel Core Ultra 7 265K", "Core Ultra 7 265K", True), ("Intel Core Ultra 7 265KF", "Core Ultra 7 265K", False), ("AMD Ryzen 5 5600 CPU", "Ryzen 5600", True), ("Ryzen 5 5600X CPU", "Ryzen 5 5600", False), ("Ryzen 7 7800X3D", "AMD Ryzen 7 7800X3D", True),
+    ("Sapphire Pulse RX 6600 XT", "Radeon RX 6600 XT Pulse", True), ("AMD Radeon RX 6600 XT GPU", "RX 6600 XT Pulse", False), ("Intel Arc B580 12GB", "Arc B580", True), ("Intel Arc A580", "Arc B580", False), ("RTX 4060", "graphics card", False), ("ASUS Dual RTX 3060 12GB OC", "RTX 3060 dual-OC 12GB", False),
+    ("ASUS Dual OC RTX 3060 12GB", "RTX 3060 dual-OC 12GB", True),
 ]
 
 
-@query(f"WITH {_told(LISTINGS, 'title, ok')} SELECT event_id, ok FROM events JOIN (SELECT *, row_number() OVER () - 1 AS k FROM told) ON k = event_id % {len(LISTINGS)}")
+@query(f"WITH {_told(LISTINGS, 'title, wanted, ok')} SELECT event_id, ok FROM events JOIN (SELECT *, row_number() OVER () - 1 AS k FROM told) ON k = event_id % {len(LISTINGS)}")
 def comparable_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which listings are exactly the wanted part."""
-    return _dealt(spark, sf_dir, LISTINGS, ["title", "told"]).select("event_id", values.comparable_title(F.col("title"), "RTX 4060 Ti 16GB").alias("ok"))
+    """Which listings are exactly the part that is wanted."""
+    dealt = _dealt(spark, sf_dir, LISTINGS, ["title", "wanted", "told"])
+    ok = F.lit(None).cast("boolean")
+    for wanted in sorted({w for _, w, _ in LISTINGS}):
+        ok = F.when(F.col("wanted") == wanted, values.comparable_title(F.col("title"), wanted)).otherwise(ok)
+    return dealt.select("event_id", ok.alias("ok"))
