@@ -74,15 +74,17 @@ def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     Each round joins the table with itself on where its nodes have got to, so depths up to 2^r take r rounds, however long the paths.
     """
-    now = materialize(nodes.select("node", F.col("parent").alias("to"), F.lit(1).cast("bigint").alias("depth"), F.col("score").alias("total")))
-    count, levels = now.count(), []
-    while (1 << len(levels)) <= count and not now.filter("to IS NOT NULL").isEmpty():
-        levels.append(now)
-        above = now.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        joined = now.join(above, "to", "left")
-        now = materialize(joined.select("node", F.col("_to").alias("to"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")))
+    first = materialize(nodes.select("node", F.col("parent").alias("to"), F.lit(1).cast("bigint").alias("depth"), F.col("score").alias("total")))
+    # only what hasn't reached a root is carried on
+    count, ended, now, levels = first.count(), first.filter("to IS NULL"), first.filter("to IS NOT NULL"), []
+    while (1 << len(levels)) <= count and not now.isEmpty():
+        levels.append(now.select("node", "to"))
+        above = ended.unionByName(now).select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
+        joined = now.join(above, "to")
+        after = materialize(joined.select("node", F.col("_to").alias("to"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total")))
+        ended, now = ended.unionByName(after.filter("to IS NULL")), after.filter("to IS NOT NULL")
     # what still has somewhere to go after more steps than there are nodes hangs on a circle
-    return now.filter("to IS NULL").select("node", "depth", "total"), [x.filter("to IS NOT NULL").select("node", "to") for x in levels]
+    return ended.select("node", "depth", "total"), levels
 
 
 def branch_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
