@@ -21,40 +21,3 @@ def graphemes(s: pd.Series) -> pd.Series:
     """Number of extended grapheme clusters; 0 for null."""
     cluster = regex.compile(r"\X")
     return s.map(lambda v: 0 if not v else sum(1 for _ in cluster.finditer(v)))
-
-
-def _parts(v: str) -> tuple | None:
-    found = regex.match(r"^v?(\d+(?:\.\d+)*)(?:-([0-9A-Za-z.-]+))?$", v.strip())
-    if not found:
-        return None
-    numbers = tuple(int(x) for x in found[1].split("."))
-    return numbers + (0,) * (4 - len(numbers)), found[2] is None, found[2] or ""
-
-
-def in_range(version: str | None, wanted: str | None) -> bool | None:
-    """Whether a version satisfies every comparison of a range like ">=1.2 <2"; null if either can't be read. A prerelease precedes its release."""
-    if not version or not wanted:
-        return None
-    own = _parts(version)
-    if own is None:
-        return None
-    for test in wanted.split():
-        found = regex.match(r"^(>=|<=|>|<|=|\^|~)?(.+)$", test)
-        bound = _parts(found[2])
-        if bound is None:
-            return None
-        op = found[1] or "="
-        if op in "^~":
-            at = next((i for i, x in enumerate(bound[0]) if x), 0) if op == "^" else 1
-            top = (bound[0][:at] + (bound[0][at] + 1,) + (0,) * (len(bound[0]) - at - 1), False, "")
-            ok = bound <= own < top
-        else:
-            ok = {">=": own >= bound, "<=": own <= bound, ">": own > bound, "<": own < bound, "=": own == bound}[op]
-        if not ok:
-            return False
-    return True
-
-
-@F.pandas_udf(T.BooleanType())
-def matches_range(version: pd.Series, wanted: pd.Series) -> pd.Series:
-    return pd.Series([in_range(a, b) for a, b in zip(version, wanted)], dtype=object)

@@ -40,24 +40,39 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     return found.groupBy("root", "id").agg(F.min("depth").alias("depth"))
 
 
-def propagate(states: DataFrame, depends: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, state): each node takes the greatest state among its own and those it depends on, over any number of steps and around cycles.
+def _steps(hops: DataFrame, most: int) -> DataFrame | None:
+    """Pairs two of whose steps after each other make one, or None where there would be more than ``most`` before repeats are dropped."""
+    met = hops.groupBy("needs").agg(F.count("*").alias("ends")).join(hops.groupBy("id").agg(F.count("*").alias("starts")), F.col("needs") == F.col("id"))
+    pairs = met.agg(F.sum(F.col("ends") * F.col("starts")).alias("n")).first()["n"] or 0
+    if pairs > most:
+        return None
+    after = hops.select(F.col("id").alias("needs"), F.col("needs").alias("_after"))
+    return settle(hops.join(after, "needs").select("id", F.col("_after").alias("needs")).distinct())
 
-    states: (id, state); depends: (id, needs). Each round joins only nodes whose state rose, and stops when none does. Raises RuntimeError if
-    ``rounds`` don't suffice.
+
+def propagate(states: DataFrame, depends: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(id, columns): in each of the columns, ``state`` by default, a node takes the greatest value among its own and those it depends on, over any number of steps and around cycles.
+
+    states: (id, columns); depends: (id, needs). A round joins states along hops, which reach twice as far each round as long as there are few of them, so a chain of n nodes
+    takes log2(n) rounds; where hops would multiply, they stay as long as they are. It ends when a round changes nothing.
     """
-    now = settle(states.select("id", "state"))
-    risen = now
-    for _ in range(rounds):
-        pushed = risen.withColumnRenamed("id", "needs").join(depends, "needs").groupBy("id").agg(F.max("state").alias("pushed"))
-        better = now.join(pushed, "id").filter("pushed > state").select("id", F.col("pushed").alias("state"))
-        risen = settle(better)
-        if not risen.head(1):
-            return now
-        after = settle(now.join(risen.withColumnRenamed("state", "new"), "id", "left").select("id", F.coalesce("new", "state").alias("state")))
+    columns = columns or ["state"]
+    now = settle(states.select("id", *columns))
+    hops = settle(depends.select("id", "needs").distinct())
+    most = 4 * hops.count() + 1000
+    while True:
+        pushed = hops.join(now.withColumnRenamed("id", "needs"), "needs").groupBy("id").agg(*[F.max(c).alias(f"_{c}") for c in columns])
+        joined = now.join(pushed, "id", "left").select("id", *[F.greatest(c, f"_{c}").alias(c) for c in columns], F.coalesce(F.greatest(F.lit(False), *[F.col(f"_{c}") > F.col(c) for c in columns]), F.lit(False)).alias("_risen"))
+        after = settle(joined)
         drop_settled(now)
-        now = after
-    raise RuntimeError(f"states did not settle in {rounds} rounds")
+        now = after.drop("_risen")
+        if not after.filter("_risen").head(1):
+            drop_settled(hops)
+            return now
+        now._settled = after._settled
+        if (further := _steps(hops, most)) is not None:
+            drop_settled(hops)
+            hops = further
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -170,15 +170,6 @@ def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(parts, needs)
 
 
-@query(
-    """SELECT p_brand, CASE WHEN bool_or(p_size > 49) THEN 'blocked' WHEN count(*) FILTER (WHERE p_size > 40) >= 15 THEN 'review' ELSE 'ready' END AS verdict, max(p_size) AS worst FROM part GROUP BY p_brand"""
-)
-def preflight_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that holds for a stack's states."""
-    sums = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.bool_or(F.col("p_size") > 49).alias("bad"), F.count_if(F.col("p_size") > 40).alias("risky"), F.max("p_size").alias("worst"))
-    return sums.select("p_brand", graph.first_match(F.col("p_brand"), [(F.col("bad"), "blocked"), (F.col("risky") >= 15, "review")], "ready").alias("verdict"), "worst")
-
-
 @query(
     """SELECT target, CAST(sum(up) AS BIGINT) AS up, CAST(sum(down) AS BIGINT) AS down FROM (SELECT event_id % 90 AS target, (event_type = 'click')::INT AS up, (event_type = 'error')::INT AS down FROM events
         UNION ALL SELECT o_orderkey % 90, (o_orderstatus = 'F')::INT, (o_orderstatus = 'P')::INT FROM orders) GROUP BY target"""

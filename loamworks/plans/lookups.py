@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamworks.functions import scalar, values
+from loamworks.functions import scalar, values, versions
 from loamworks.plans.registry import query
 from loamworks.plans.values import _dealt, _told
 from loamworks.session import table
@@ -38,7 +38,7 @@ def version_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     dots = F.when(a.rlike(r"^\d") & b.rlike(r"^\d"), values.dotted_compare(a, b))
     rows = _dealt(spark, sf_dir, VERSIONS, ["a", "b", *"1234"])
-    return rows.select("event_id", scalar.version_compare(a, b).alias("rested"), values.version_text_compare(a, b).alias("texts"), dots.alias("dots"), values.staged_compare(a, b).alias("staged"))
+    return rows.select("event_id", scalar.version_compare(a, b).alias("rested"), values.version_text_compare(a, b).alias("texts"), dots.alias("dots"), versions.staged_compare(a, b).alias("staged"))
 
 
 BLOCKED = [("keyword", "The  Of", "hide"), ("keyword", "###", "reject"), ("domain", "www.bad.test", "reject"), ("domain", "meh.test", "hide"), ("keyword", " ", "reject")]
