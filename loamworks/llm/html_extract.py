@@ -31,33 +31,52 @@ MARKS = frozenset(
     "subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget pagination pager "
     "copyright legal disclaimer skip tags complementary contentinfo search".split()
 )
+#: Of these, words of what readers write: where it outweighs the article, it is still none.
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Words before a mark that tell what a wrapper has beside the article, as in has-sidebar.
+BESIDE = frozenset("has have with no without hide show is".split())
 SPACE = re.compile(r"\s+")
 SIGMA = 1.0
+#: What an element's mark leaves of the score of its lines.
+MARKED = 0.1
+
+
+def marks_of(value: str) -> set[str]:
+    """The words of ``MARKS`` in a class, id or role attribute, without those that only tell what stands beside."""
+    found = set()
+    for name in value.lower().split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        if BESIDE.isdisjoint(words):
+            found.update(MARKS.intersection(words))
+    return found
 
 
 class _Events(HTMLParser):
-    """Turns a page into lines: (text, tags, heading, weight, section), in page order, without what is never shown as text.
+    """Turns a page into lines: (text, tags, heading, mark, section), in page order, without what is never shown as text.
 
-    A line is the text between two block boundaries, tags how many were met since the line before, heading whether it is one, weight 0 in page furniture and
-    else 1, section the number of the innermost sectioning element around it. ``parent`` and ``kind`` tell of each section its parent's number and its
-    tag; 0 is the page. Sections are numbered as they open. Each event costs the same, however deep the page is.
+    A line is the text between two block boundaries, tags how many were met since the line before, heading whether it is one, mark the number of the
+    innermost marked element around it (0: none), section that of the innermost sectioning element. ``parent`` and ``kind`` tell of each section its parent's
+    number and its tag; 0 is the page. ``marks`` holds (the mark around it, why) of each marked element: element, form, class or reader. ``mains`` holds (section, mark) of each
+    article and main element. All are numbered as they open. Inline elements aren't marked. Each event costs the same, however deep the page is.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, main, hidden
+        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, mark, main, hidden
         self.open: dict[str, list[int]] = {}  # places in the stack by tag
         self.blocks: list[int] = []  # places of block elements
         self.lines: list[tuple[str, int, bool, int, int]] = []
         self.parts: list[str] = []
         self.parent, self.kind, self.path = [0], [""], [0]
+        self.marks: list[tuple[int, str]] = [(0, "")]
+        self.mains: list[tuple[int, int]] = []
         self.tags = 0
 
     def _flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            furniture = bool(self.stack) and self.stack[-1][1]
-            self.lines.append((text, self.tags, any(e[0] in HEADINGS for e in self.stack[-2:]), int(not furniture), self.path[-1]))
+            mark = self.stack[-1][1] if self.stack else 0
+            self.lines.append((text, self.tags, any(e[0] in HEADINGS for e in self.stack[-2:]), mark, self.path[-1]))
             self.tags = 0
         self.parts.clear()
 
@@ -91,31 +110,36 @@ class _Events(HTMLParser):
             self._pop(self.blocks[-1])
         if tag in SELF_CLOSING and (at := self._last(SELF_CLOSING[tag])) > self._last(LISTS):
             self._pop(at)
-        _, above_out, above_main, above_hidden = self.stack[-1] if self.stack else ("", False, False, False)
-        words = set()
-        hidden = tag in HIDDEN
-        out = tag in CHROME or (tag == "header" and not above_main)
+        _, mark, above_main, above_hidden = self.stack[-1] if self.stack else ("", 0, False, False)
+        words, hidden = set(), tag in HIDDEN
         for name, value in attrs:
             if name in ("class", "id", "role"):
-                words.update(re.split(r"[^a-z0-9]+", (value or "").lower()))
+                words |= marks_of(value or "")
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 hidden = True
-        if tag not in MAIN and tag not in ("body", "html"):
-            out = out or not MARKS.isdisjoint(words)
-        elif tag == "article" and above_main and not {"comment", "comments", "reply"}.isdisjoint(words):
-            out = True
+        why = ""
+        if tag == "form":
+            why = "form"
+        elif tag in CHROME or (tag == "header" and not above_main):
+            why = "element"
+        elif tag == "article" and above_main and not READERS.isdisjoint(words):
+            why = "reader"
+        elif words and tag in BLOCK and tag not in MAIN and tag not in ("body", "html"):
+            why = "class" if READERS.isdisjoint(words) else "reader"
+        if why:
+            self.marks.append((mark, why))
+            mark = len(self.marks) - 1
         at = len(self.stack)
-        # what changes whether text counts ends a line, so that none is partly furniture
-        if (above_out or out) != above_out:
-            self._flush()
-        self.stack.append((tag, above_out or out, above_main or tag in MAIN, above_hidden or hidden))
+        self.stack.append((tag, mark, above_main or tag in MAIN, above_hidden or hidden))
         self.open.setdefault(tag, []).append(at)
-        if tag in BLOCK or (above_out or out) != above_out:
+        if tag in BLOCK:
             self.blocks.append(at)
         if tag in SECTIONS:
             self.parent.append(self.path[-1])
             self.kind.append(tag)
             self.path.append(len(self.parent) - 1)
+            if tag in MAIN:
+                self.mains.append((self.path[-1], mark))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -161,45 +185,85 @@ def _smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
 def extract(html: str | None, sigma: float = SIGMA) -> str:
     """The main text of a page: its blocks in page order, joined by an empty line.
 
-    Text-to-tag ratios of lines are smoothed with a Gaussian; what stands in menus, page headers, footers, sidebars, notices, adverts, forms and reader
-    comments, by its element or its class, id or role, weighs nothing. Lines at the middle between the two clusters' centers or above are content. They
-    choose the region: the innermost section that holds nearly all of their text, or the article or main element around it. All its lines
-    that weigh something are taken, with content lines outside it in page order and a heading just before the first. Where only the page itself holds them,
-    the region reaches from the first content line to the last. Null, empty or unparsable html gives ''.
+    Text-to-tag ratios of lines are smoothed with a Gaussian; what an element, class, id or role marks as a menu, page header, footer, sidebar, notice, advert, form or
+    reader's comment keeps a tenth of its ratio and of its score, but for marks of elements around the article (``_live_marks``). Lines at the middle between the two
+    clusters' centers or above are content. They choose the region: the innermost section that holds nearly all of their text, or the article or main element
+    around it. Of it all unmarked lines are taken, and marked ones that are content all the same; so are content lines outside it, in page order, and an unmarked
+    heading just before the first. Where only the page itself holds them, the region reaches from the first content line to the last. Null or empty html, and pages of which
+    all is marked, give ''.
     """
     if not html:
         return ""
     parser = _Events()
-    try:
-        parser.feed(html)
-        parser.finish()
-    except AssertionError:  # the parser's answer to some malformed declarations: keep the lines so far
-        parser._flush()
+    parser.feed(html)
+    parser.finish()
     lines = parser.lines
-    weight = np.array([x[3] for x in lines], bool)
-    if not weight.any():
+    if not lines:
+        return ""
+    live = _live_marks(parser, sigma)
+    depth = np.zeros(len(live), np.int64)
+    for k in range(1, len(live)):  # inner marks have larger numbers
+        depth[k] = depth[parser.marks[k][0]] + live[k]
+    marked = depth[[x[3] for x in lines]]
+    plain = marked == 0
+    if not plain.any():
         return ""
-    content = content_lines([(len(x[0]), x[1], x[3]) for x in lines], sigma)
+    content = content_lines([(len(x[0]), x[1], MARKED**n) for x, n in zip(lines, marked.tolist())], sigma)
     section = _section(parser, content)
     if section:
         inside = np.zeros(len(parser.parent), bool)
         for k in range(section, len(inside)):
             inside[k] = k == section or inside[parser.parent[k]]
-        picked = weight & (inside[[x[4] for x in lines]] | content)
+        picked = content | (plain & inside[[x[4] for x in lines]])
     else:
         at = np.flatnonzero(content)
-        picked = weight & (np.arange(len(lines)) >= at[0]) & (np.arange(len(lines)) <= at[-1])
+        picked = content | (plain & (np.arange(len(lines)) >= at[0]) & (np.arange(len(lines)) <= at[-1]))
     first = int(picked.argmax())
-    if first and lines[first - 1][2] and weight[first - 1]:
+    if first and lines[first - 1][2] and plain[first - 1]:
         picked[first - 1] = True
     return "\n\n".join(x[0] for x, keep in zip(lines, picked) if keep)
 
 
-def content_lines(lines: list[tuple[int, int, int]], sigma: float = SIGMA) -> np.ndarray:
-    """Which lines (characters, tags, weight) lie in the upper of two clusters of smoothed text-to-tag ratios; at least one that weighs something."""
+def _live_marks(parser: _Events, sigma: float) -> np.ndarray:
+    """Which marks count: not those of a class, id, role or form around the article.
+
+    That is each article or main element, outside of elements that are never the article's and of readers' comments, with at least half as much text as the largest in
+    lines that are content by their ratios alone; where there is none, what holds at least half of that text, readers' comments left out.
+    """
+    kinds = [why for _, why in parser.marks]
+    live = np.array([bool(why) for why in kinds])
+    if not live.any():
+        return live
+    firm = np.zeros(len(live), bool)  # inside an element that is never the article's, or in comments
+    for k in range(1, len(live)):
+        firm[k] = kinds[k] in ("element", "reader") or firm[parser.marks[k][0]]
+    content = content_lines([(len(x[0]), x[1], 1.0) for x in parser.lines], sigma)
+    size, held = np.zeros(len(parser.parent), np.int64), np.zeros(len(live), np.int64)
+    for x, is_content in zip(parser.lines, content.tolist()):
+        if is_content and not firm[x[3]]:
+            size[x[4]] += len(x[0])
+            held[x[3]] += len(x[0])
+    total = size.sum()
+    for k in range(len(size) - 1, 0, -1):
+        size[parser.parent[k]] += size[k]
+    for k in range(len(held) - 1, 0, -1):
+        held[parser.marks[k][0]] += held[k]
+    mains = [(int(size[at]), mark) for at, mark in parser.mains if size[at] and not firm[mark]]
+    if mains:
+        for held_by, mark in mains:
+            while mark and 2 * held_by >= max(mains)[0]:
+                live[mark] = False
+                mark = parser.marks[mark][0]
+    elif total:
+        live &= firm | (2 * held < total)
+    return live
+
+
+def content_lines(lines: list[tuple[int, int, float]], sigma: float = SIGMA) -> np.ndarray:
+    """Which lines (characters, tags, weight) lie in the upper of two clusters of smoothed text-to-tag ratios; at least one."""
     chars, tags, weight = np.array(lines, float).T
     score = weight * _smooth(weight * chars / np.maximum(1, tags), sigma)
-    return (score >= _threshold(score)) & (weight > 0)
+    return score >= _threshold(score)
 
 
 def _section(parser: _Events, content: np.ndarray, share: float = 0.9) -> int:
