@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamworks.llm.shared import materialize
+
 #: n-grams kept of a language and of a document, and the labelled documents of each language that the profiles are fitted on, about.
 PROFILE, DOC_GRAMS, SAMPLE = 500, 400, 4000
-#: Labels, at most: their counts and profiles reach the driver.
+#: Labels whose profiles are sent to the tasks at once, about; more are compared block after block.
 LABELS = 2000
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -42,21 +44,15 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def profiles(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> dict[str, np.ndarray]:
-    """Codes of the most frequent n-grams of each label, from the most frequent on; rows with a null text or label teach nothing.
+def profiles(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """(label, code, place): the most frequent n-grams of each label, from place 1 on; rows with a null text or label teach nothing.
 
-    Fitted on about ``sample`` documents of each label, all if there are fewer: those whose hashed id falls below a share. So what is
-    counted is bounded; what reaches the driver is ``size`` n-grams a label.
+    Fitted on about ``sample`` documents of each label, all if there are fewer: those whose hashed id falls below a share. So what is counted is bounded.
     """
     known = docs.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    sizes = known.groupBy("label").agg(F.count("*").alias("n")).limit(LABELS + 1).collect()
-    if len(sizes) > LABELS:
-        raise ValueError(f"more than {LABELS} labels")
-    if not sizes:
-        return {}
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["label"], sample / r["n"])])
+    share = known.groupBy("label").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
     chance = F.pmod(F.xxhash64("id", F.lit("profile")), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.filter(chance < F.element_at(share, F.col("label"))).select("label", "text")
+    picked = known.join(share, "label").filter(chance < F.col("share")).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,36 +66,35 @@ def profiles(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE, id_col:
 
     totals = picked.mapInArrow(count, "label string, code bigint, n bigint").groupBy("label", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "code"))
-    found: dict[str, list] = {}
-    for row in totals.withColumn("place", place).filter(F.col("place") <= size).orderBy("label", "place").collect():
-        found.setdefault(row["label"], []).append(row["code"])
-    return {k: np.array(v, np.int64) for k, v in sorted(found.items())}
+    return totals.withColumn("place", place).filter(F.col("place") <= size).select("label", "code", "place")
 
 
 class Ranks:
-    """Out-of-place distances of documents to all profiles at once."""
+    """Out-of-place distances of documents to the profiles of some labels at once."""
 
-    def __init__(self, found: dict[str, np.ndarray]):
-        self.labels = list(found)
-        self.most = max(map(len, found.values()), default=0)
+    def __init__(self, found: dict[str, np.ndarray], most: int | None = None):
+        """found: codes by label, from the most frequent on; most: the length of the longest profile of all labels, of these by default."""
+        self.labels = sorted(found)
+        self.most = most or max(map(len, found.values()), default=0)
         self.codes = np.unique(np.concatenate([*found.values(), np.zeros(0, np.int64)]))
         self.rank = np.full((len(self.labels), len(self.codes) + 1), -1, np.int64)
-        for i, codes in enumerate(found.values()):
-            self.rank[i, np.searchsorted(self.codes, codes)] = np.arange(len(codes))
+        for i, label in enumerate(self.labels):
+            self.rank[i, np.searchsorted(self.codes, found[label])] = np.arange(len(found[label]))
 
-    def predict(self, text: str | None, n: int = DOC_GRAMS) -> tuple[str, float]:
-        """(label, score): the nearest profile, the first by name if several are; score 1 - distance / largest possible distance."""
+    def predict(self, text: str | None, n: int = DOC_GRAMS, best: tuple[str, float] = (UNKNOWN, 0.0)) -> tuple[str, float]:
+        """(label, score): the nearest profile, the first by name if several are; score 1 - distance / largest possible distance. ``best``: what other labels gave."""
         if not self.labels or not has_letter(text):
-            return UNKNOWN, 0.0
+            return best
         own = top_grams(text, n)
         if not len(own):
-            return UNKNOWN, 0.0
+            return best
         at = np.searchsorted(self.codes, own)
         at[self.codes[np.minimum(at, len(self.codes) - 1)] != own] = len(self.codes)
         rank = self.rank[:, at]
         away = np.where(rank < 0, self.most, np.minimum(np.abs(rank - np.arange(len(own))), self.most)).sum(1)
-        best = int(away.argmin())
-        return self.labels[best], float(1 - away[best] / (self.most * len(own)))
+        nearest = int(away.argmin())
+        found = self.labels[nearest], float(1 - away[nearest] / (self.most * len(own)))
+        return found if best[0] == UNKNOWN else min(best, found, key=lambda x: (-x[1], x[0]))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3) -> Column:
@@ -114,20 +109,32 @@ def predict(docs: DataFrame, teach: DataFrame | None = None, size: int = PROFILE
     is null, empty or without letters is `und` with score 0, as is every text if nothing teaches. Repeated rows are predicted each.
     Columns called as ``names`` are replaced. No rows give no rows.
     """
-    known = docs.sparkSession.sparkContext.broadcast(profiles(docs.filter(~held_out(id_col)) if teach is None else teach, size, sample, id_col, text_col, label_col))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ranks(known.value)
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            found = [model.predict(x.as_py(), n) for x in batch.column(at)]
-            more = [pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            rest = [i for i in range(batch.num_columns) if keep or i != at]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + more, names=[batch.schema.names[i] for i in rest] + [*names])
-
+    learned = materialize(profiles(docs.filter(~held_out(id_col)) if teach is None else teach, size, sample, id_col, text_col, label_col))
+    labels, most = learned.agg(F.count_distinct("label"), F.max("place")).first()
     if keep:
         rows = docs.select(*[c for c in docs.columns if c not in names])
     else:
         rows = docs.select(id_col, held_out(id_col).alias("held_out"), text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep or f.name != text_col)
-    return rows.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    rows = rows.withColumns({names[0]: F.lit(UNKNOWN), names[1]: F.lit(0.0)})
+    blocks = max(1, -(-labels // LABELS))
+    for b in range(blocks):
+        found: dict[str, list] = {}
+        for row in learned.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == b).orderBy("label", "place").collect():  # LABELS profiles, about
+            found.setdefault(row["label"], []).append(row["code"])
+        rows = _nearest(rows, {k: np.array(v, np.int64) for k, v in found.items()}, most, n, text_col, names)
+    return rows if keep else rows.drop(text_col)
+
+
+def _nearest(rows: DataFrame, found: dict[str, np.ndarray], most: int | None, n: int, text_col: str, names: tuple[str, str]) -> DataFrame:
+    """``rows`` with the columns ``names`` as they are after these profiles are compared too."""
+    known = rows.sparkSession.sparkContext.broadcast((found, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Ranks(*known.value)
+        for batch in batches:
+            text, best = batch.column(batch.schema.get_field_index(text_col)), [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
+            told = [model.predict(x.as_py(), n, tuple(was)) for x, *was in zip(text, *best)]
+            more = {names[0]: pa.array([k for k, _ in told], pa.string()), names[1]: pa.array([s for _, s in told], pa.float64())}
+            yield pa.RecordBatch.from_arrays([more.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)

@@ -176,19 +176,40 @@ def lm_tokens(text):
     return (0, *WORD.findall((text or "").translate(LOWER)), None)
 
 
+def plain_weights(texts):
+    """The weights under which the texts are likeliest, each by the counts of all others: one length of context after the other."""
+    all_ = PlainAutomaton(texts, (1.0,) * 3)
+    likely = [Counter() for _ in range(3)]
+    rows = []
+    for t in texts:
+        own = Counter(t[i : i + k] for k in range(1, 5) for i in range(len(t) - k + 1))
+        c = lambda g: all_.counts[g] - own[g]  # noqa: E731, B023
+        for i in range(1, len(t)):
+            p = (c((t[i],)) + 0.5) / (all_.total - len(t) + 1 + 0.5 * (all_.kinds + 1))
+            rows.append((p, [(c(t[i - k : i + 1]), c(t[i - k : i])) if i >= k else (0, 0) for k in (1, 2, 3)]))
+    now, best = [p for p, _ in rows], []
+    for k in range(3):
+        mix = lambda m: [(n[k][0] + m * p) / (n[k][1] + m) if n[k][1] else p for p, (_, n) in zip(now, rows)]  # noqa: E731, B023
+        likely[k] = {m: sum(map(log10, mix(m))) for m in lm_scoring.GRID}
+        best.append(max(likely[k], key=likely[k].get))
+        now = mix(best[-1])
+    return tuple(best)
+
+
 def test_lm_scores(spark, sf, docs):
     got = {r["doc_id"]: r for r in queries.QUERIES["op5_lm_scoring"](spark, sf).collect()}
     tokens = {i: lm_tokens(t) for i, t in docs.items()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in docs}
-    plain = PlainAutomaton([ts for i, ts in tokens.items() if not held[i]], lm_scoring.PRIORS)
-    assert len(lm_scoring.PRIORS) >= 2
+    taught = [ts for i, ts in tokens.items() if not held[i]]
+    weights = plain_weights(taught)  # from training texts alone
+    plain = PlainAutomaton(taught, weights)
     for i, ts in tokens.items():
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["train_tokens"], r["n_known"]) == (held[i], len(ts) - 1, plain.total, sum(plain.counts[(w,)] > 0 for w in ts[1:]))
         assert r["base_score"] == pytest.approx(sum(log10(plain.probability((), w)) for w in ts[1:]), abs=1e-6)
         assert r["score"] == pytest.approx(plain.score(ts), abs=1e-6)
     out = [i for i in docs if held[i]]
-    shorter = PlainAutomaton([ts for i, ts in tokens.items() if not held[i]], lm_scoring.PRIORS[:1])
+    shorter = PlainAutomaton(taught, weights[:1])
     assert sum(got[i]["score"] for i in out) > sum(shorter.score(tokens[i]) for i in out) > sum(got[i]["base_score"] for i in out)
 
 
@@ -258,6 +279,38 @@ def test_language(spark, sf):
     assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in out) >= 0.97 * len(out)
 
 
+def plain_grams(text):
+    """Counts of 1- to 3-grams by their characters; the key orders as the operator's codes do."""
+    clean = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    found = Counter(clean[i : i + n] for n in (1, 2, 3) for i in range(len(clean) - n + 1))
+    return {g: c for g, c in found.items() if not (g.isspace() or (len(g) == 3 and g[1] == " "))}
+
+
+def plain_order(counts, n):
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:n]
+
+
+@pytest.mark.parametrize("labels", [2000, 2])
+def test_language_against_a_plain_version(spark, sf, monkeypatch, labels):
+    monkeypatch.setattr(langid, "LABELS", labels)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(10**6 + i, t, None) for i, t in enumerate(["", None, "123 !", "né ñ", "ß", "the the der"])]
+    sums = {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            sums.setdefault(lang, Counter()).update(plain_grams(text))
+    profiles = {lang: {g: k for k, g in enumerate(plain_order(c, 500))} for lang, c in sums.items()}
+    most = max(map(len, profiles.values()))
+    want = {}
+    for i, text, _ in rows:
+        own = plain_order(plain_grams(text or ""), 400)
+        away = {lang: sum(min(abs(k - p[g]), most) if g in p else most for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(away, key=lambda x: (away[x], x))
+        want[i] = (best, pytest.approx(1 - away[best] / (most * len(own)))) if own else ("und", 0.0)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got == want
+
+
 def test_out_of_place_distance():
     ranks = langid.Ranks({"a": langid.top_grams("das ist ein haus und das haus ist alt", 50), "b": langid.top_grams("the house is old and it is the house", 50)})
     for text in ("das haus", "the house", "xyz"):
@@ -283,6 +336,53 @@ def test_imatch(spark, sf, docs):
     assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.95
 
 
+def plain_imatch(texts):
+    """Fingerprints by the lexicons' definition: a lexicon of density d and number k holds the terms of the band whose mixed hash asks for it."""
+    words = [{xxhash.xxh64_intdigest(w) for w in t.encode().lower().split()} for t in texts]
+    df = Counter(h >> 40 & (imatch.BUCKETS - 1) for w in words for h in w)
+    band = {b for b, n in df.items() if max(1, imatch.COMMON * len(texts)) >= n >= imatch.RARE * len(texts)}
+    mask = 2**64 - 1
+    out = []
+    for w in words:
+        kept = sorted(h for h in w if h >> 40 & (imatch.BUCKETS - 1) in band)
+        slots = [0] * (imatch.LEXICONS * imatch.DENSITIES)
+        raw = lambda hs: b"".join(h.to_bytes(8, "little") for h in hs)
+        if w and not kept:
+            slots = [xxhash.xxh64_intdigest(raw(sorted(w))) % 255 + 1] * len(slots)
+        for d in range(imatch.DENSITIES):
+            holds = {}
+            for h in kept:
+                x = (h ^ ((d + 1) * 0x9E3779B97F4A7C15 & mask)) * 0xBF58476D1CE4E5B9 & mask
+                x = (x ^ x >> 29) * 0x94D049BB133111EB & mask
+                x ^= x >> 32
+                if x >> 8 & (4**d - 1) == 0:
+                    holds.setdefault(x % imatch.LEXICONS, []).append(h)
+            for k, hs in holds.items():
+                slots[d * imatch.LEXICONS + k] = xxhash.xxh64_intdigest(raw(hs), d) % 255 + 1
+        out.append(bytes(slots))
+    return out
+
+
+def plain_likeness(a, b):
+    best = 0.0
+    for d in range(imatch.DENSITIES):
+        x, y = (v[d * imatch.LEXICONS : (d + 1) * imatch.LEXICONS] for v in (a, b))
+        best = max(best, sum(p == q > 0 for p, q in zip(x, y)) / max(6, sum(p > 0 or q > 0 for p, q in zip(x, y))))
+    return 1.0 if a == b else best
+
+
+def test_imatch_against_a_plain_version(spark, sf, docs):
+    more = {10**6: None, 10**6 + 1: "", 10**6 + 2: "one word", 10**6 + 3: "one word", 10**6 + 4: "einzig " * 2000}
+    texts = docs | more
+    order = sorted(texts, reverse=True)
+    prints = dict(zip(order, plain_imatch([texts[i] or "" for i in order])))
+    got = {r["doc_id"]: r for r in imatch.compare_edited(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    for i, then in zip(order, order[1:] + order[:1]):
+        assert bytes.fromhex(got[i]["fingerprint"]) == prints[i]
+        assert got[i]["near_next"] == pytest.approx(plain_likeness(prints[i], prints[then]))
+        assert got[i]["near_edited"] == pytest.approx(plain_likeness(prints[i], bytes.fromhex(got[i]["edited_fingerprint"])))
+
+
 def test_imatch_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(imatch, "BLOCK_DOCS", 3)
     rows = [(i, f"text number {i} " * (i % 4 + 1)) for i in range(0, 60, 2)]

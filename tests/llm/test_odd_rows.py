@@ -56,11 +56,16 @@ def test_stages_on_odd_rows(spark, docs):
     assert now.count() > 0
 
 
-def test_language_stage_drops_what_has_no_letters(spark, docs):
+def test_language_stage(spark, docs):
+    """Null texts and those without letters go; a text of x alone, which is like no language, goes for its score unless it has a language."""
     import corpus_pipeline
 
-    kept = {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs, "").collect()}
-    assert kept == {1, None, 5, 7, 8, 9, 10, 11, 12, 13, 14}
+    stage = lambda d, **more: {r["doc_id"]: r["lang"] for r in corpus_pipeline.keep_languages(spark, d, "", **more).collect()}
+    lettered = {1, None, 5, 8, 9, 10, 11, 12, 13, 14}
+    assert set(stage(docs)) == lettered
+    assert set(stage(docs, least_score=0.0)) == lettered | {7}
+    given = stage(docs.withColumn("lang", F.when(F.col("doc_id") == 7, "fr").otherwise(F.col("lang"))))
+    assert set(given) == lettered | {7} and given[7] == "fr" and given[8] == "de"
 
 
 def test_null_pages(spark):
@@ -108,8 +113,10 @@ def test_vectors_with_clashing_columns(spark):
 
 
 def test_equally_near_languages_go_by_name():
-    ranks = langid.Ranks({"b": langid.top_grams("the same text", 50), "a": langid.top_grams("the same text", 50)})
-    assert ranks.predict("the same")[0] == "b" and langid.Ranks(dict(sorted({"b": ranks.codes, "a": ranks.codes}.items()))).predict("the same")[0] == "a"
+    same = {"b": langid.top_grams("the same text", 50), "a": langid.top_grams("the same text", 50)}
+    assert langid.Ranks(same).predict("the same")[0] == "a"
+    score = langid.Ranks(same).predict("the same")[1]
+    assert langid.Ranks({"b": same["b"]}).predict("the same", best=("a", score)) == ("a", score) and langid.Ranks({"a": same["a"]}).predict("the same", best=("b", score)) == ("a", score)
 
 
 def test_pieces_of_equal_length_and_content_are_packed_once_each(spark):
