@@ -14,16 +14,17 @@ from loamworks.session import table
 ORACLE_SQL = None
 
 
-#: Texts whose nearest profile scores less resemble no learned language: on average, their n-grams are three quarters of a profile out of place, or not in it.
+#: Texts without a language whose nearest profile scores less are in none of the learned ones: on average, their n-grams are three quarters of a profile out of place, or not
+#: in it. Of the 10,000 prose texts of the sf0.1 table the lowest scores 0.45; a text of one repeated letter scores under 0.1.
 LEAST_SCORE = 0.25
 
 
-def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in none of the learned languages: null texts, those without letters, and those whose best score is below ``LEAST_SCORE``.
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score: float = LEAST_SCORE) -> DataFrame:
+    """Drops documents that language identification rejects: null texts, those without letters, and those without a given language whose best score is below ``least_score``.
 
-    A document that stays without a language gets the predicted one.
+    A document that stays without a language gets the predicted one; a given language stays, and keeps its document, whatever the prediction.
     """
-    found = langid.predict(docs, keep=True, names=("_lang", "_score")).filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE))
+    found = langid.predict(docs, keep=True, names=("_lang", "_score")).filter((F.col("_lang") != langid.UNKNOWN) & (F.col("lang").isNotNull() | (F.col("_score") >= least_score)))
     return found.select(*[F.coalesce("lang", "_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
