@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 from math import acos, ceil, comb, log, pi, sqrt
 
@@ -17,6 +17,8 @@ from loamworks.llm.shared import materialize, spanning_edges
 
 #: Fingerprints in a tile, about.
 TILE = 1024
+#: Tiles of a cell that meet another cell's, or its own, in one task: a cell of many tiles is several tasks' work.
+GROUP = 8
 SEED = 42
 _AT_ONCE, _RUN = 1 << 15, 128
 #: Texts in a tile of a family, about, and their shingles.
@@ -169,12 +171,8 @@ def links(nodes: DataFrame, radius: int = 2, words: int = 1, similarity: float |
     # a row a cell: at most 17^4 cells of quarters, or a few hundred of bands
     sizes = distinct.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("slots"))
     placed = distinct.join(F.broadcast(sizes), "cell").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
-    tiles = materialize(placed.groupBy("cell", "slot").agg(F.collect_list("node").alias("ids"), F.collect_list("fp").alias("fps")))
-    left = tiles.select(
-        F.col("cell").alias("own"), F.col("slot").alias("own_slot"), F.col("ids").alias("left_ids"), F.col("fps").alias("left_fps"),
-        F.explode(F.array(*[F.col("cell") + d for d in _steps(radius, words)])).alias("cell"),
-    )
-    pairs = left.join(tiles, "cell").filter("own <> cell OR own_slot <= slot").select("left_ids", "left_fps", "ids", "fps")
+    tiles = materialize(placed.groupBy("cell", "slot").agg(F.collect_list("node").alias("ids"), F.collect_list("fp").alias("fps")).withColumn("part", F.floor(F.col("slot") / GROUP)))
+    pairs = tile_pairs(tiles, sizes, _steps(radius, words)).select("left_ids", "left_fps", "ids", "fps")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,6 +201,21 @@ def links(nodes: DataFrame, radius: int = 2, words: int = 1, similarity: float |
     return pairs.mapInArrow(compare, "a bigint, b bigint")
 
 
+def tile_pairs(tiles: DataFrame, sizes: DataFrame, steps: list[int]) -> DataFrame:
+    """Each two tiles of one cell, and of cells a step apart, once: left_ids, left_fps, ids, fps.
+
+    tiles: (cell, slot, part, ids, fps); sizes: (cell, slots), a row a cell. They are joined on the cell and on parts of ``GROUP`` tiles of it, so a cell with a third of all tiles is
+    dealt to as many tasks as it has parts; a tile is sent to each part that it meets.
+    """
+    left = tiles.select(
+        F.col("cell").alias("own"), F.col("slot").alias("own_slot"), F.col("part").alias("own_part"), F.col("ids").alias("left_ids"), F.col("fps").alias("left_fps"), F.explode(F.array(*[F.col("cell") + d for d in steps])).alias("cell")
+    )
+    met = left.join(F.broadcast(sizes), "cell")
+    first = F.when(F.col("own") == F.col("cell"), F.col("own_part")).otherwise(F.lit(0).cast("bigint"))
+    sent = met.withColumn("part", F.explode(F.sequence(first, F.floor((F.col("slots") - 1) / GROUP)))).drop("slots")
+    return sent.join(tiles, ["cell", "part"]).filter("own <> cell OR own_slot <= slot")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int | None = None, words: int = 4, similarity: float = 0.8) -> DataFrame:
     """(id_col, fp binary, component_id) for every row of ``docs``.
 
@@ -231,37 +244,39 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int
         F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.min(id_col).alias("least"), F.min(F.struct(F.col(id_col).alias("id"), "own")).alias("one")
     )
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
-    families = connected_components(links(nodes, search_radius(similarity, 64 * words), words, similarity)).withColumnRenamed("root", "family")
-    members = materialize(nodes.select("node", "shingles", "one").join(families, "node"))
-    found = verified_links(docs.select(F.col(id_col).alias("id"), F.md5(text_col).alias("own"), F.col(text_col).alias("text")), members, width, similarity)
+    radius = search_radius(similarity, 64 * words)
+    families = connected_components(links(nodes, radius, words, similarity)).withColumnRenamed("root", "family")
+    members = materialize(nodes.select("node", "fp", "shingles", "one").join(families, "node"))
+    found = verified_links(docs.select(F.col(id_col).alias("id"), F.md5(text_col).alias("own"), F.col(text_col).alias("text")), members, width, similarity, radius)
     roots = connected_components(found)
     named = nodes.select("node", "same", "least").join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(materialize(named.join(names, "root").select("same", "component_id")), "same").select(id_col, "fp", "component_id")
 
 
-def verified_links(texts: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect, within each family, all nodes whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+def verified_links(texts: DataFrame, members: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
+    """Edges (a, b) that connect, within each family, all nodes whose fingerprints differ in at most ``radius`` bits and whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
-    texts: (id, own, text), own a hash of the text; members: (node, shingles, one (id, own), family). Sets are sorted XXH64 hashes of shingles. A family
-    is dealt into tiles, each two of which are compared as a row; nodes that are linked already are not compared again, and
-    a row gives a spanning forest of its links, so that a large group of near copies yields no more edges than nodes.
+    texts: (id, own, text), own a hash of the text; members: (node, fp, shingles, one (id, own), family). Sets are sorted XXH64 hashes of shingles. A family
+    is dealt into tiles, each two of which are a row. Texts are compared only where their fingerprints are candidates, so what a family merely chains together
+    costs an exclusive-or a pair; nodes that are linked already are not compared again, and a row gives a spanning forest of its links, so that a large group
+    of near copies yields no more edges than nodes.
     """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_py(), width).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["node", "family", "hashes"])
+            sets = [shingle_set(x.as_py(), width).tobytes() for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["node", "family", "fp", "hashes"])
 
-    wanted = members.select("node", "family", F.col("one.id").alias("id_"), F.col("one.own").alias("own_"))
+    wanted = members.select("node", "family", "fp", F.col("one.id").alias("id_"), F.col("one.own").alias("own_"))
     # own is null where the text is
-    found = texts.join(wanted, texts.id.eqNullSafe(F.col("id_")) & texts.own.eqNullSafe(F.col("own_"))).select("node", "family", "text").dropDuplicates(["node"])
-    sets = found.mapInArrow(hashes, "node bigint, family bigint, hashes binary")
+    found = texts.join(wanted, texts.id.eqNullSafe(F.col("id_")) & texts.own.eqNullSafe(F.col("own_"))).select("node", "family", "fp", "text").dropDuplicates(["node"])
+    sets = found.mapInArrow(hashes, "node bigint, family bigint, fp binary, hashes binary")
     sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / FAMILY_TILE, F.sum("shingles") / FAMILY_SHINGLES)).cast("int").alias("slots"))
     placed = sets.join(sizes, "family").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
-    tiles = materialize(placed.groupBy("family", "slot", "slots").agg(F.collect_list("node").alias("ids"), F.collect_list("hashes").alias("sets")))
-    left = tiles.select("family", F.col("slot").alias("own_slot"), F.col("ids").alias("left_ids"), F.col("sets").alias("left_sets"), F.explode(F.sequence("slot", F.col("slots") - 1)).alias("slot"))
-    pairs = left.join(tiles.drop("slots"), ["family", "slot"]).select("left_ids", "left_sets", "ids", "sets", (F.col("own_slot") == F.col("slot")).alias("same"))
+    tiles = materialize(placed.groupBy("family", "slot", "slots").agg(F.collect_list("node").alias("ids"), F.collect_list("hashes").alias("sets"), F.collect_list("fp").alias("fps")))
+    left = tiles.select("family", F.col("slot").alias("own_slot"), F.col("ids").alias("left_ids"), F.col("sets").alias("left_sets"), F.col("fps").alias("left_fps"), F.explode(F.sequence("slot", F.col("slots") - 1)).alias("slot"))
+    pairs = left.join(tiles.drop("slots"), ["family", "slot"]).select("left_ids", "left_sets", "ids", "sets", (F.col("own_slot") == F.col("slot")).alias("same"), "left_fps", "fps")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +284,9 @@ def verified_links(texts: DataFrame, members: DataFrame, width: int, similarity:
             for i in range(batch.num_rows):
                 ids, other = (batch.column(k)[i].values.to_numpy() for k in (0, 2))
                 x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(k)[i].values] for k in (1, 3))
-                for p, q in set_links(x, None if batch.column(4)[i].as_py() else y, similarity):
+                fx, fy = (_matrix(batch.column(k)[i].values) for k in (5, 6))
+                near = lambda p: np.bitwise_count(fx[p] ^ fy).sum(1) <= radius  # noqa: E731, B023
+                for p, q in set_links(x, None if batch.column(4)[i].as_py() else y, similarity, near):
                     a.append(ids[p])
                     b.append(other[q])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -282,8 +299,8 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxh64_digest, shingles_of(text, width), repeat(SEED))), np.uint64))
 
 
-def set_links(x: list[np.ndarray], y: list[np.ndarray] | None, similarity: float) -> Iterator[tuple[int, int]]:
-    """(i, j) that connect all x[i] and y[j], or those of x where y is None, of a Jaccard similarity of ``similarity`` or more."""
+def set_links(x: list[np.ndarray], y: list[np.ndarray] | None, similarity: float, candidates: Callable[[int], np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """(i, j) that connect all x[i] and y[j], or those of x where y is None, of a Jaccard similarity of ``similarity`` or more; of the pairs that ``candidates`` of i tells, if given."""
     own = y is None
     y, base = (x, 0) if own else (y, len(x))
     sizes = np.array([len(v) for v in y])
@@ -292,6 +309,8 @@ def set_links(x: list[np.ndarray], y: list[np.ndarray] | None, similarity: float
         if not len(v):
             continue
         near = (label[base:] != label[i]) & (np.minimum(sizes, len(v)) >= similarity * np.maximum(sizes, len(v)) - 1e-6)
+        if candidates is not None:
+            near &= candidates(i)
         if own:
             near[: i + 1] = False
         near = np.flatnonzero(near)

@@ -76,3 +76,28 @@ def test_short_texts_of_four_and_five_shingles_link(spark):
         texts += [" ".join(words), " ".join(words[:8])]
     got = components(spark, texts)
     assert got == least_ids(texts) == [i - i % 2 for i in range(300)]
+
+
+def test_a_hot_cell_is_split(spark):
+    n = 40
+    tiles = spark.createDataFrame([(c, k, k // simhash.GROUP, [100 * c + k], [b"x"]) for c, m in ((5, n), (6, 3), (9, 1)) for k in range(m)], "cell bigint, slot int, part bigint, ids array<bigint>, fps array<binary>")
+    sizes = spark.createDataFrame([(5, n), (6, 3), (9, 1)], "cell bigint, slots int")
+    pairs = simhash.tile_pairs(tiles, sizes, [0, 1])
+    got = [tuple(sorted((r["left_ids"][0], r["ids"][0]))) for r in pairs.collect()]
+    ids = lambda c, m: [100 * c + k for k in range(m)]
+    want = [(a, b) for m in (ids(5, n), ids(6, 3), ids(9, 1)) for a in m for b in m if a <= b] + [(a, b) for a in ids(5, n) for b in ids(6, 3)]
+    assert sorted(got) == sorted(want)
+    tasks = {(r["cell"], r["part"]): r["n"] for r in pairs.groupBy("cell", "part").count().withColumnRenamed("count", "n").collect()}
+    assert len([k for k in tasks if k[0] == 5]) == n // simhash.GROUP and max(tasks.values()) <= n * simhash.GROUP
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.tile_pairs(tiles, sizes, [0, 1])._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [cell" in plan and "part" in plan.split("SortMergeJoin [cell", 1)[1].split("\n")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_candidates_limit_what_is_compared():
+    sets = [np.arange(10, dtype=np.uint64)] * 4
+    assert len(list(simhash.set_links(sets, None, 0.8))) == 3
+    assert list(simhash.set_links(sets, None, 0.8, lambda i: np.array([False, False, i == 0, False]))) == [(0, 2)]
