@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from loamworks.llm.shared import LOWER, SPACES, UPPER, materialize
 
-#: Common lines are sent to all tasks up to so many (24 bytes each); beyond, they are joined, each looked up in a task for so many lines, about.
-SENT, SALT_LINES = 200_000, 2_000_000
+#: Common lines are sent to all tasks up to so many (24 bytes each); beyond, those that stand in most lines still are, at least in so many lines each, and the others are joined.
+SENT, HOT_LINES = 200_000, 2_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -32,9 +32,24 @@ def long_lines(docs: DataFrame, least_chars: int = 40, id_col: str = "doc_id", t
 
 
 def common_lines(lines: DataFrame, least_docs: int = 5) -> DataFrame:
-    """(h, g, keeper): hashes of the keys in ``least_docs`` or more documents, and the largest id of these. Rows without an id are no document."""
-    seen = lines.filter("id IS NOT NULL").groupBy("h", "g", "id").agg(F.lit(1).alias("one"))
-    return seen.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= least_docs).select("h", "g", "keeper")
+    """(h, g, keeper, lines): hashes of the keys in ``least_docs`` or more documents, the largest id of these, and how many lines they are. Rows without an id are no document."""
+    seen = lines.filter("id IS NOT NULL").groupBy("h", "g", "id").agg(F.count("*").alias("lines"))
+    found = seen.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("id").alias("keeper"), F.sum("lines").alias("lines"))
+    return found.filter(F.col("n") >= least_docs).select("h", "g", "keeper", "lines")
+
+
+def matched(lines: DataFrame, common: DataFrame, sent: int = SENT, hot_lines: int = HOT_LINES) -> DataFrame:
+    """The lines whose keys are common, with the keeper.
+
+    Few common keys are sent to all tasks. Of many, only the hot ones are, each once: those of ``hot_lines`` lines or more, and of a ``sent``-th of all lines, so that
+    there are no more than ``sent``. A key of the rest has fewer lines than that, so none fills a task of their join.
+    """
+    keys = common.select("h", "g", "keeper")
+    if common.count() <= sent:
+        return lines.join(F.broadcast(keys), ["h", "g"])
+    least = max(hot_lines, lines.count() // max(1, sent))
+    hot = F.col("lines") >= least
+    return lines.join(F.broadcast(common.filter(hot).select("h", "g", "keeper")), ["h", "g"]).unionByName(lines.join(common.filter(~hot).select("h", "g", "keeper"), ["h", "g"]))
 
 
 def _stays(lost: Column) -> Column:
@@ -58,12 +73,7 @@ def drop_common_lines(docs: DataFrame, least_docs: int = 5, least_chars: int = 4
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     lines = materialize(long_lines(docs, least_chars, id_col, text_col))
     common = materialize(common_lines(lines, least_docs))
-    if common.count() <= SENT:
-        found = lines.join(F.broadcast(common), ["h", "g"])
-    else:
-        salts = -(-lines.count() // SALT_LINES)
-        spread = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        found = lines.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)).cast("int")).join(spread, ["h", "g", "salt"])
+    found = matched(lines, common, SENT, HOT_LINES)
     lost = found.filter("id IS NULL OR id <> keeper").groupBy(F.col("id").alias("_id"), F.col("own").alias("_own")).agg(F.sort_array(F.collect_set("pos")).alias("_lost"))
     lost = lost.select("_id", "_own", _stays(F.col("_lost")).alias("_stays"), F.size("_lost").alias("_gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -123,3 +123,20 @@ def test_pieces_of_equal_length_and_content_are_packed_once_each(spark):
     docs = spark.createDataFrame([(i // 2, "the same words again") for i in range(400)], "doc_id bigint, text string")
     got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 16).collect()
     assert len(got) == 400 and len({(r["sequence_id"], r["offset"]) for r in got}) == 400
+
+
+def test_many_common_lines_and_hot_ones(spark, monkeypatch):
+    """A line in all documents and many in five each: only the former is sent to all tasks."""
+    line = lambda k: f"the line number {k} of those that several documents share"
+    rows = [(i, f"{LINE}\n{line(i // 5)}\n{LINE}\nown {i}") for i in range(400)] + [(None, LINE)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.drop_common_lines(docs).collect())
+    monkeypatch.setattr(line_dedup, "SENT", 20)
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 50)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.drop_common_lines(docs).collect()) == want
+    lines = line_dedup.materialize(line_dedup.long_lines(docs))
+    common = line_dedup.materialize(line_dedup.common_lines(lines))
+    assert common.count() == 81 and common.filter("lines >= 50").collect()[0]["lines"] == 800
+    plan = line_dedup.matched(lines, common, 20, 50)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("strategy=broadcast") == 1
+    assert line_dedup.matched(lines, common, 20, 50).count() == 1201
