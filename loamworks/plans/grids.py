@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamworks.functions import scalar
-from loamworks.operators import grids
+from loamworks.operators import grids, palettes
 from loamworks.plans.registry import query
 from loamworks.session import table
 
@@ -165,3 +165,9 @@ def flood_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = lambda *keys: F.lag("t").over(Window.partitionBy(*keys).orderBy("t", "event_id"))
     near = lambda before, ms: F.coalesce(F.col("t") - before <= ms, F.lit(False))
     return rows.select("event_id", (near(last("h"), 600_000) | near(last("h", "net"), scalar.DAY_MS)).alias("flood"))
+
+
+@query()
+def median_cut_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A palette of eight colours for each image, by weighted median cut and Lloyd steps; its splits and steps are held against a plain version in the tests."""
+    return palettes.palettes(pixels(spark, sf_dir), "img", 8)
