@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamworks.functions import scalar
-from loamworks.operators import grids, palettes
+from loamworks.operators import grids, palettes, sheets
 from loamworks.plans.registry import query
 from loamworks.session import table
 
@@ -171,3 +171,21 @@ def flood_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def median_cut_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A palette of eight colours for each image, by weighted median cut and Lloyd steps; its splits and steps are held against a plain version in the tests."""
     return palettes.palettes(pixels(spark, sf_dir), "img", 8)
+
+
+_SHOWN = "x % 8 < 7 AND y % 8 < 7 AND (x % 8 = 0 OR r % 11 > 0)"
+
+
+@query(
+    f"""WITH {_PIXELS}, o AS (SELECT img, y, x, x - row_number() OVER (PARTITION BY img, y ORDER BY x) AS k FROM px WHERE {_SHOWN}) SELECT img, y, min(x) AS start, CAST(max(x) + 1 AS INTEGER) AS stop FROM o GROUP BY img, y, k"""
+)
+def sheet_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of each row of each sheet that show something."""
+    return sheets.runs(pixels(spark, sf_dir), F.expr(_SHOWN))
+
+
+@query()
+def sheet_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate grids of each sheet with their evidence, the likeliest first; candidates are held against a plain version, and planted grids found, in the tests."""
+    out = sheets.grids(pixels(spark, sf_dir), F.expr(_SHOWN))
+    return out.withColumns({c: F.round(c, 6) for c in ("consistency", "coverage", "cross", "outside", "split", "score")})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamworks.plans.registry import query
-from loamworks.sources import feeds, sinks
+from loamworks.sources import feeds, market_posts, sinks
 from loamworks.session import table
 
 
@@ -192,3 +192,43 @@ def sitemap_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that may be indexed, with the languages that they are in; a sitemap holds 20000."""
     pages = table(spark, sf_dir, "customer").select(F.concat(F.lit("/"), "c_nationkey", F.lit("/"), "c_custkey").alias("path"), F.explode(F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("ko"), F.lit("en"))).otherwise(F.array(F.lit("en")))).alias("locale"), (F.col("c_acctbal") > 0).alias("ok"))
     return sinks.sitemap(pages, "path", "locale", "ok").select("path", F.array_join(F.map_keys("alternates"), ",").alias("locales"))
+
+
+@query(
+    r"""WITH h AS (SELECT page_id, lower(regexp_extract(html, '(?i)<(article|main|div|nav)\b[^>]*>', 1)) AS tag, regexp_extract(html, '(?i)<(?:article|main|div|nav)\b[^>]*>') AS opening, html FROM pages),
+    r AS (SELECT page_id, tag, substr(html, position(opening IN html) + length(opening)) AS rest FROM h WHERE tag <> ''),
+    t AS (SELECT page_id, rest, unnest(regexp_extract_all(rest, '(?i)</?' || tag || '(?:\s[^>]*)?>')) AS t, generate_subscripts(regexp_extract_all(rest, '(?i)</?' || tag || '(?:\s[^>]*)?>'), 1) AS n FROM r),
+    d AS (SELECT *, 1 + sum(CASE WHEN starts_with(t, '</') THEN -1 WHEN ends_with(t, '/>') THEN 0 ELSE 1 END) OVER w AS depth, sum(length(t)) OVER w AS tags FROM t WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+    e AS (SELECT page_id, min(n) AS n FROM d WHERE depth = 0 GROUP BY page_id),
+    l AS (SELECT r.page_id, r.tag, list_reduce(string_split_regex(r.rest, '(?i)</?' || r.tag || '(?:\s[^>]*)?>')[1:e.n], lambda a, x: a || x) AS bare, d.tags - length(d.t) AS tags FROM r JOIN e USING (page_id) JOIN d ON d.page_id = r.page_id AND d.n = e.n)
+    SELECT page_id, tag, CAST(length(bare) + tags AS BIGINT) AS n_chars, md5(bare) AS bare_md5 FROM l"""
+)
+def balanced_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page's first article, main, division or menu holds, up to its own end tag: its length, and a digest of it without the tags of its name."""
+    opening = r"(?i)<(article|main|div|nav)\b[^>]*>"
+    tag = F.lower(F.regexp_extract("html", opening, 1))
+    rows = table(spark, sf_dir, "pages").select("page_id", tag.alias("tag"), feeds.balanced(F.col("html"), opening, tag).alias("e")).filter("e IS NOT NULL")
+    own = F.concat(F.lit("(?i)</?"), "tag", F.lit(r"(?:\s[^>]*)?>"))
+    return rows.select("page_id", "tag", F.char_length("e").cast("bigint").alias("n_chars"), F.md5(F.regexp_replace("e", own, F.lit(""))).alias("bare_md5"))
+
+
+#: (title, body, items as (place, model, capacity, price, basis, excluded)) of posts, in dollars.
+POSTS = [
+    ("[WTS] cards", "<p>RTX 3080 10GB - $350 shipped</p><p>good card</p><p>RX 6600 XT $150</p>", [(1, "RTX 3080", "10", 350.0, "asking", False), (2, "RX 6600 XT", "", 150.0, "asking", False)]), ("RTX 3060 12GB", "<div>RTX 3060<div>$200</div></div>", [(1, "RTX 3060", "12", 200.0, "asking", False)]),
+    ("WTB RTX 3060", "RTX 3060 $200", [(1, None, None, None, None, True)]), ("cards", "RTX 3060 $200<br>RX 580 $90<br>RTX 3060 $210", [(1, "RTX 3060", "", 200.0, "asking", False), (2, "RX 580", "", 90.0, "asking", False), (3, "RTX 3060", "", 210.0, "asking", True)]),
+    ("cards", "nothing here", []), ("cards", "RTX 3060 $200<br>-----<br>$999<br>RTX 3060 12GB $250 SOLD", [(1, "RTX 3060", "", 200.0, "asking", False), (2, "RTX 3060", "12", 250.0, "sold", False)]),
+]
+
+
+def _posts_sql() -> str:
+    text = lambda v: "NULL" if v is None else "'" + v + "'" if isinstance(v, str) else str(v)
+    rows = ", ".join(f"({k}, {', '.join(map(text, item))})" for k, (_, _, found) in enumerate(POSTS) for item in found)
+    return f"SELECT event_id, CAST(place AS BIGINT) AS place, model, capacity, CAST(price AS DOUBLE) AS price, basis, excluded FROM events JOIN (VALUES {rows}) i(k, place, model, capacity, price, basis, excluded) ON k = event_id % {len(POSTS)}"
+
+
+@query(_posts_sql())
+def market_post_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of posts on boards, dealt out to the events: many of one post, one, or none."""
+    post = F.element_at(F.array(*[F.struct(F.lit(t).alias("title"), F.lit(b).alias("body")) for t, b, _ in POSTS]), (F.col("event_id") % len(POSTS) + 1).cast("int"))
+    posts = table(spark, sf_dir, "events").select("event_id", post.alias("p")).select("event_id", "p.*")
+    return market_posts.items(posts, "event_id", "USD").drop("shipping")

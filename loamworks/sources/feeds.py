@@ -18,9 +18,40 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
+def balanced(html: Column, opening: str, tag: Column | str) -> Column:
+    """What stands between the first tag that matches ``opening`` and the end tag that closes it; null if there is none.
+
+    Tags of the name count up and down from there, so an element ends at its own end tag, however many of its name it holds; empty ones (``<x/>``) count for nothing. ``opening`` must
+    match whole tags of that name. Case doesn't count.
+    """
+    name = F.lit(tag) if isinstance(tag, str) else tag
+    pattern = F.concat(F.lit(r"(?is)</?"), name, F.lit(r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"))
+    change = lambda t: F.when(F.startswith(t, F.lit("</")), -1).when(F.endswith(t, F.lit("/>")), 0).otherwise(1)
+    walk = lambda s, t: F.when(s["depth"] == 0, s).otherwise(F.named_struct(F.lit("depth"), s["depth"] + change(t), F.lit("n"), s["n"] + 1))
+
+    def inside(cut: Column) -> Column:
+        tags, pieces, end = cut["tags"], cut["pieces"], cut["end"]
+        whole = F.array_join(F.zip_with(F.slice(pieces, 1, end["n"] - 1), F.slice(tags, 1, end["n"] - 1), lambda p, t: F.concat(p, t)), "")
+        return F.when(end["depth"] == 0, F.concat(whole, F.get(pieces, end["n"] - 1)))
+
+    def cut(rest: Column) -> Column:
+        tags = F.regexp_extract_all(rest, pattern, 0)
+        end = lambda found: F.aggregate(found, F.named_struct(F.lit("depth"), F.lit(1), F.lit("n"), F.lit(0)), walk)
+        return _once(tags, lambda found: F.named_struct(F.lit("tags"), found, F.lit("pieces"), F.split(rest, pattern, -1), F.lit("end"), end(found)))
+
+    # a document without the element costs one search
+    start = F.regexp_extract(html, opening, 0)
+    return F.when(F.length(start) > 0, _once(F.substring(html, F.regexp_instr(html, F.lit(opening)) + F.char_length(start), F.char_length(html)), lambda rest: _once(cut(rest), inside)))
+
+
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f takes it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def element(xml: Column, tag: str) -> Column:
-    """Text of the first element of a name, character data unwrapped and references decoded; null if there is none."""
-    raw = F.regexp_extract(xml, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
+    """Text of the first element of a name, up to its own end tag, character data unwrapped and references decoded; null if there is none."""
+    raw = balanced(xml, rf"(?is)<{tag}(?:\s(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*)?>", tag)
     text = F.trim(decode_entities(F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")))
     return F.when(text != "", text)
 
