@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes a frame to the session's shared folder and reads it back, so that a loop's lineage stays short and executors can be lost.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name in the part of the session's shared folder that is this application's.
 
-    The folder is spark.checkpoint.dir; only on one machine is there a default.
+    The shared folder is spark.checkpoint.dir; only on one machine is there a default.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{(folder or '/tmp/checkpoints').rstrip('/')}/loamworks/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{(folder or '/tmp/checkpoints').rstrip('/')}/loamworks/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes a frame to the session's shared folder and reads it back, so that a loop's lineage stays short and executors can be lost."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled = path
     return out
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamworks.functions import scalar
-from loamworks.operators import temporal
+from loamworks.operators import graph, temporal
 from loamworks.plans.registry import query
 from loamworks.session import table
+from loamworks.streaming import late
 
 T0, T1 = 1_700_000_000_000, 1_700_200_000_000
 
@@ -109,3 +110,20 @@ def freshness_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("at"), F.max(F.when(F.col("event_type") == "error", F.col("ts"))).alias("bad"))
     stale = F.col("at") < F.lit("2024-01-29").cast("timestamp_ntz")
     return last.select("user_id", F.when(F.col("at") == F.col("bad"), "failing").when(stale, "stale").otherwise("ok").alias("state"))
+
+
+@query(
+    """WITH o AS (SELECT l_partkey AS part, l_returnflag AS value, epoch_ms(l_shipdate) AS t, epoch_ms(l_shipdate) + l_orderkey % 50 * 86400000 AS seen FROM lineitem),
+    s AS (SELECT part, t, arg_max(value, (seen, value)) AS value, max(seen) AS last, min(seen) AS first FROM o GROUP BY part, t),
+    b AS (SELECT *, CASE WHEN lag(value) OVER w IS DISTINCT FROM value THEN 1 ELSE 0 END AS starts FROM s WINDOW w AS (PARTITION BY part ORDER BY t)),
+    g AS (SELECT *, sum(starts) OVER (PARTITION BY part ORDER BY t) AS run FROM b)
+    SELECT part, max(value) AS value, min(t) AS valid_from, lead(min(t)) OVER (PARTITION BY part ORDER BY min(t)) AS valid_until, max(last) AS observed_at, min(first) AS first_seen FROM g GROUP BY part, run"""
+)
+def late_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories of facts whose observations come in three batches, out of order, one of them twice."""
+    day, at = 86_400_000, scalar.millis(F.col("l_shipdate"))
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("value"), at.alias("valid_from"), (at + F.col("l_orderkey") % 50 * day).alias("observed_at"), (F.col("l_orderkey") % 3).alias("k"))
+    folder = graph.shared_folder(spark)
+    for k in (2, 0, 1, 0):
+        late.merge(seen.filter(F.col("k") == k).drop("k"), k, folder, ["part"])
+    return late.histories(spark, folder)
