@@ -125,5 +125,5 @@ def late_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("value"), at.alias("valid_from"), (at + F.col("l_orderkey") % 50 * day).alias("observed_at"), (F.col("l_orderkey") % 3).alias("k"))
     folder = graph.shared_folder(spark)
     for k in (2, 0, 1, 0):
-        late.merge(seen.filter(F.col("k") == k).drop("k"), k, folder, ["part"])
+        late.merge(seen.filter(F.col("k") == k).drop("k"), k, folder, ["part"], buckets=16)
     return late.histories(spark, folder)
