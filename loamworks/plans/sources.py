@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamworks.functions import scalar
 from loamworks.plans.registry import query
 from loamworks.sources import feeds, market_posts, sinks
 from loamworks.session import table
@@ -232,3 +233,21 @@ def market_post_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = F.element_at(F.array(*[F.struct(F.lit(t).alias("title"), F.lit(b).alias("body")) for t, b, _ in POSTS]), (F.col("event_id") % len(POSTS) + 1).cast("int"))
     posts = table(spark, sf_dir, "events").select("event_id", post.alias("p")).select("event_id", "p.*")
     return market_posts.items(posts, "event_id", "USD").drop("shipping")
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS id, epoch_ms(o_orderdate) + o_orderkey % 1000 AS created, o_custkey % 3 AS os, o_custkey AS c, o_orderkey % 7 AS q FROM orders WHERE o_orderkey % 5 > 0 AND o_orderstatus <> 'P' AND o_custkey % 4 > 0 AND o_orderkey % 17 > 0),
+    m AS (SELECT *, strftime(make_timestamp(created * 1000), '%Y-%m') AS month FROM r)
+    SELECT month, 'app:' || c AS subject, CASE os WHEN 0 THEN 'windows' WHEN 1 THEN 'linux' END AS os, CASE WHEN q > 0 THEN 'Q' || q END AS quant, strftime(make_timestamp(created * 1000), '%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY created, id) AS n FROM m) WHERE n <= 50000"""
+)
+def open_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as they are given away: public ones whose post still stands, without names and free text."""
+    key, system = F.col("o_orderkey"), F.col("o_custkey") % 3
+    env = F.to_json(F.struct(F.when(system == 0, "Windows 11 of mine").when(system == 1, "Ubuntu").otherwise("something").alias("os"), F.when(key % 7 > 0, F.concat(F.lit("Q"), key % 7)).otherwise("free text; of any kind").alias("quant"), F.lit("x").alias("note")))
+    rows = table(spark, sf_dir, "orders").select(
+        key.alias("id"), F.when(key % 5 > 0, "compat").otherwise("issue").alias("kind"), F.when(F.col("o_orderstatus") == "P", "hidden").otherwise("published").alias("status"), F.when(F.col("o_custkey") % 4 > 0, "public").otherwise("private").alias("visibility"),
+        F.concat(F.lit("app:"), "o_custkey").alias("subject"), F.lit("1").alias("subject_version"), F.lit("app:x").alias("target"), F.lit("2").alias("target_version"), env.alias("env"), F.lit("works").alias("result"), (scalar.millis(F.col("o_orderdate")) + key % 1000).alias("created_at"),
+    )
+    posts = rows.filter("id % 17 = 0").select(F.col("id").alias("report"), F.lit("removed").alias("status"))
+    given, _ = sinks.open_reports(rows, posts)
+    return given.select("month", "subject", F.try_element_at("env", F.lit("os")).alias("os"), F.try_element_at("env", F.lit("quant")).alias("quant"), "day")

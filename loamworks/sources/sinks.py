@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamworks.operators.relational import blocked_places
+
 
 def export_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """Each table as Parquet; reading them back gives the same rows."""
@@ -12,10 +14,42 @@ def export_tables(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
-def open_data(reports: DataFrame, at_ms: str, folder: str, keep: list[str]) -> None:
-    """Reports as JSON lines by month, with the columns that name nobody."""
-    month = F.date_format(F.timestamp_millis(at_ms), "yyyy-MM")
-    reports.withColumn("month", month).select("month", *keep).write.mode("overwrite").partitionBy("month").json(folder)
+#: Families of systems, the first whose pattern is found; settings that are short codes, and what such a code looks like.
+SYSTEMS = (("(?i)windows", "windows"), ("(?i)mac|os x", "macos"), ("(?i)steam ?deck|steamos", "steamos"), ("(?i)linux|ubuntu|fedora|arch", "linux"), ("(?i)android", "android"), ("(?i)ios|iphone|ipad", "ios"))
+CODES, CODE = ("runtime", "quant"), r"^[\w.\- ]{1,24}$"
+
+
+def safe_env(env: Column) -> Column:
+    """Of a setup in JSON, what names nobody: short codes of ``CODES`` and the family of its system; free text is left out. What is no JSON object gives an empty map."""
+    by = F.try_variant_get(F.try_parse_json(env), "$", "map<string, variant>")
+    text = lambda k: F.when(F.schema_of_variant(F.try_element_at(by, F.lit(k))) == "STRING", F.try_element_at(by, F.lit(k)).cast("string"))
+    family = F.coalesce(*[F.when(text("os").rlike(p), F.lit(name)) for p, name in SYSTEMS])
+    found = [F.struct(F.lit(k).alias("key"), F.when(text(k).rlike(CODE), text(k)).alias("value")) for k in CODES] + [F.struct(F.lit("os").alias("key"), family.alias("value"))]
+    return F.map_from_entries(F.filter(F.array(*found), lambda e: e["value"].isNotNull()))
+
+
+def open_reports(reports: DataFrame, posts: DataFrame, most: int | None = 50_000) -> tuple[DataFrame, DataFrame]:
+    """Published public reports that may be given away, and their months: (month, subject, subject_version, target, target_version, env, result, day) and (month, reports, truncated).
+
+    reports: id, kind, status, visibility, subject, subject_version, target, target_version, env (JSON), result, created_at (ms); posts: report, status: a report whose post is neither published nor locked stays
+    in. Of a month the first ``most`` by time are given, all for None, and it is told whether there are more. Users and texts never leave.
+    """
+    hidden = posts.filter("coalesce(status, '') NOT IN ('published', 'locked')").select(F.col("report").alias("id")).distinct()
+    at = F.timestamp_millis("created_at")
+    rows = reports.filter("kind = 'compat' AND status = 'published' AND visibility = 'public'").join(hidden, "id", "left_anti").withColumns({"month": F.date_format(at, "yyyy-MM"), "day": F.date_format(at, "yyyy-MM-dd")})
+    # numbered day by day, so that a busy month is no one task's
+    placed = blocked_places(rows, ["month"], F.col("day"), [F.col("created_at"), F.col("id")])
+    given = placed if most is None else placed.filter(F.col("place") <= most)
+    top = F.lit(most).cast("bigint")
+    months = placed.groupBy("month").agg(F.count("*").alias("n")).select("month", F.least("n", top).alias("reports"), F.coalesce(F.col("n") > top, F.lit(False)).alias("truncated"))
+    return given.select("month", "subject", "subject_version", "target", "target_version", safe_env(F.col("env")).alias("env"), "result", "day"), months
+
+
+def open_data(reports: DataFrame, posts: DataFrame, folder: str, most: int | None = 50_000) -> None:
+    """``open_reports`` as JSON lines by month below ``folder``/reports, and its months below ``folder``/months."""
+    given, months = open_reports(reports, posts, most)
+    given.write.mode("overwrite").partitionBy("month").json(f"{folder}/reports")
+    months.write.mode("overwrite").json(f"{folder}/months")
 
 
 def feed(items: DataFrame, at: str, title: str, url: str, most: int = 40) -> DataFrame:

@@ -64,8 +64,15 @@ def test_sinks_round_trip(spark, tmp_path):
     df = spark.range(5).withColumn("at", F.lit(1_704_067_200_000) + F.col("id"))
     sinks.export_tables({"t": df}, str(tmp_path))
     assert sorted(spark.read.parquet(f"{tmp_path}/t.parquet").collect()) == sorted(df.collect())
-    sinks.open_data(df, "at", str(tmp_path / "open"), ["id"])
-    assert rows(spark.read.json(str(tmp_path / "open")), "id", "month")[0] == ("0", "2024-01")
+    schema = "id int, kind string, status string, visibility string, subject string, subject_version string, target string, target_version string, env string, result string, created_at bigint, user string, comment string"
+    report = lambda i, kind="compat", status="published", visibility="public", env="{}", at=1_704_067_200_000: (i, kind, status, visibility, "app:a", "1", "app:b", None, env, "works", at + i, "me", "my words")
+    reports = [report(1, env='{"os": "Mac OS X 14", "runtime": "ollama 0.3", "quant": "Q4; call me", "note": "mine"}'), report(2, env='{"os": 7, "runtime": ""}'), report(3, env="not JSON"), report(4, env=None), report(5, kind="issue"), report(6, status="hidden"), report(7, visibility="private"), report(8), report(9), report(10, at=1_706_745_600_000)]
+    frame, posts = spark.createDataFrame(reports, schema), spark.createDataFrame([(8, "removed"), (9, "locked"), (77, "removed")], "report int, status string")
+    sinks.open_data(frame, posts, str(tmp_path / "open"), most=3)
+    out = spark.read.schema("subject string, env map<string, string>, result string, day string").json(str(tmp_path / "open/reports"))
+    assert [r["env"] for r in out.filter("day = '2024-01-01'").collect()].count({"runtime": "ollama 0.3", "os": "macos"}) == 1 and set(out.columns) == {"subject", "env", "result", "day", "month"}
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "open/months")).select("month", "reports", "truncated").collect())) == [("2024-01", 3, True), ("2024-02", 1, False)]
+    assert sorted(map(tuple, sinks.open_reports(frame, posts, None)[1].collect())) == [("2024-01", 5, False), ("2024-02", 1, False)]
     items = spark.createDataFrame([(1, "a<b", "u1"), (2, "c", "u2")], "at int, title string, url string")
     assert sinks.feed(items, "at", "title", "url").first()["xml"].index("u2") < sinks.feed(items, "at", "title", "url").first()["xml"].index("u1")
     pages = spark.createDataFrame([("/a", "en", True), ("/a", "ko", True), ("/b", "en", False)], "p string, l string, ok boolean")
