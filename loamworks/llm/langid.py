@@ -16,6 +16,8 @@ from loamworks.llm.shared import materialize
 PROFILE, DOC_GRAMS, SAMPLE = 500, 400, 4000
 #: Labels whose profiles are sent to the tasks at once, about; more are compared block after block.
 LABELS = 2000
+#: Shares of labels are sent to all tasks up to so many labels (some 30 bytes each); more are joined.
+SENT = 100_000
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _SPACE = ord(" ")
@@ -50,9 +52,9 @@ def profiles(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE, id_col:
     Fitted on about ``sample`` documents of each label, all if there are fewer: those whose hashed id falls below a share. So what is counted is bounded.
     """
     known = docs.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    share = known.groupBy("label").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    share = materialize(known.groupBy("label").agg((F.lit(float(sample)) / F.count("*")).alias("share")))
     chance = F.pmod(F.xxhash64("id", F.lit("profile")), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.join(share, "label").filter(chance < F.col("share")).select("label", "text")
+    picked = known.join(F.broadcast(share) if share.count() <= SENT else share, "label").filter(chance < F.col("share")).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
