@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamworks.operators import graph
+from loamworks.operators import brackets, graph
 from loamworks.plans.registry import query
 from loamworks.session import table
 
@@ -93,3 +93,18 @@ def tournament_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds = first.filter("n > 1").select("*", F.explode(F.sequence(F.lit(1), F.ceil(F.log2("n")).cast("int"))).alias("round"))
     at = F.floor(F.col("slot") / F.pow(F.lit(2), F.col("round"))).alias("slot")
     return rounds.groupBy("bracket", "round", at).agg(F.max_by("id", F.struct("strength", -F.col("id"))).alias("id"))
+
+
+def bracket_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Brackets of eight customers each, the first with as many as there are, and an event for each order: its customer says to have won a match of theirs."""
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    seats = table(spark, sf_dir, "customer").select(F.floor(key / 8).alias("bracket"), (key % 8).cast("int").alias("slot"), key.alias("entrant"))
+    every = seats.select("bracket").distinct().select("bracket", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("slot"))
+    events = table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 8).alias("bracket"), order.alias("seq"), (order % 3).cast("int").alias("round"), F.floor(F.col("o_custkey") % 8 / F.pow(F.lit(2), order % 3 + 1)).cast("int").alias("match"), F.col("o_custkey").alias("winner"))
+    return every.join(seats, ["bracket", "slot"], "left"), events
+
+
+@query()
+def bracket_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of each bracket after all events, changed results included; held against a plain board in the tests."""
+    return brackets.boards(*bracket_tables(spark, sf_dir))
