@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\f\r"
 #: Whether a query's shuffle files are deleted when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How many rows a Python worker is given at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -42,23 +44,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(folder or '/tmp/checkpoints').rstrip('/')}/loamworks/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: lineage ends there.
 
     Unlike cached blocks the files outlive executors, and unlike checkpoint() the plan runs once. The shuffle files of the plan are deleted as soon as it has run: what
-    is written takes their place.
+    is written takes their place. ``batch_rows``: rows that Python workers are given at once, where rows are large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

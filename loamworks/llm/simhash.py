@@ -23,6 +23,8 @@ SEED = 42
 _AT_ONCE, _RUN = 1 << 15, 128
 #: Texts in a tile of a family, about, and their shingles.
 FAMILY_TILE, FAMILY_SHINGLES = 512, 1_000_000
+#: Pairs of tiles that a Python worker is given at once: some 80 KB each of fingerprints, up to 16 MB each of texts' shingles.
+PAIRS, FAMILY_PAIRS = 256, 2
 
 
 def shingles_of(text: str | None, width: int) -> list[bytes]:
@@ -230,7 +232,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     fps = materialize(fingerprints(docs, id_col, text_col, width, words))
     # equal fingerprints are one node, whose number of shingles is the least among them
     nodes = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("shingles").alias("shingles")).withColumn("node", F.monotonically_increasing_id()))
-    roots = connected_components(links(nodes, radius, words))
+    roots = connected_components(materialize(links(nodes, radius, words), PAIRS))
     named = nodes.select("node", "fp", "least").join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(materialize(named.join(names, "root").select("fp", "component_id")), "fp").select(id_col, "fp", "component_id")
@@ -245,10 +247,10 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int
     )
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     radius = search_radius(similarity, 64 * words)
-    families = connected_components(links(nodes, radius, words, similarity)).withColumnRenamed("root", "family")
+    families = connected_components(materialize(links(nodes, radius, words, similarity), PAIRS)).withColumnRenamed("root", "family")
     members = materialize(nodes.select("node", "fp", "shingles", "one").join(families, "node"))
     found = verified_links(docs.select(F.col(id_col).alias("id"), F.md5(text_col).alias("own"), F.col(text_col).alias("text")), members, width, similarity, radius)
-    roots = connected_components(found)
+    roots = connected_components(materialize(found, FAMILY_PAIRS))
     named = nodes.select("node", "same", "least").join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(materialize(named.join(names, "root").select("same", "component_id")), "same").select(id_col, "fp", "component_id")
