@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,16 +98,22 @@ def tile_masks(cells: DataFrame) -> DataFrame:
     return masks.select("x", "y", edges.alias("edges"), (edges + corner(2, 7) + corner(8, 28) + corner(32, 112) + corner(128, 193)).alias("blob"))
 
 
-def near_signatures(signatures: DataFrame, id_col: str, signature: str, radius: int, bits: int = 64) -> DataFrame:
+def near_signatures(signatures: DataFrame, id_col: str, signature: str, radius: int, bits: int = 64, shared: int = 3) -> DataFrame:
     """(a, b) of the ids of distinct signatures that differ in at most ``radius`` bits, least ids standing for equal signatures.
 
-    One of radius + 1 bands must be equal: pairs meet by band and are compared in full; nothing else is paired.
+    Of radius + ``shared`` blocks of bits, at least ``shared`` are equal: pairs meet by each choice of so many blocks, here half of all bits, so that few meet by chance however many there
+    are, and are compared in full. A pair is told by the first of its equal blocks alone.
     """
-    bands = radius + 1
-    width = -(-bits // bands)
+    n = radius + shared
+    edges = [i * bits // n for i in range(n + 1)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
     one = signatures.groupBy(signature).agg(F.min(id_col).alias("id")).withColumnRenamed(signature, "s")
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("s", i * width).bitwiseAND((1 << width) - 1).alias("bits")) for i in range(bands)])).alias("k")
+    choices = [(sum(1 << j for j in c), 1 << (c[-1] + 1), signed(sum(masks[j] for j in c))) for c in combinations(range(n), shared)]
+    at = F.explode(F.array(*[F.struct(F.lit(m).alias("blocks"), F.lit(top).alias("top"), F.col("s").bitwiseAND(F.lit(mask).cast("bigint")).alias("bits")) for m, top, mask in choices])).alias("k")
     keyed = one.select("id", "s", at).select("id", "s", "k.*")
-    pairs = keyed.alias("x").join(keyed.alias("y"), F.expr("x.band = y.band AND x.bits = y.bits AND x.id < y.id"))
-    near = pairs.filter(F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) <= radius)
-    return near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = keyed.alias("x").join(keyed.alias("y"), F.expr("x.blocks = y.blocks AND x.bits = y.bits AND x.id < y.id"))
+    away = F.col("x.s").bitwiseXOR(F.col("y.s"))
+    near = pairs.filter(F.bit_count(away) <= radius)
+    equal = sum(F.when(away.bitwiseAND(F.lit(signed(mask)).cast("bigint")) == 0, 1 << j).otherwise(0) for j, mask in enumerate(masks))
+    return near.filter(equal % F.col("x.top") == F.col("x.blocks")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))

@@ -1,10 +1,11 @@
 """Scenarios with known answers for what the catalogue's tables don't reach."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loamworks.functions import colour, pandas_udfs, scalar
-from loamworks.operators import boards, graph, relational, search, sequences, temporal, traffic
+from loamworks.operators import boards, entities, graph, relational, search, sequences, temporal, traffic
 
 
 def one(spark, column, **values):
@@ -221,3 +222,21 @@ def test_colours_and_shapes(spark):
     assert abs(one - 21) < 1e-9
     shapes = spark.createDataFrame([([0.0, 2.0, 2.0, 0.0], [0.0, 0.0, 3.0, 3.0]), ([0.0, 1.0], [0.0, 1.0])], "x array<double>, y array<double>")
     assert [r[0] for r in shapes.select(colour.polygon_area(F.col("x"), F.col("y"))).collect()] == [6.0, 0.0]
+
+
+@pytest.mark.parametrize("radius,shared", [(3, 3), (1, 2), (0, 1), (5, 2)])
+def test_near_signatures(spark, radius, shared):
+    rng = np.random.default_rng(radius)
+    values = rng.integers(-(2**63), 2**63 - 1, 40).tolist()
+    for v in list(values)[:25]:
+        for k in range(1, radius + 2):
+            flipped = v
+            for bit in rng.choice(64, k, replace=False).tolist():
+                flipped ^= 1 << bit
+            values.append(flipped - (1 << 64) if flipped >= 1 << 63 else flipped + (1 << 64) if flipped < -(1 << 63) else flipped)
+    values += values[:3]
+    least = {v: i for i, v in reversed(list(enumerate(values)))}
+    away = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    want = sorted((i, j) for a, i in least.items() for b, j in least.items() if i < j and away(a, b) <= radius)
+    got = entities.near_signatures(spark.createDataFrame(list(enumerate(values)), "id int, s bigint"), "id", "s", radius, 64, shared)
+    assert sorted(map(tuple, got.collect())) == want
