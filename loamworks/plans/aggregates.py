@@ -110,15 +110,16 @@ def quantiles_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events WHERE value IS NOT NULL GROUP BY event_type"""
 )
 def p90_floor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 90th percentile by floored index, clamped to 5..100; found by rank, so that no key's values meet in one row."""
+    """The 90th percentile by floored index, clamped to 5..100; found by rank, first among whole values and then within one, so that no key's values meet in one row or task."""
     rows = table(spark, sf_dir, "events").filter("value IS NOT NULL").select("event_type", "value")
-    counted = rows.groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    upto = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    total = upto.groupBy("event_type").agg(F.sum("c").alias("n"))
-    at = upto.join(total, "event_type").filter(F.col("upto") > F.floor(F.col("n") * F.lit(0.9)))
-    return at.groupBy("event_type").agg(F.min("value").alias("v"), F.first("n").alias("n")).select(
-        "event_type", F.when(F.col("n") < 20, F.lit(10.0)).otherwise(F.greatest(F.lit(5.0), F.least(F.lit(100.0), "v"))).alias("threshold")
-    )
+    counted = rows.groupBy("event_type", "value").agg(F.count("*").alias("c")).withColumn("whole", F.floor("value"))
+    ordered = lambda by, keys: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    wholes = counted.groupBy("event_type", "whole").agg(F.sum("c").alias("n")).withColumn("upto", F.sum("n").over(ordered("whole", ["event_type"])))
+    total = wholes.groupBy("event_type").agg(F.sum("n").alias("all")).withColumn("rank", F.floor(F.col("all") * F.lit(0.9)))
+    held = wholes.join(total, "event_type").filter("upto > rank AND upto - n <= rank").select("event_type", "whole", (F.col("upto") - F.col("n")).alias("before"), "rank", "all")
+    near = counted.join(held, ["event_type", "whole"]).withColumn("upto", F.col("before") + F.sum("c").over(ordered("value", ["event_type"])))
+    found = near.filter("upto > rank").groupBy("event_type").agg(F.min("value").alias("v"), F.first("all").alias("n"))
+    return found.select("event_type", F.when(F.col("n") < 20, F.lit(10.0)).otherwise(F.greatest(F.lit(5.0), F.least(F.lit(100.0), "v"))).alias("threshold"))
 
 
 @query(
