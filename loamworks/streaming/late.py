@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamworks.operators.sequences import before_in_blocks
@@ -36,10 +36,8 @@ def history(observed: DataFrame, keys: list[str], block_ms: int = BLOCK_MS) -> D
     return runs.join(seen, ["_key", "valid_from"]).filter("value IS NOT NULL").select("_key.*", "value", "valid_from", "valid_until", "observed_at", "first_seen")
 
 
-def _last_in_blocks(rows: DataFrame, value: str, block) -> DataFrame:
+def _last_in_blocks(rows: DataFrame, value: str, block: Column) -> DataFrame:
     """``rows`` with the last value that isn't null up to each row's valid_from, within its key."""
-    from pyspark.sql import Window
-
     marked = rows.withColumn("_block", block)
     ends = marked.groupBy("_key", "_block").agg(F.max(value).alias("_most"))  # starts rise along valid time
     before = ends.withColumn("_before", F.max("_most").over(Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_most")
