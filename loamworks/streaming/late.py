@@ -11,19 +11,42 @@ from loamworks.operators.sequences import before_in_blocks
 BUCKETS = 64
 #: Milliseconds of valid time in a block: the history of one fact is worked on block by block.
 BLOCK_MS = 30 * 86_400_000
+#: Observations of one fact up to which one task takes its history as a whole; of more, it is worked on in blocks.
+MOST = 100_000
 
 
-def history(observed: DataFrame, keys: list[str], block_ms: int = BLOCK_MS) -> DataFrame:
+def history(observed: DataFrame, keys: list[str], block_ms: int = BLOCK_MS, most: int = MOST) -> DataFrame:
     """(keys, value, valid_from, valid_until, observed_at, first_seen): how the values of each fact follow one another in valid time.
 
     observed: keys, value, valid_from and observed_at in ms; rows may come in any order and more than once. What is said of one time is what was observed last (of equal times the greater value);
     a value that goes on is one row, with when it was last and first observed. valid_until is null for the value that still holds. A null value ends what held before. Rows without valid_from are left out.
+    Facts of at most ``most`` observations are shuffled once and worked on as a whole, the others block by block.
     """
-    named = [F.struct(*keys).alias("_key")]
-    said = observed.filter("valid_from IS NOT NULL").groupBy(*named, "valid_from").agg(
-        F.max_by(F.struct("value"), F.struct("observed_at", "value")).alias("s"), F.max("observed_at").alias("observed_at"), F.min("observed_at").alias("first_seen")
-    )
-    said = said.select("_key", "valid_from", F.struct(F.lit(True).alias("there"), F.col("s.value").alias("value")).alias("v"), "observed_at", "first_seen")
+    rows = observed.filter("valid_from IS NOT NULL").select(F.struct(*keys).alias("_key"), "value", "valid_from", "observed_at")
+    often = rows.groupBy("_key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("_key")  # one in ``most`` rows at the most
+    runs = _whole(rows.join(F.broadcast(often), "_key", "left_anti")).unionByName(_in_blocks(rows.join(F.broadcast(often), "_key", "left_semi"), block_ms))
+    return runs.filter("value IS NOT NULL").select("_key.*", "value", "valid_from", "valid_until", "observed_at", "first_seen")
+
+
+def _said(rows: DataFrame) -> DataFrame:
+    """What is said of each time: v, a struct that is never null, and when it was observed."""
+    said = rows.groupBy("_key", "valid_from").agg(F.max(F.struct("observed_at", "value")).alias("s"), F.min("observed_at").alias("first_seen"))
+    return said.select("_key", "valid_from", F.struct(F.lit(True).alias("there"), F.col("s.value").alias("value")).alias("v"), "s.observed_at", "first_seen")
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """Runs of facts that each fit one task: rows are shuffled by fact once, and all steps are taken where they are then."""
+    order = Window.partitionBy("_key").orderBy("valid_from")
+    told = _said(rows.repartition("_key")).withColumn("was", F.lag("v").over(order))
+    marks = told.withColumn("start", F.when(F.col("was").isNull() | ~F.col("v.value").eqNullSafe(F.col("was.value")), F.col("valid_from")))
+    carried = marks.withColumn("start", F.max("start").over(order))  # starts rise along valid time
+    runs = carried.groupBy("_key", "start").agg(F.first("v.value").alias("value"), F.max("observed_at").alias("observed_at"), F.min("first_seen").alias("first_seen"))
+    return runs.withColumnRenamed("start", "valid_from").withColumn("valid_until", F.lead("valid_from").over(order))
+
+
+def _in_blocks(rows: DataFrame, block_ms: int) -> DataFrame:
+    """Runs of facts of any number of rows, block by block of valid time."""
+    said = _said(rows)
     block = F.floor(F.col("valid_from") / block_ms)
     told = before_in_blocks(said, "v", ["_key"], block, ["valid_from"], "was")
     starts = told.filter(F.col("was").isNull() | ~F.col("v.value").eqNullSafe(F.col("was.value")))
@@ -33,7 +56,7 @@ def history(observed: DataFrame, keys: list[str], block_ms: int = BLOCK_MS) -> D
     marks = told.withColumn("start", F.when(F.col("was").isNull() | ~F.col("v.value").eqNullSafe(F.col("was.value")), F.col("valid_from")))
     carried = _last_in_blocks(marks, "start", block)
     seen = carried.groupBy("_key", F.col("start").alias("valid_from")).agg(F.max("observed_at").alias("observed_at"), F.min("first_seen").alias("first_seen"))
-    return runs.join(seen, ["_key", "valid_from"]).filter("value IS NOT NULL").select("_key.*", "value", "valid_from", "valid_until", "observed_at", "first_seen")
+    return runs.join(seen, ["_key", "valid_from"])
 
 
 def _last_in_blocks(rows: DataFrame, value: str, block: Column) -> DataFrame:
@@ -63,7 +86,7 @@ def merge(batch: DataFrame, batch_id: int, folder: str, keys: list[str], buckets
     touched = [r["bucket"] for r in seen.filter(F.col("batch") == batch_id).select("bucket").distinct().collect()]  # at most ``buckets``
     if touched:
         whole = history(seen.filter(F.col("bucket").isin(touched)), [*keys, "bucket"])
-        whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/history")
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/history")
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:

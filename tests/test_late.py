@@ -51,6 +51,17 @@ def test_history(spark, facts):
     assert late.history(spark.createDataFrame([], SCHEMA), ["entity", "property"]).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 20, 10**6])
+def test_history_of_frequent_and_rare_facts(spark, facts, most):
+    known = [f for f in facts if f[0] is not None]
+    assert rows(late.history(spark.createDataFrame(known, SCHEMA), ["entity", "property"], most=most)) == plain(known)
+
+
+def test_rare_facts_are_shuffled_once(spark, facts):
+    frame = spark.createDataFrame(facts, SCHEMA).filter("valid_from IS NOT NULL").selectExpr("struct(entity, property) AS _key", "value", "valid_from", "observed_at")
+    assert late._whole(frame)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_any_order_of_batches_gives_one_table(spark, facts, tmp_path):
     known = [f for f in facts if f[0] is not None]
     parts = [known[0::3], known[1::3], known[2::3]]
