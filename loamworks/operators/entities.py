@@ -102,7 +102,7 @@ def near_signatures(signatures: DataFrame, id_col: str, signature: str, radius:
     """(a, b) of the ids of distinct signatures that differ in at most ``radius`` bits, least ids standing for equal signatures.
 
     Of radius + ``shared`` blocks of bits, at least ``shared`` are equal: pairs meet by each choice of so many blocks, here half of all bits, so that few meet by chance however many there
-    are, and are compared in full. A pair is told by the first of its equal blocks alone.
+    are, and are compared in full. A pair is told by the first of its equal blocks alone. Both sides are shuffled: a plan's estimate doesn't see that each row becomes many, and would send one side to all tasks.
     """
     n = radius + shared
     edges = [i * bits // n for i in range(n + 1)]
@@ -112,7 +112,7 @@ def near_signatures(signatures: DataFrame, id_col: str, signature: str, radius:
     choices = [(sum(1 << j for j in c), 1 << (c[-1] + 1), signed(sum(masks[j] for j in c))) for c in combinations(range(n), shared)]
     at = F.explode(F.array(*[F.struct(F.lit(m).alias("blocks"), F.lit(top).alias("top"), F.col("s").bitwiseAND(F.lit(mask).cast("bigint")).alias("bits")) for m, top, mask in choices])).alias("k")
     keyed = one.select("id", "s", at).select("id", "s", "k.*")
-    pairs = keyed.alias("x").join(keyed.alias("y"), F.expr("x.blocks = y.blocks AND x.bits = y.bits AND x.id < y.id"))
+    pairs = keyed.alias("x").hint("merge").join(keyed.alias("y"), F.expr("x.blocks = y.blocks AND x.bits = y.bits AND x.id < y.id"))
     away = F.col("x.s").bitwiseXOR(F.col("y.s"))
     near = pairs.filter(F.bit_count(away) <= radius)
     equal = sum(F.when(away.bitwiseAND(F.lit(signed(mask)).cast("bigint")) == 0, 1 << j).otherwise(0) for j, mask in enumerate(masks))

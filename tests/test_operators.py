@@ -240,3 +240,10 @@ def test_near_signatures(spark, radius, shared):
     want = sorted((i, j) for a, i in least.items() for b, j in least.items() if i < j and away(a, b) <= radius)
     got = entities.near_signatures(spark.createDataFrame(list(enumerate(values)), "id int, s bigint"), "id", "s", radius, 64, shared)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_near_signatures_send_no_side_whole(spark):
+    frame = spark.createDataFrame([(1, 0), (2, 7), (3, 15), (4, 1 << 40), (5, 0)], "id int, s bigint")
+    got = entities.near_signatures(frame, "id", "s", 3)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 4), (2, 3)]
