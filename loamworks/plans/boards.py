@@ -93,8 +93,8 @@ def undated_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = F.when(F.col("event_id") % 5 > 0, F.unix_millis(F.col("ts").cast("timestamp")))
     rows = table(spark, sf_dir, "events").select("event_type", "event_id", starts.alias("starts"))
     day = F.floor(F.col("starts") / 86_400_000)
-    rising = relational.blocked_places(rows, ["event_type"], day, [F.asc_nulls_last("starts"), F.col("event_id")], name="rising")
-    both = relational.blocked_places(rising, ["event_type"], F.coalesce(day, F.lit(0)), [F.desc(F.coalesce("starts", F.lit(0))), F.col("event_id")], descending=True, name="falling")
+    rising = relational.blocked_places(rows, ["event_type"], day, [F.asc_nulls_last("starts"), F.asc_nulls_last("event_id")], name="rising")
+    both = relational.blocked_places(rising, ["event_type"], F.coalesce(day, F.lit(0)), [F.desc(F.coalesce("starts", F.lit(0))), F.asc_nulls_last("event_id"), F.desc("rising")], descending=True, name="falling")
     return both.select("event_type", "event_id", "rising", "falling")
 
 

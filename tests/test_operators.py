@@ -247,3 +247,11 @@ def test_near_signatures_send_no_side_whole(spark):
     got = entities.near_signatures(frame, "id", "s", 3)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 4), (2, 3)]
+
+
+def test_undated_order_with_null_ids(spark, tmp_path):
+    from loamworks.plans.catalogue import QUERIES
+
+    spark.sql("SELECT * FROM VALUES (CAST(NULL AS BIGINT), 'a', TIMESTAMP_NTZ '2024-01-02 00:00:00'), (5, 'a', NULL), (10, 'a', NULL), (NULL, 'a', NULL), (1, 'a', TIMESTAMP_NTZ '2024-01-01 00:00:00') AS t(event_id, event_type, ts)").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r["event_id"], r["rising"], r["falling"]) for r in QUERIES["undated_order"](spark, str(tmp_path)).collect()}
+    assert {g[:2] for g in got} == {(1, 1), (5, 2), (10, 3), (None, 4), (None, 5)} and {g[::2] for g in got} == {(1, 1), (5, 2), (10, 3), (None, 4), (None, 5)}
