@@ -152,3 +152,17 @@ def test_hops_of_a_hub_do_not_multiply(spark):
     states = spark.range(-1, 2 * n).select("id", F.when(F.col("id") == 2 * n - 1, 9).otherwise(0).alias("state"))
     assert graph._steps(needs, 10_000) is None
     assert graph.propagate(states, needs).filter("state = 9").count() == n + 2
+
+
+def test_like_parts_and_rules_meet_once(spark):
+    rules = spark.range(200).selectExpr(
+        "id AS rule", "id AS place", "'a' AS part", "'Studio' AS host", "array('windows') AS platforms", "array('universal') AS architectures", "CAST(NULL AS array<string>) AS install_types", "'>=3.0 <4' AS host_range",
+        "CAST(NULL AS string) AS part_range", "'READY' AS status", "CAST(NULL AS string) AS minimum", "CAST(NULL AS string) AS tested", "false AS sample", "CAST(id % 7 AS int) AS checked",
+    )
+    parts = spark.range(300).selectExpr("id AS stack", "'a' AS id", "CASE WHEN id % 2 = 0 THEN '1.2' END AS version", "CAST(NULL AS string) AS install_type", "false AS sample").withColumn("own_key", versions.version_key(F.col("version")))
+    targets = spark.range(300).selectExpr("id AS stack", "CASE WHEN id % 3 = 0 THEN '4.0' ELSE '3.1' END AS version", "'windows' AS platform", "CASE WHEN id % 5 > 0 THEN 'x86_64' END AS architecture", "'Studio' AS host")
+    chosen = compatibility.chosen_rules(parts, targets.withColumn("to_key", versions.version_key(F.col("version"))), compatibility.indexed(rules))
+    assert chosen.select("stack").distinct().count() == 200 and {tuple(r) for r in chosen.select("rule", "differ").distinct().collect()} == {(6, False)}
+    # 300 parts ask 8 questions of one kind of rule: pairs are made after both are grouped, and before parts get their answers
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [question" in plan and "max_by(struct(rule" in plan
