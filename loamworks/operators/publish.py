@@ -20,12 +20,12 @@ def settle_conflicts(queue: DataFrame, replaced: DataFrame, now_ms: int) -> Data
 
 
 def change_rows(changes: DataFrame, sources: DataFrame, mode: str, position: str = "position") -> DataFrame:
-    """One row a distinct change, its first, with where it came from: collector if its source has an adapter, else the ingest's mode.
+    """One row a distinct change, its first (of equal positions the least source; rows without one come last), with where it came from: collector if its source has an adapter, else the ingest's mode.
 
     changes: entity_id, kind, property, scope, old_value, new_value, ref_id, source_id, position, more; sources: (source_id, adapter).
     """
     key = [F.coalesce("scope", F.lit("{}")), *map(F.col, ("entity_id", "kind", "property", "old_value", "new_value", "ref_id"))]
-    first = changes.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(position))).filter("_k = 1").drop("_k")
+    first = changes.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_last(position), "source_id"))).filter("_k = 1").drop("_k")
     backed = sources.filter("adapter IS NOT NULL").select("source_id", F.lit("collector").alias("_origin")).distinct()
     return first.join(backed, "source_id", "left").withColumn("origin", F.coalesce("_origin", F.lit(mode))).drop("_origin")
 

@@ -255,3 +255,14 @@ def test_undated_order_with_null_ids(spark, tmp_path):
     spark.sql("SELECT * FROM VALUES (CAST(NULL AS BIGINT), 'a', TIMESTAMP_NTZ '2024-01-02 00:00:00'), (5, 'a', NULL), (10, 'a', NULL), (NULL, 'a', NULL), (1, 'a', TIMESTAMP_NTZ '2024-01-01 00:00:00') AS t(event_id, event_type, ts)").write.parquet(str(tmp_path / "events.parquet"))
     got = {(r["event_id"], r["rising"], r["falling"]) for r in QUERIES["undated_order"](spark, str(tmp_path)).collect()}
     assert {g[:2] for g in got} == {(1, 1), (5, 2), (10, 3), (None, 4), (None, 5)} and {g[::2] for g in got} == {(1, 1), (5, 2), (10, 3), (None, 4), (None, 5)}
+
+
+def test_change_rows_of_equal_and_missing_positions(spark):
+    from loamworks.operators import publish
+
+    text = "entity_id int, kind string, property string, scope string, old_value string, new_value string, ref_id string, source_id int, position int"
+    row = lambda e, source, position: (e, "k", None, None, "a", "b", None, source, position)
+    rows = [row(1, 9, 5), row(1, 3, 5), row(1, 4, 5), row(2, 3, None), row(2, 4, 7)]
+    for given in (rows, rows[::-1]):
+        got = publish.change_rows(spark.createDataFrame(given, text).coalesce(1), spark.createDataFrame([(3, "feed")], "source_id int, adapter string"), "seed")
+        assert sorted((r["entity_id"], r["position"], r["origin"]) for r in got.collect()) == [(1, 5, "collector"), (2, 7, "seed")]
