@@ -50,6 +50,19 @@ def moving_quadratic(column: str, position: str, keys: list[str], half: int) ->
     return F.when(n >= 3, top / det).otherwise(b0 / n)
 
 
+def running_total(column: str, keys: list[str], order: list[str]) -> Column:
+    """struct(exact, near) of the doubles up to each row of its key: their sum as decimals, which no order of adding changes, and as doubles.
+
+    Doubles count as the shortest decimals that mean them, to 18 places, so 0.1 ten times is 1. exact is null from the first value of 10^12 or more, or none of finite size, on; there near has to
+    do. Nulls add nothing, and both are null until the first value.
+    """
+    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    value = F.col(column)
+    small = F.abs(value) < 1e12
+    exact = F.try_sum(F.when(small, value).cast("decimal(38,18)")).over(run)
+    return F.struct(F.when(F.count_if(~small).over(run) == 0, exact).alias("exact"), F.sum(value).over(run).alias("near"))
+
+
 def before_in_blocks(rows: DataFrame, value: str, keys: list[str], block: Column, order: list[str], name: str = "before") -> DataFrame:
     """Adds the value of the row before within the keys, where ``block`` never falls along the order: lags are taken within blocks, and a block's first row gets the last of the block before."""
     marked = rows.withColumn("_block", block)

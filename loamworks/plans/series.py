@@ -159,9 +159,10 @@ def counter_carry_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN (VALUES (500), (1000), (2000)) v(level) ON total >= level GROUP BY ALL"""
 )
 def alert_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When each user's total first reached each mark."""
-    total = F.sum("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = table(spark, sf_dir, "events").select("user_id", scalar.millis(F.col("ts")).alias("at"), total.alias("total"))
-    firsts = rows.groupBy("user_id").agg(*[F.min(F.when(F.col("total") >= k, F.col("at"))).alias(f"m{k}") for k in (500, 1000, 2000)])
+    """When each user's total first reached each mark, exactly: values are added as they are written, so that a total of just the mark reaches it."""
+    running = sequences.running_total("value", ["user_id"], ["ts", "event_id"])
+    rows = table(spark, sf_dir, "events").select("user_id", scalar.millis(F.col("ts")).alias("at"), running.alias("total"))
+    reached = lambda k: F.coalesce(F.col("total.exact") >= k, F.col("total.near") >= k)
+    firsts = rows.groupBy("user_id").agg(*[F.min(F.when(reached(k), F.col("at"))).alias(f"m{k}") for k in (500, 1000, 2000)])
     marks = F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"m{k}").alias("first_at")) for k in (500, 1000, 2000)])
     return firsts.select("user_id", F.inline(marks)).filter("first_at IS NOT NULL")

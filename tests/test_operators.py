@@ -183,6 +183,23 @@ def test_text_udfs(spark):
     assert [tuple(r) for r in df.select(pandas_udfs.nfkc("t"), pandas_udfs.graphemes("t")).collect()] == [("fi é 👩‍💻", 5), (None, 0)]
 
 
+def test_running_totals_reach_marks_exactly(spark, tmp_path):
+    from loamworks.operators import sequences
+    from loamworks.plans.catalogue import QUERIES
+
+    rows = [("a", i, 0.1) for i in range(10)] + [("b", 0, None), ("b", 1, 1e15), ("b", 2, 0.5), ("c", 0, 2.5), ("c", 1, float("nan")), ("d", 0, 1e-20), ("d", 1, None)]
+    frame = spark.createDataFrame(rows, "k string, i int, v double").select("k", "i", sequences.running_total("v", ["k"], ["i"]).alias("t"))
+    got = {(r["k"], r["i"]): (r["t"]["exact"], r["t"]["near"]) for r in frame.collect()}
+    assert got["a", 9][0] == 1 and got["a", 9][1] < 1 and got["b", 0] == (None, None) and got["b", 2] == (None, 1e15 + 0.5)
+    assert got["c", 0][0] == 2.5 and got["c", 1][0] is None and got["c", 1][1] != got["c", 1][1] and got["d", 1] == (0, 1e-20)
+
+    values = [79.05, 78.91, 80.83, 25.27, 83.33, 66.64, 8.24, 1.65, 1.44, 74.64, 1.0]  # the first ten are 500, and 499.9999999999999 as doubles
+    events = spark.createDataFrame(list(enumerate(values)), "event_id long, value double").withColumns({"user_id": F.lit(7), "ts": F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, event_id)")})
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    start = 1_704_067_200_000
+    assert [tuple(r) for r in QUERIES["alert_thresholds"](spark, str(tmp_path)).collect()] == [(7, 500, start + 9000)]
+
+
 def test_plans_push_down_and_stay_off_products(spark, sf):
     from loamworks.plans.catalogue import QUERIES
 
