@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from loamworks.llm.shared import materialize
+from loamworks.llm.shared import materialize, release
 
 #: Tokens of the longest n-grams, and the weights of a shorter context that are tried, in tokens.
 ORDER, GRID = 4, tuple(4.0**k for k in range(-2, 7))
-#: Blocks of documents, at most, on whose training texts the weights are fitted: three numbers need no more.
-FIT_BLOCKS = 32
 #: Tokens in a block of documents and, about, for each bucket of n-grams.
 BLOCK_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 20
 #: The end of a text as a token, and its start as a context: numbers of their own among the words' hashes.
@@ -228,43 +226,53 @@ def _climb(block: Block, known: pa.Table, order: int, counts: bool) -> tuple[np.
     return ask, seen
 
 
-def left_out(block: Block, seen: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(counts in training, tokens of training) of each token of a training text, as they are without that text itself; the second is what to take off the total."""
-    owner = np.repeat(np.arange(len(block.lengths)), block.lengths)
+def own_counts(block: Block, seen: list[np.ndarray]) -> list[np.ndarray]:
+    """How many of its n-gram each token's own text holds, for each order; 0 in texts that teach nothing. What is counted once in all is the text's own."""
+    owner = np.repeat(np.arange(len(block.lengths), dtype=np.uint64), block.lengths)
     out = []
     for k, counts in enumerate(seen, 1):
-        whole = block.place >= k - 1
-        distinct, at = np.unique(block.grams(k), return_inverse=True)
-        _, back = np.unique(owner * len(distinct) + at, return_inverse=True)
-        out.append(np.where(whole, counts - np.bincount(back, whole)[back], 0.0))
-    return out, np.repeat(block.lengths - 1, block.lengths)
+        own = (block.train & (block.place >= k - 1)).astype(np.uint32)
+        many = (own > 0) & (counts > 1)
+        _, back, n = np.unique(arc_keys(block.grams(k)[many], owner[many]), return_inverse=True, return_counts=True)
+        own[many] = n[back]
+        out.append(own)
+    return out
 
 
-def try_weights(block: Block, seen: list[np.ndarray], tokens: int, kinds: int, grid: tuple = GRID) -> list[tuple[int, float, float]]:
-    """(length of the context, weight, log10 likelihood) for each length and each weight of the grid, of a block's training texts, each by what is learned from all others.
+class Known:
+    """What is known of a block's documents: the counts in training of the n-grams that end at each of their tokens."""
 
-    A longer context's weights are tried on top of the best of the shorter ones.
-    """
-    if not block.train.any():
-        return []
-    counts, own = left_out(block, seen)
-    real = block.train & (block.place > 0)
-    p = ((counts[0] + 0.5) / (tokens - own + 0.5 * (kinds + 1)))[real]
-    out = []
-    for k in range(1, len(seen)):
-        context = np.where(block.place >= k, np.roll(counts[k - 1], 1), 0)[real]
-        tried = [(weight, np.where(context > 0, (counts[k][real] + weight * p) / (context + weight), p)) for weight in grid]
-        told = [(k, weight, float(np.log10(q).sum())) for weight, q in tried]
-        p = tried[max(range(len(grid)), key=lambda i: told[i][2])][1]
-        out += told
-    return out
+    def __init__(self, row: dict):
+        self.held, self.lengths = np.frombuffer(row["held"], bool), _numbers(row["lengths"], np.uint32).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.place = np.arange(self.lengths.sum()) - np.repeat(self.starts, self.lengths)
+        self.seen = [_numbers(x, np.uint64).astype(np.float64) for x in row["seen"]]
+        self.own = [_numbers(x, np.uint32) for x in row["own"]]
+
+    def try_weights(self, found: tuple, tokens: int, kinds: int, grid: tuple = GRID) -> list[tuple[float, float]]:
+        """(weight, log10 likelihood) for each weight of the grid of the next longer context, on top of those found for shorter ones.
+
+        Likelihoods are of the training texts, each by what is learned from all others, and of the tokens alone whose context is known: the others' don't depend on the weight.
+        """
+        real = np.repeat(~self.held, self.lengths) & (self.place > 0)
+        if not real.any():
+            return []
+        left = [seen - own for seen, own in zip(self.seen, self.own)]  # counts without the text itself
+        p = ((left[0] + 0.5) / (tokens - np.repeat(self.lengths - 1, self.lengths) + 0.5 * (kinds + 1)))[real]
+        for k, weight in enumerate((*found, None), 1):
+            context = np.where(self.place >= k, np.roll(left[k - 1], 1), 0)[real]
+            here = context > 0
+            c, n = left[k][real][here], context[here]
+            if weight is None:
+                return [(w, float(np.log10((c + w * p[here]) / (n + w)).sum())) for w in grid]
+            p[here] = (c + weight * p[here]) / (n + weight)
 
 
 def score(docs: DataFrame, held: Column | None = None, priors: tuple | None = None, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, order: int = ORDER) -> DataFrame:
     """(id_col, held_out boolean, n_tokens, n_known, train_tokens, all bigint, base_score double, score double) for every row of ``docs``.
 
     The model learns from rows that are not ``held`` (default: ``held_out``). Its longest n-grams have ``order`` tokens, and the weights of its failure arcs are those of ``GRID`` under which
-    the training texts of ``FIT_BLOCKS`` blocks are likeliest, each by the counts of all others; or they are ``priors``, one fewer than the order. base_score is
+    all training texts are likeliest, each by the counts of all others, one length of context after the other; or they are ``priors``, one fewer than the order. base_score is
     the unigram model's log10 probability of the text, score that of the backoff automaton. Null and empty texts are the end token alone. Repeated
     rows teach and are scored each. With nothing to learn from, all counts are 0. Other columns are not read. No rows give no rows.
 
@@ -294,46 +302,57 @@ def score(docs: DataFrame, held: Column | None = None, priors: tuple | None = No
 
         return ask
 
-    def tell(key: tuple, some: pa.Table, known: pa.Table) -> pa.Table:
-        names = ["id", "held", "n_tokens", "n_known", "base_score", "score"]
-        ids = some.column("ids").combine_chunks().flatten()
-        if not some.num_rows:
-            return pa.table([ids, *(pa.array([], t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
-        row = some.drop_columns("ids").to_pylist()[0]
-        block = Block.read(row)
-        _, seen = _climb(block, known, order, True)
+    def gather(key: tuple, some: pa.Table, known: pa.Table) -> pa.Table:
+        kinds_of = (pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+        ids, told = some.column("ids").combine_chunks(), []
+        if some.num_rows:
+            row = some.drop_columns("ids").to_pylist()[0]
+            block = Block.read(row)
+            seen = _climb(block, known, order, True)[1]
+            own = own_counts(block, seen) if priors is None else []
+            told = [(row["held"], row["lengths"], [_planes(c.astype(np.uint64)) for c in seen], [_planes(c) for c in own])]
+        return pa.table([ids, *(pa.array([t[k] for t in told], kind) for k, kind in enumerate(kinds_of))], names=["ids", "held", "lengths", "seen", "own"])
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            tried = Known(row.to_pylist()[0]).try_weights(weights, tokens, kinds)
+            yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in tried], pa.float64()) for k in range(2)], names=["weight", "likelihood"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Automaton(tokens, kinds, weights)
-        real = block.place > 0
-        sums = [np.add.reduceat(np.where(real, v, 0), block.starts) for v in ((seen[0] > 0).astype(np.int64), np.log10(model.base(seen[0])), model.walk(seen, block.place))]
-        return pa.table([ids, pa.array(np.frombuffer(row["held"], bool)), pa.array(block.lengths - 1), *map(pa.array, sums)], names=names)
+        for row in rows_of(batches):
+            known = Known(row.select(["held", "lengths", "seen"]).to_pylist()[0] | {"own": []})
+            real = known.place > 0
+            sums = [np.add.reduceat(np.where(real, v, 0), known.starts) for v in ((known.seen[0] > 0).astype(np.int64), np.log10(model.base(known.seen[0])), model.walk(known.seen, known.place))]
+            columns = [row.column("ids").flatten(), pa.array(known.held), pa.array(known.lengths - 1), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "held", "n_tokens", "n_known", "base_score", "score"])
 
     asked, answers = blocks.drop("ids", "n").mapInArrow(ask_words, _MESSAGE), None
+    written = [blocks]
     for k in range(1, order + 1):
         if k > 1:
             bare = answers.withColumn("totals", F.lit(None).cast("binary"))
             asked = blocks.drop("ids", "n").groupBy("block").cogroup(bare.groupBy("block")).applyInArrow(ask_longer(k), _MESSAGE)
         more = materialize(asked.groupBy("bucket").applyInArrow(_add_up, _ANSWER))
+        written.append(more)
         if k == 1:
             sums = more.filter("gram = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
             tokens, kinds = int(sums[0]), int(sums[1])
         more = more.filter("gram > 0").select("block", "bucket", "gram", "totals", "places", _count_of("totals").alias("n"))
         answers = more if answers is None else answers.unionByName(more)
-    weights = priors
-    if weights is None:
-
-        def fit(key: tuple, some: pa.Table, known: pa.Table) -> pa.Table:
-            tried: list[tuple] = []
-            if some.num_rows:
-                block = Block.read(some.to_pylist()[0])
-                tried = try_weights(block, _climb(block, known, order, True)[1], tokens, kinds)
-            return pa.table([pa.array([t[k] for t in tried], kind) for k, kind in enumerate((pa.int32(), pa.float64(), pa.float64()))], names=["length", "weight", "likelihood"])
-
-        some = blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(FIT_BLOCKS)
-        few = blocks.drop("ids", "n").join(F.broadcast(some), "block").groupBy("block").cogroup(answers.join(F.broadcast(some), "block").groupBy("block"))
-        found = few.applyInArrow(fit, "length int, weight double, likelihood double").groupBy("length", "weight").agg(F.sum("likelihood").alias("likelihood"))
-        best = {r["length"]: r["weight"] for r in found.groupBy("length").agg(F.max_by("weight", F.struct("likelihood", -F.col("weight"))).alias("weight")).collect()}
-        weights = tuple(best.get(k, 1.0) for k in range(1, order))
-    told = blocks.drop("n").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        tell, f"id {id_type}, held boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    # from here on nothing is shuffled: the weights are fitted, and texts scored, by what each block has gathered
+    gathered = materialize(
+        blocks.drop("n").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, f"ids array<{id_type}>, held binary, lengths binary, seen array<binary>, own array<binary>")
     )
+    for done in written:
+        release(done)
+    weights = priors or ()
+    while len(weights) < order - 1:
+        found = gathered.drop("ids").mapInArrow(fit, "weight double, likelihood double").groupBy("weight").agg(F.sum("likelihood").alias("likelihood"))
+        best = found.agg(F.max_by("weight", F.struct("likelihood", -F.col("weight")))).first()[0]
+        weights = (*weights, 1.0 if best is None else best)
+    told = gathered.mapInArrow(tell, f"id {id_type}, held boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return told.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

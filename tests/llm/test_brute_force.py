@@ -224,6 +224,17 @@ def test_lm_orders_over_many_blocks(spark, priors):
     assert got == {i: pytest.approx(plain.score(lm_tokens(t)), abs=1e-9) for i, t in enumerate(texts)}
 
 
+def test_lm_weights_are_fitted_on_all_training_texts(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(list("abc" if i < 120 else "abcdefgh"), rng.integers(1, 14)).tolist()) for i in range(160)] + ["a b c d e f g h"] * 30 + [None, ""]
+    held = [i % 4 == 1 for i in range(len(texts))]
+    taught = [lm_tokens(t) for t, h in zip(texts, held) if not h]
+    plain = PlainAutomaton(taught, plain_weights(taught))
+    rows = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held))], "doc_id bigint, text string, h boolean")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(rows, F.col("h"), block_tokens=16, bucket_tokens=60).collect()}
+    assert got == {i: pytest.approx(plain.score(lm_tokens(t)), abs=1e-9) for i, t in enumerate(texts)}
+
+
 def test_lm_what_follows_a_state_sums_to_one():
     texts = [lm_tokens(t) for t in ("a b c a b", "b a", "c c a b c a", "a b c a b")]
     plain = PlainAutomaton(texts, (3.0, 1.0, 0.5))
