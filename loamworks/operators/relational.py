@@ -36,9 +36,9 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
 
 
 def either_end(edges: DataFrame, nodes: DataFrame, a: str, b: str, node: str) -> DataFrame:
-    """(node, edge columns) for each edge that touches a node at either end: two equi joins instead of one join on OR."""
-    touching = [nodes.select(node).join(edges, F.col(node) == F.col(end)) for end in (a, b)]
-    return touching[0].unionByName(touching[1].filter(F.col(a) != F.col(b)))
+    """(node, edge columns) for each edge that touches a node at either end: one equi join on an edge's distinct ends instead of one on OR, so edges are worked out once. A null end touches nothing."""
+    ends = edges.withColumn(node, F.explode(F.array_distinct(F.array(a, b))))
+    return nodes.select(node).join(ends, node)
 
 
 def vote_verdict(votes: DataFrame, key: str, user: str, at: str, result: str, weight: Column, now_ms: int, half_life_ms: float) -> DataFrame:

@@ -200,6 +200,13 @@ def test_running_totals_reach_marks_exactly(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["alert_thresholds"](spark, str(tmp_path)).collect()] == [(7, 500, start + 9000)]
 
 
+def test_either_end_meets_edges_that_lack_an_end(spark):
+    edges = spark.createDataFrame([(1, 1, 2), (2, 1, 1), (3, None, 2), (4, 2, None), (5, None, None), (6, 9, 9)], "e int, a int, b int")
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "node int")
+    got = sorted((r["node"], r["e"]) for r in relational.either_end(edges, nodes, "a", "b", "node").collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 3), (2, 4)]
+
+
 def test_plans_push_down_and_stay_off_products(spark, sf):
     from loamworks.plans.catalogue import QUERIES
 
