@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamworks.functions import colour, pandas_udfs, scalar
+from loamworks.functions import colour, pandas_udfs, scalar, values
 from loamworks.operators import boards, entities, graph, relational, search, sequences, temporal, traffic
 
 
@@ -200,6 +200,19 @@ def test_running_totals_reach_marks_exactly(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["alert_thresholds"](spark, str(tmp_path)).collect()] == [(7, 500, start + 9000)]
 
 
+def test_fnv_hashes_are_taken_in_batches(spark):
+    def plain(text):
+        h = 0xCBF29CE484222325
+        for b in text.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return f"{h:016x}"
+
+    texts = ["", "a", "foobar", "한글 ü 👩", "x" * 5000, "a", " ", "\0", *map(str, range(300)), None]
+    hashed = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", "t", values.fnv64(F.col("t")).alias("h"))
+    assert {r["i"]: r["h"] for r in hashed.collect()} == {i: None if t is None else plain(t) for i, t in enumerate(texts)} and plain("foobar") == "85944171f73967e8"
+    assert "ArrowEvalPython" in hashed._jdf.queryExecution().executedPlan().toString()  # whole batches, not byte by byte through decimals
+
+
 def test_either_end_meets_edges_that_lack_an_end(spark):
     edges = spark.createDataFrame([(1, 1, 2), (2, 1, 1), (3, None, 2), (4, 2, None), (5, None, None), (6, 9, 9)], "e int, a int, b int")
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "node int")
