@@ -50,15 +50,19 @@ def _once(value: Column, f) -> Column:
 
 
 def element(xml: Column, tag: str) -> Column:
-    """Text of the first element of a name, up to its own end tag, character data unwrapped and references decoded; null if there is none."""
-    raw = balanced(xml, rf"(?is)<{tag}(?:\s(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*)?>", tag)
-    text = F.trim(decode_entities(F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")))
-    return F.when(text != "", text)
+    """Text of the first element of a name, up to its own end tag, character data unwrapped and references decoded; null if there is none.
+
+    An element that holds none of its own name is found by one pattern that never goes back; only others' tags are counted.
+    """
+    name = rf"{tag}(?:\s(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*)?>"
+    plain = rf"(?is)^(?:[^<]++|<(?!{name}))*+<{name}((?:[^<]++|<(?!/?{tag}[\s/>]))*+)</{tag}\s*>"
+    raw = F.coalesce(F.nullif(F.regexp_extract(xml, plain, 1), F.lit("")), balanced(xml, rf"(?is)<{name}", tag))
+    return F.nullif(F.trim(decode_entities(F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))), F.lit(""))
 
 
 def attribute(xml: Column, tag: str, name: str) -> Column:
     text = F.regexp_extract(xml, rf'<{tag}\b[^>]*\b{name}="([^"]*)"', 1)
-    return F.when(text != "", decode_entities(text))
+    return decode_entities(F.nullif(text, F.lit("")))
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:

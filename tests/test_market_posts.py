@@ -24,6 +24,14 @@ def test_elements_of_feeds(spark):
     assert row == ("<div>a <content>inner</content> & b</div>", "T & <b>", None, None, None)
 
 
+def test_elements_without_their_own_name_inside_are_found_by_one_pattern(spark):
+    xmls = ["<a>1</a>", "<x><A k='>'> 2 </a ></x>", "<a/><a>3</a>", "<ab>no</ab><a>4</a>", "<a><a>5</a></a>", "<a><a>6</a>", "<a>7<ab></ab></a><a>8</a>", "<a>9<a/></a>", "<a></a><a>x</a>", "a</a>", "<a>" + "<i>y</i>" * 20000 + "</a>", "<i/>" * 20000 + "<a>z</a>", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(xmls)], "i int, x string")
+    got = [r["e"] for r in rows.select("i", feeds.element(F.col("x"), "a").alias("e")).orderBy("i").collect()]
+    assert got == ["1", "2", "3", "4", "<a>5</a>", None, "7<ab></ab>", "9<a/>", None, None, "<i>y</i>" * 20000, "z", None, None]
+    assert "(?!/?a[" in rows.select(feeds.element(F.col("x"), "a"))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_post_text(spark):
     html = "<p>One&nbsp;&euro;&#x41;&#66;<br>two <b>bold</b></p><script>x</script><del>900</del><!-- c --><div>\r\n\n three &amp;lt; </div>"
     assert spark.createDataFrame([(html,)], "h string").select(market_posts.post_text(F.col("h"))).first()[0] == "One €AB\ntwo bold\n three &lt;"
