@@ -34,16 +34,36 @@ def _known(ua: Column, rules: list[tuple]) -> Column:
     return F.when(ua.rlike(_any(rules)), _cases([(ua.rlike(r[1]), say(r)) for r in rules], none))
 
 
+def _or_else(c: Column, other: Column) -> Column:
+    return F.when(c != "", c).otherwise(other)
+
+
+def _told_by_agents(texts: DataFrame, known: list[tuple], libraries: list[tuple]) -> DataFrame:
+    """(_ua, _of) of agent texts: the listed agent and library, the names of bots and clients, device and browser family, and what sort of text it is."""
+    ua = F.col("_ua")
+    own_name = F.regexp_extract(ua, r"(?i)([A-Za-z][\w.-]{1,40}?(?:bot|crawler|spider))\b", 1)
+    version = lambda b: F.coalesce(F.regexp_extract(ua, rf"{b}/(\d+)", 1).try_cast("int"), F.lit(0))
+    found = {
+        "agent": _known(ua, known), "library": _known(ua, libraries), "device": device(ua), "browser": browser(ua), "mozilla": ua.rlike(r"^Mozilla/5\.0 \("), "modern": (version("Chrome") >= 80) | (version("Firefox") >= 90),
+        "bot": F.regexp_replace(ua, "(?i)cubot", "").rlike(agents.GENERIC),  # a brand of phones, not a bot
+        "generic": _or_else(own_name, _or_else(F.regexp_extract(ua, r"([A-Za-z][\w.-]{1,40})/", 1), F.lit("Unknown bot"))),
+        "client": _or_else(F.trim(F.regexp_extract(ua, r"^([A-Za-z][\w .-]{0,39}?)(?:/|\s|$)", 1)), F.lit("Non-browser client")),
+    }
+    return texts.select("_ua", F.struct(*[c.alias(n) for n, c in found.items()]).alias("_of"))
+
+
 def classify(requests: DataFrame, known: list[tuple] = agents.AGENTS, libraries: list[tuple] = agents.LIBRARIES, hosting: tuple[int, ...] = agents.HOSTING) -> DataFrame:
     """Adds cls, name, category, reason, device and browser to requests with ua, accept_language, sec_fetch_mode, network, organization, verified, platform_category, kind, webdriver.
 
     verified: a listed agent confirmed by the platform or its operator's own network. declared: a name that nothing confirms. suspected: automation
     without a name, by library, missing or odd agent text, script control, missing headers of a page request, or a hosting network. candidate: the
     rest, who look like people; only they have a device and browser. Null texts are empty, null flags false. Agent texts count up to 512 characters.
+
+    What a text tells is worked out once for each distinct text, as there are far more requests than texts, and joined to the requests.
     """
-    ua = F.left(F.coalesce("ua", F.lit("")), F.lit(512))
-    rows = requests.withColumn("_ua", ua).withColumns({"_agent": _known(F.col("_ua"), known), "_library": _known(F.col("_ua"), libraries)})
-    ua, agent, library = F.col("_ua"), F.col("_agent"), F.col("_library")
+    rows = requests.withColumn("_ua", F.left(F.coalesce("ua", F.lit("")), F.lit(512)))
+    rows = rows.join(_told_by_agents(rows.select("_ua").distinct(), known, libraries), "_ua")
+    ua, agent, library, told = F.col("_ua"), F.col("_of.agent"), F.col("_of.library"), F.col("_of")
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     network, platform = F.coalesce("network", F.lit(0)).cast("bigint"), F.coalesce("platform_category", F.lit(""))
@@ -54,24 +74,19 @@ def classify(requests: DataFrame, known: list[tuple] = agents.AGENTS, libraries:
 
     confirmed = F.array_contains(agent["networks"], network) & (network != 0)
     ours = reduce(lambda out, kv: F.when(platform == kv[0], kv[1]).otherwise(out), agents.PLATFORM_CATEGORIES.items(), F.lit("other"))
-    or_else = lambda c, other: F.when(c != "", c).otherwise(other)
-    own_name = F.regexp_extract(ua, r"(?i)([A-Za-z][\w.-]{1,40}?(?:bot|crawler|spider))\b", 1)
-    generic = or_else(own_name, or_else(F.regexp_extract(ua, r"([A-Za-z][\w.-]{1,40})/", 1), F.lit("Unknown bot")))
-    client = or_else(F.trim(F.regexp_extract(ua, r"^([A-Za-z][\w .-]{0,39}?)(?:/|\s|$)", 1)), F.lit("Non-browser client"))
-    version = lambda b: F.coalesce(F.regexp_extract(ua, rf"{b}/(\d+)", 1).try_cast("int"), F.lit(0))
     page = F.coalesce("kind", F.lit("page")) == "page"
     place = F.coalesce(F.left("organization", F.lit(40)), F.concat(F.lit("AS"), network.cast("string")))
-    person = F.struct(F.lit("candidate"), F.lit(""), F.lit(""), F.lit(""), device(ua), browser(ua)).cast(_STRUCT)
+    person = F.struct(F.lit("candidate"), F.lit(""), F.lit(""), F.lit(""), told["device"], told["browser"]).cast(_STRUCT)
     tests = [
-        (flag("verified") | (platform != ""), bot("verified", F.coalesce(agent["name"], or_else(platform, F.lit("Verified bot"))), F.coalesce(agent["category"], ours), "platform")),
+        (flag("verified") | (platform != ""), bot("verified", F.coalesce(agent["name"], _or_else(platform, F.lit("Verified bot"))), F.coalesce(agent["category"], ours), "platform")),
         (agent.isNotNull(), bot(F.when(confirmed, "verified").otherwise("declared"), agent["name"], agent["category"], F.when(confirmed, "network").otherwise("agent"))),
         (F.trim(ua) == "", bot("suspected", "No user agent", "library", "empty-agent")),
         (library.isNotNull(), bot("suspected", library["name"], "library", library["category"])),
-        (F.regexp_replace(ua, "(?i)cubot", "").rlike(agents.GENERIC), bot("declared", generic, "other", "agent")),  # a brand of phones, not a bot
+        (told["bot"], bot("declared", told["generic"], "other", "agent")),
         (flag("webdriver"), bot("suspected", "WebDriver", "library", "webdriver")),
-        (~ua.rlike(r"^Mozilla/5\.0 \("), bot("suspected", client, "library", "no-browser")),
+        (~told["mozilla"], bot("suspected", told["client"], "library", "no-browser")),
         (page & empty("accept_language"), bot("suspected", "Browser without Accept-Language", "other", "no-accept-language")),
-        (page & empty("sec_fetch_mode") & ((version("Chrome") >= 80) | (version("Firefox") >= 90)), bot("suspected", "Browser without Fetch Metadata", "other", "no-fetch-metadata")),
+        (page & empty("sec_fetch_mode") & told["modern"], bot("suspected", "Browser without Fetch Metadata", "other", "no-fetch-metadata")),
         (network.isin(*hosting) if hosting else F.lit(False), bot("suspected", F.concat(F.lit("Datacenter · "), place), "other", "datacenter")),
     ]
     return rows.withColumn("_told", _cases(tests, person)).select(*requests.columns, "_told.*")

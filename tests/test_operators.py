@@ -200,6 +200,14 @@ def test_running_totals_reach_marks_exactly(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["alert_thresholds"](spark, str(tmp_path)).collect()] == [(7, 500, start + 9000)]
 
 
+def test_agent_texts_are_judged_once_each(spark):
+    kinds = {"accept_language": "'en'", "sec_fetch_mode": "'navigate'", "network": "0", "organization": "CAST(NULL AS STRING)", "verified": "false", "platform_category": "CAST(NULL AS STRING)", "kind": "'page'", "webdriver": "false"}
+    requests = spark.range(300).selectExpr("id", "element_at(array('curl/8.5', 'Mozilla/5.0 (X11) Chrome/126.0', NULL), CAST(id % 3 AS INT) + 1) AS ua", *[f"{v} AS {k}" for k, v in kinds.items()])
+    told = traffic.classify(requests)
+    assert "Aggregate [_ua" in told._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["id"] % 3, r["name"], r["browser"]) for r in told.collect()} == {(0, "curl", "bot"), (1, "", "chrome"), (2, "No user agent", "bot")} and told.count() == 300
+
+
 def test_fnv_hashes_are_taken_in_batches(spark):
     def plain(text):
         h = 0xCBF29CE484222325
