@@ -21,8 +21,13 @@ def area(ring: Column) -> Column:
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Whether a point lies in a ring: a ray from it to the right crosses an odd number of edges, those counted that have one end above it."""
+    return _odd(_edges(ring), x, y)
+
+
+def _odd(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a ray from a point to the right crosses an odd number of these edges."""
     crossed = lambda e: ((e["b"]["y"] > y) != (e["a"]["y"] > y)) & (x < (e["a"]["x"] - e["b"]["x"]) * (y - e["b"]["y"]) / F.nullif(e["a"]["y"] - e["b"]["y"], F.lit(0.0)) + e["b"]["x"])
-    return F.aggregate(_edges(ring), F.lit(False), lambda s, e: s != F.coalesce(crossed(e), F.lit(False)))
+    return F.aggregate(edges, F.lit(False), lambda s, e: s != F.coalesce(crossed(e), F.lit(False)))
 
 
 def distance(ring: Column, x: Column, y: Column) -> Column:
@@ -56,15 +61,23 @@ def _cells(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, cell:
 def inside(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """(columns of points, columns of polygons but ring) for each point that lies in a polygon.
 
-    points: x, y and more; polygons: ring array<struct<x, y>> and more. Both meet in the cells, of width ``cell``, that they touch: a point stands in one, a polygon in those of its bounding box, so no
-    pair is met twice and each is tested exactly. A cell with a third of all points is split by adaptive execution, as its join has nothing above it that wants its rows together. Points with a
-    null place, and rings of fewer than three points, lie in nothing. The width costs or saves tests, but changes no result: about that of a usual polygon is best.
+    points: x, y and more; polygons: ring array<struct<x, y>> and more. Equal places and equal rings are tested once, however many points and polygons have them: the distinct ones meet in the cells, of
+    width ``cell``, that they touch (a place stands in one, a ring in those of its bounding box, so no pair is met twice) and are tested exactly within the box; points and polygons are joined to what was
+    found, which makes the rows. So tests grow with distinct places times distinct rings, and only the rows themselves with points times polygons. A cell or a place with a third of all points is split by
+    adaptive execution, as each join has nothing above it that wants its rows together. Points with a null place, and rings of fewer than three points, lie in nothing. The width costs or saves tests, but
+    changes no result: about that of a usual polygon is best.
     """
-    ring = F.col("ring")
+    ring, x, y = F.col("ring"), F.col("x"), F.col("y")
     xs, ys = ring["x"], ring["y"]
-    held = _cells(polygons.filter(F.size("ring") >= 3), F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), cell)
-    placed = points.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    met = placed.join(held, ["cx", "cy"]).filter(contains(ring, F.col("x"), F.col("y")))
+    pad = NEAR * F.greatest(F.abs(F.array_min(xs)), F.abs(F.array_max(xs)))  # where a ray crosses an edge is rounded
+    shaped = polygons.filter(F.size("ring") >= 3).withColumn("shape", F.unhex(F.sha2(ring.cast("string"), 256)))
+    rings = shaped.select("shape", "ring").distinct()
+    boxed = rings.select("shape", _edges(ring).alias("edges"), (F.array_min(xs) - pad).alias("x0"), (F.array_max(xs) + pad).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    held = _cells(boxed, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), cell)
+    placed = points.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    places = placed.select("x", "y").distinct().withColumns({"cx": F.floor(x / cell), "cy": F.floor(y / cell)})
+    found = places.join(held, ["cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").filter(_odd(F.col("edges"), x, y)).select("x", "y", "shape")
+    met = placed.join(found.hint("merge"), ["x", "y"]).join(shaped.drop("ring"), "shape")
     return met.select(*points.columns, *[c for c in polygons.columns if c != "ring"])
 
 

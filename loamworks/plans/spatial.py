@@ -16,10 +16,10 @@ _DIRECTIONS = ((100, 0), (62, 78), (-22, 97), (-90, 43), (-90, -43), (-22, -97),
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(s_suppkey, ring): seven vertices around a place, at distances of their own; of every tenth, two are swapped."""
     k = F.col("s_suppkey")
-    vertex = lambda n: F.struct(*[((k * m % 1000).cast("double") + (k * (n + 3) % 40 + 15) * F.lit(d) / 100.0).alias(c) for c, m, d in (("x", 37, _DIRECTIONS[n][0]), ("y", 91, _DIRECTIONS[n][1]))])
-    plain = [vertex(n) for n in range(7)]
+    plain = [F.struct(F.lit(n).alias("n"), F.lit(dx).alias("x"), F.lit(dy).alias("y")) for n, (dx, dy) in enumerate(_DIRECTIONS)]
     swapped = [plain[0], plain[2], plain[1], *plain[3:]]
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when(k % 10 == 0, F.array(*swapped)).otherwise(F.array(*plain)).alias("ring"))
+    vertex = lambda v: F.struct(*[((k * m % 1000).cast("double") + (k * (v["n"] + 3) % 40 + 15) * v[c] / 100.0).alias(c) for c, m in (("x", 37), ("y", 91))])
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.transform(F.when(k % 10 == 0, F.array(*swapped)).otherwise(F.array(*plain)), vertex).alias("ring"))
 
 
 _EDGES = f"""d(n, dx, dy) AS (VALUES {", ".join(f"({n}, {x}, {y})" for n, (x, y) in enumerate(_DIRECTIONS))}),

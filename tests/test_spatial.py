@@ -35,6 +35,28 @@ def test_points_in_polygons(spark, cell):
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
 
 
+def joined(node):
+    """(keys, rows out) of each join of a plan that has run."""
+    name = node.nodeName()
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+    own = [(node.leftKeys().toString(), node.metrics().get("numOutputRows").get().value())] if name in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin") else []
+    return own + [j for i in inner for j in joined(i)]
+
+
+def test_equal_places_and_rings_are_tested_once(spark):
+    rng = np.random.default_rng(5)
+    rings = [star(rng, 7, *(rng.random(2) * 60 - 30).tolist()) for _ in range(8)] + [[(-0.0, 0.0), (10.0, 0.0), (10.0, 10.0)], [(0.0, -0.0), (10.0, 0.0), (10.0, 10.0)]]
+    places = [*(rng.random((60, 2)) * 80 - 40).tolist(), [5.0, 0.0], [5.0, -0.0], [0.0, 0.0], [-0.0, 0.0]]
+    points = [(i, *p) for i, p in enumerate(places * 20)] + [(7, *places[7])]  # one point is there twice
+    polygons = list(enumerate(rings * 30))
+    got = spatial.inside(spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(polygons, POLYGONS), 20.0)
+    inside = {(p, r): plain_contains(ring, *place) for p, place in enumerate(places) for r, ring in enumerate(rings)}
+    want = [(i, k) for i, (id, _, _) in enumerate(points) for k, _ in polygons if inside[id % len(places), k % len(rings)]]
+    assert sorted((r["id"], r["polygon"]) for r in got.collect()) == sorted((points[i][0], k) for i, k in want)
+    (tests,) = [rows for keys, rows in joined(got._jdf.queryExecution().executedPlan()) if "cx#" in keys]
+    assert tests <= sum(inside.values()) < len(want) / 500
+
+
 def test_crossings(spark):
     rings = [[(0, 0), (4, 0), (4, 4), (0, 4)], [(0, 0), (4, 4), (4, 0), (0, 4)], [(0, 0), (4, 0), (2, 0), (2, 3)], [(0, 0), (9, 0), (9, 9), (5, 0), (0, 9)], [(0, 0), (1, 0), (0, 1)]]
     frame = spark.createDataFrame([(k, [tuple(map(float, p)) for p in r]) for k, r in enumerate(rings)], POLYGONS)
