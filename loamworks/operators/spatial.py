@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Fixed value: what counts as no turn.
 NEAR = 1e-9
 
+#: Fixed value: about how many polygons of one ring go in one row before the rows are made; changes no result.
+HELD = 1000
+
 
 def _edges(ring: Column) -> Column:
     """(a, b) of each edge of a closed ring of points (x, y), the last back to the first."""
@@ -64,21 +67,25 @@ def inside(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     points: x, y and more; polygons: ring array<struct<x, y>> and more. Equal places and equal rings are tested once, however many points and polygons have them: the distinct ones meet in the cells, of
     width ``cell``, that they touch (a place stands in one, a ring in those of its bounding box, so no pair is met twice) and are tested exactly within the box; points and polygons are joined to what was
     found, which makes the rows. So tests grow with distinct places times distinct rings, and only the rows themselves with points times polygons. A cell or a place with a third of all points is split by
-    adaptive execution, as each join has nothing above it that wants its rows together. Points with a null place, and rings of fewer than three points, lie in nothing. The width costs or saves tests, but
+    adaptive execution, as each join has nothing above it that wants its rows together. Polygons of one ring come in rows of about ``HELD``. Points with a null place, and rings of fewer than three points, lie in nothing. The width costs or saves tests, but
     changes no result: about that of a usual polygon is best.
     """
     ring, x, y = F.col("ring"), F.col("x"), F.col("y")
     xs, ys = ring["x"], ring["y"]
     pad = NEAR * F.greatest(F.abs(F.array_min(xs)), F.abs(F.array_max(xs)))  # where a ray crosses an edge is rounded
-    shaped = polygons.filter(F.size("ring") >= 3).withColumn("shape", F.unhex(F.sha2(ring.cast("string"), 256)))
-    rings = shaped.select("shape", "ring").distinct()
-    boxed = rings.select("shape", _edges(ring).alias("edges"), (F.array_min(xs) - pad).alias("x0"), (F.array_max(xs) + pad).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    shaped = polygons.filter(F.size("ring") >= 3).withColumn("_shape", F.unhex(F.sha2(ring.cast("string"), 256)))
+    rings = shaped.select("_shape", "ring").distinct()
+    boxed = rings.select("_shape", _edges(ring).alias("edges"), (F.array_min(xs) - pad).alias("x0"), (F.array_max(xs) + pad).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     held = _cells(boxed, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), cell)
     placed = points.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
     places = placed.select("x", "y").distinct().withColumns({"cx": F.floor(x / cell), "cy": F.floor(y / cell)})
-    found = places.join(held, ["cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").filter(_odd(F.col("edges"), x, y)).select("x", "y", "shape")
-    met = placed.join(found.hint("merge"), ["x", "y"]).join(shaped.drop("ring"), "shape")
-    return met.select(*points.columns, *[c for c in polygons.columns if c != "ring"])
+    found = places.join(held, ["cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").filter(_odd(F.col("edges"), x, y)).select("x", "y", "_shape")
+    carried = [c for c in polygons.columns if c != "ring"]
+    told = shaped.select("_shape", F.struct(*(carried or ["_shape"])).alias("_one"))
+    parts = told.groupBy("_shape").agg(F.ceil(F.count("*") / HELD).alias("parts"))
+    members = told.join(parts, "_shape").groupBy("_shape", F.pmod(F.xxhash64(F.col("_one").cast("string")), "parts").alias("part")).agg(F.collect_list("_one").alias("_held")).drop("part")
+    met = placed.join(found.hint("merge"), ["x", "y"]).join(members, "_shape").select(*points.columns, F.explode("_held").alias("_one"))
+    return met.select(*points.columns, *[F.col("_one")[c].alias(c) for c in carried])
 
 
 def crossings(polygons: DataFrame, key: str, cell: float) -> DataFrame:

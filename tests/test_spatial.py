@@ -43,7 +43,9 @@ def joined(node):
     return own + [j for i in inner for j in joined(i)]
 
 
-def test_equal_places_and_rings_are_tested_once(spark):
+@pytest.mark.parametrize("held", [spatial.HELD, 7])
+def test_equal_places_and_rings_are_tested_once(spark, monkeypatch, held):
+    monkeypatch.setattr(spatial, "HELD", held)
     rng = np.random.default_rng(5)
     rings = [star(rng, 7, *(rng.random(2) * 60 - 30).tolist()) for _ in range(8)] + [[(-0.0, 0.0), (10.0, 0.0), (10.0, 10.0)], [(0.0, -0.0), (10.0, 0.0), (10.0, 10.0)]]
     places = [*(rng.random((60, 2)) * 80 - 40).tolist(), [5.0, 0.0], [5.0, -0.0], [0.0, 0.0], [-0.0, 0.0]]
