@@ -83,7 +83,8 @@ def inside(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     carried = [c for c in polygons.columns if c != "ring"]
     told = shaped.select("_shape", F.struct(*(carried or ["_shape"])).alias("_one"))
     parts = told.groupBy("_shape").agg(F.ceil(F.count("*") / HELD).alias("parts"))
-    members = told.join(parts, "_shape").groupBy("_shape", F.pmod(F.xxhash64(F.col("_one").cast("string")), "parts").alias("part")).agg(F.collect_list("_one").alias("_held")).drop("part")
+    parted = told.join(parts, "_shape").withColumn("part", F.pmod(F.xxhash64(F.col("_one").cast("string")), "parts"))
+    members = parted.repartition("_shape", "part").groupBy("_shape", "part").agg(F.collect_list("_one").alias("_held")).drop("part")
     met = placed.join(found.hint("merge"), ["x", "y"]).join(members, "_shape").select(*points.columns, F.explode("_held").alias("_one"))
     return met.select(*points.columns, *[F.col("_one")[c].alias(c) for c in carried])
 
