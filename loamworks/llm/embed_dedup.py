@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamworks.llm import shared
 from loamworks.llm.components import connected_components
 from loamworks.llm.shared import materialize, spanning_edges
 
 #: Cells at the top of the tree, at least and at most, one for each block of vectors between, and the vectors sampled to place them: a documented bound, see ``pivots``.
 CELLS, MOST_CELLS, SAMPLE = 4, 256, 1024
-#: Vectors in a block, about.
-BLOCK = 8192
+#: Vectors in a block, and components of all its vectors, about.
+BLOCK, COMPONENTS = 32768, 1 << 21
 #: Radii of the nets below a cell, each half of the one above.
-RADII = (1.0, 0.5, 0.25)
+RADII = (0.5, 0.25)
 #: Slack of the distance bounds; what is kept is decided by the cosine itself.
-EPS = 1e-9
+EPS = 1e-7
+#: Directions in which the uppermost nodes are screened, and the slack for doing so in single precision.
+DIRECTIONS, SINGLE = 20, 1e-5
+#: Nodes with so many pairs of vectors below them are multiplied whole; rows and columns that are multiplied at once.
+DENSE, ROWS, COLUMNS = 4096, 512, 2048
+#: Links that are held before they are reduced to a spanning forest, about.
+HELD = 1 << 20
 
 
 def unit_rows(values: pa.Array) -> np.ndarray:
@@ -30,31 +38,30 @@ def unit_rows(values: pa.Array) -> np.ndarray:
 
 
 def _net(x: np.ndarray, rows: np.ndarray, radius: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy net of x[rows]: (centers, place of each row's center). rows[0] is the first center; centers are more than radius apart."""
+    """Greedy net of x[rows]: (centers, place of each row's center). rows[0] is the first center; centers are more than radius apart, to single precision."""
     limit = 1 - radius * radius / 2  # a distance of unit vectors as a dot product
     place = np.full(len(rows), -1)
-    centers = np.empty(0, np.int64)
+    centers, found = np.empty(len(rows), np.int64), 0
+    held = np.empty((len(rows), x.shape[1]), np.float32)
     for lo in range(0, len(rows), step):
         some = rows[lo : lo + step]
         mine = np.full(len(some), -1)
-        if len(centers):
-            dots = x[some] @ x[centers].T
-            best = dots.argmax(1)
-            mine = np.where(dots[np.arange(len(some)), best] >= limit, best, -1)
+        if found:
+            best = (x[some].astype(np.float32) @ held[:found].T).argmax(1)
+            mine = np.where(np.einsum("ij,ij->i", x[some], x[centers[best]]) >= limit, best, -1)
         open_ = np.flatnonzero(mine < 0)
         dots = x[some[open_]] @ x[some[open_]].T
         free = np.ones(len(open_), bool)
-        new = []
         for i in range(len(open_)):
             if free[i]:
                 inside = free & (dots[i] >= limit)
                 inside[i] = True
-                mine[open_[inside]] = len(centers) + len(new)
-                new.append(some[open_[i]])
+                mine[open_[inside]] = found
+                centers[found], held[found] = some[open_[i]], x[some[open_[i]]]
+                found += 1
                 free &= ~inside
-        centers = np.concatenate([centers, np.array(new, np.int64)])
         place[lo : lo + step] = mine
-    return centers, place
+    return centers[:found], place
 
 
 def cover_tree(x: np.ndarray, radii: tuple = RADII) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,70 +93,158 @@ def cover_tree(x: np.ndarray, radii: tuple = RADII) -> tuple[np.ndarray, np.ndar
     return place, head, reach
 
 
-def _levels(place: np.ndarray, head: np.ndarray, reach: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(vectors, reach, first child, children) of the nodes of each level; the last level is the vectors themselves.
+class Level(NamedTuple):
+    """The nodes of a level: their centers, covering radii, first vectors, numbers of vectors, first children and numbers of children."""
 
-    Some of the uppermost nodes may be missing, with all below them: the others are counted anew, in their order.
+    at: np.ndarray
+    reach: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    child: np.ndarray
+    children: np.ndarray
+
+
+def _levels(place: np.ndarray, head: np.ndarray, reach: np.ndarray) -> list[Level]:
+    """The levels of a cover tree whose vectors are in the order of the finest places, and so in that of all; the last level is the vectors themselves."""
+    out, n = [], len(place)
+    for k in range(place.shape[1]):
+        at = np.flatnonzero(head[:, k])
+        size = np.bincount(place[:, k], minlength=len(at))
+        start = np.cumsum(size) - size
+        if k + 1 == place.shape[1]:
+            child, children = start, size
+        else:
+            child = place[start, k + 1]
+            children = place[start + size - 1, k + 1] - child + 1
+        out.append(Level(at, reach[at, k], start, size, child, children))
+    none = np.zeros(n, np.int64)
+    return [*out, Level(np.arange(n), np.zeros(n), np.arange(n), none + 1, none, none)]
+
+
+def _screens(x: np.ndarray, reach: np.ndarray, far: float, base: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a and b of nodes around x, such that of two nodes a . b is at least 1 - far^2 / 2 if their centers are no further apart than far and both covering radii.
+
+    Columns of ``base`` are orthonormal: of what lies outside their directions the lengths are multiplied, which is no less than its dot product. The rest is
+    (far + r + s)^2 / 2 - far^2 / 2 = (far r + r^2 / 2) + (far s + s^2 / 2) + r s.
     """
-    place = np.stack([np.unique(p, return_inverse=True)[1] for p in place.T], 1) if len(place) else place
-    nodes = []
-    for k in range(place.shape[1] + 1):
-        last = k == place.shape[1]
-        at = np.lexsort((np.arange(len(place)), place[:, -1])) if last else np.flatnonzero(head[:, k])
-        if not last:
-            at = at[np.argsort(place[at, k])]
-        nodes.append((at, np.zeros(len(at)) if last else reach[at, k], place[at, k - 1] if k else None))
-    out = []
-    for (at, far, _), below in zip(nodes, [*nodes[1:], None]):
-        counts = np.bincount(below[2], minlength=len(at)) if below else np.zeros(len(at), np.int64)
-        out.append((at, far, np.cumsum(counts) - counts, counts))
-    return out
-
-
-def dual_pairs(x: np.ndarray, tx: list, y: np.ndarray, ty: list, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunks (i, j) of all pairs with x[i] . y[j] >= least, each pair once and none of a vector with itself if ``same``.
-
-    Both trees are descended together. A pair of nodes goes on only if its centers are no further apart than the threshold's distance
-    and both covering radii, so no link is lost; the vectors at the end are compared in double precision.
+    if base is not None:
+        x = x @ base
+        x = np.concatenate([x, np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", x, x), 0))[:, None]], 1)
+    own, one = far * reach + reach * reach / 2, np.ones(len(x))
+    return tuple(np.concatenate([x, np.stack(c, 1)], 1).astype(np.float32) for c in ((reach, own, one), (reach, one, own)))
+
+
+def _screened(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks (p, q) of the pairs with a[p] . b[q] >= least, with p <= q if ``same``; in single precision, so with some slack."""
+    b, dots, p, q, held = np.ascontiguousarray(b.T), np.empty(ROWS * COLUMNS, np.float32), [], [], 0
+    for lo in range(0, len(a), ROWS):
+        rows = a[lo : lo + ROWS]
+        for at in range(lo // COLUMNS * COLUMNS if same else 0, b.shape[1], COLUMNS):
+            cols = b[:, at : at + COLUMNS]
+            tile = dots[: len(rows) * cols.shape[1]].reshape(len(rows), cols.shape[1])
+            hit = np.flatnonzero(np.matmul(rows, cols, out=tile) >= least - SINGLE)
+            if len(hit):
+                p.append(hit // cols.shape[1] + lo)
+                q.append(hit % cols.shape[1] + at)
+                held += len(hit)
+            if held > HELD:
+                yield np.concatenate(p), np.concatenate(q)
+                p, q, held = [], [], 0
+    if held:
+        yield np.concatenate(p), np.concatenate(q)
+
+
+class Block:
+    """A block of vectors in the order of its cover tree, with how often each occurs and with what its nodes are screened by."""
+
+    def __init__(self, x: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray], times: np.ndarray, least: float, base: np.ndarray | None = None):
+        self.x, self.times, self.levels = x, times, _levels(*tree)
+        top = self.levels[0]
+        self.screens = _screens(x[top.at], top.reach, float(np.sqrt(2 - 2 * least)), base)
+
+
+def dual_links(a: Block, b: Block, least: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Links of the vectors of a with those of b, or among a's if b is a, with a cosine of ``least`` or more: (how many each has, edges).
+
+    Vectors are numbered through both blocks, and counted as often as they occur. The edges are a spanning forest. Both trees are descended together.
+    A pair of nodes goes on only if its centers are no further apart than the threshold's distance and both covering radii, so no link is
+    lost; the uppermost are screened for that in few directions. The vectors at the end are compared in double precision.
     """
-    far, last = np.sqrt(2 - 2 * least), len(tx) - 1
-    todo: list[tuple[int, np.ndarray, np.ndarray]] = []
-
-    def near(k: int, dots: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        keep = dots >= least if k == last else 2 - 2 * dots <= (far + tx[k][1][p] + ty[k][1][q] + EPS) ** 2
+    same, x, y, tx, ty = a is b, a.x, b.x, a.levels, b.levels
+    far, last, shift = float(np.sqrt(2 - 2 * least)), len(tx) - 1, 0 if same else len(x)
+    n = shift + len(y)
+    counts, edges, held = np.zeros(n, np.int64), [], 0
+
+    def tell(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal edges, held
+        edges.append((i, j + shift))
+        held += len(i)
+        if held > HELD:
+            edges = [spanning_edges(*map(np.concatenate, zip(*edges)), n)]
+            held = 0
+
+    def whole(p: int, q: int) -> None:
+        """All vectors of node p of a's finest net with all of b's q."""
+        (r0, r1), (c0, c1) = ((int(t[-2].start[k]), int(t[-2].start[k] + t[-2].size[k])) for t, k in ((tx, p), (ty, q)))
+        for lo in range(r0, r1, ROWS):
+            for at in range(c0, c1, COLUMNS):
+                rows, cols = np.arange(lo, min(lo + ROWS, r1)), np.arange(at, min(at + COLUMNS, c1))
+                near = x[rows] @ y[cols].T >= least
+                if same and p == q:
+                    near[rows[:, None] == cols] = False
+                else:  # else the others are rows of their own
+                    counts[shift + cols] += (a.times[rows].astype(float) @ near).astype(np.int64)
+                counts[rows] += (near @ b.times[cols].astype(float)).astype(np.int64)
+                i, j = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                if not len(i):
+                    continue
+                i, j = np.concatenate([i, near[:, j].argmax(0)]), np.concatenate([near[i].argmax(1), j])
+                label = np.arange(len(rows) + len(cols))
+                child, root = spanning_edges(i, j + len(rows), len(label))
+                label[child] = root
+                more = np.nonzero(near & (label[: len(rows), None] != label[None, len(rows) :]))
+                tell(rows[np.concatenate([i, more[0]])], cols[np.concatenate([j, more[1]])])
+
+    def near_of(k: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        i, j = tx[k].at[p], ty[k].at[q]
+        dots = np.concatenate([np.einsum("ij,ij->i", x[i[m : m + 65536]], y[j[m : m + 65536]]) for m in range(0, len(i), 65536)])
+        keep = dots >= least if k == last else 2 - 2 * dots <= (far + tx[k].reach[p] + ty[k].reach[q] + EPS) ** 2
         return keep & (p < q if k == last else p <= q) if same else keep
 
-    cx, cy = tx[0][0], ty[0][0]
-    across = y[cy].T.copy()
-    for lo in range(0, len(cx), 512):
-        rows = np.arange(lo, min(lo + 512, len(cx)))
-        p, q = np.nonzero(near(0, x[cx[rows]] @ across, rows[:, None], np.arange(len(cy))[None, :]))
-        todo.append((0, p + lo, q))
-    while todo:
-        k, p, q = todo.pop()
-        if k == last:
-            yield tx[k][0][p], ty[k][0][q]
-            continue
-        (_, _, ax, nx), (_, _, ay, ny) = tx[k], ty[k]
-        cuts = np.flatnonzero(np.diff(np.cumsum(nx[p] * ny[q]) >> 18)) + 1  # bounds the pairs that are open at once
-        for a, b in zip(np.split(p, cuts), np.split(q, cuts)):
-            times = nx[a] * ny[b]
-            if not times.sum():
+    for top in _screened(a.screens[0], b.screens[1], least, same):
+        todo: list[tuple[int, np.ndarray, np.ndarray]] = [(0, *(v[near_of(0, *top)] for v in top))]
+        while todo:
+            k, p, q = todo.pop()
+            if k == last:
+                i, j = tx[k].at[p], ty[k].at[q]
+                np.add.at(counts, i, b.times[j])
+                np.add.at(counts, shift + j, a.times[i])
+                tell(i, j)
                 continue
-            row = np.repeat(np.arange(len(a)), times)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            i, j = ax[a][row] + nth // ny[b][row], ay[b][row] + nth % ny[b][row]
-            dots = np.concatenate([np.einsum("ij,ij->i", x[tx[k + 1][0][i[m : m + 65536]]], y[ty[k + 1][0][j[m : m + 65536]]]) for m in range(0, len(i), 65536)])
-            keep = near(k + 1, dots, i, j)
-            if keep.any():
-                todo.append((k + 1, i[keep], j[keep]))
-
-
-def pivots(nodes: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """By dimension, up to ``cells`` vectors that stand for the top of the tree.
+            if k == last - 1:
+                fat = tx[k].size[p] * ty[k].size[q] >= DENSE
+                for i, j in zip(p[fat].tolist(), q[fat].tolist()):
+                    whole(i, j)
+                p, q = p[~fat], q[~fat]
+            times = tx[k].children[p] * ty[k].children[q]
+            cuts = np.flatnonzero(np.diff(np.cumsum(times) >> 18)) + 1  # bounds the pairs that are open at once
+            for some, p_, q_ in zip(np.split(times, cuts), np.split(p, cuts), np.split(q, cuts)):
+                if not len(some):
+                    continue
+                row = np.repeat(np.arange(len(some)), some)
+                nth, wide = np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some), ty[k].children[q_][row]
+                i, j = tx[k].child[p_][row] + nth // wide, ty[k].child[q_][row] + nth % wide
+                keep = near_of(k + 1, i, j)
+                if keep.any():
+                    todo.append((k + 1, i[keep], j[keep]))
+    return counts, spanning_edges(*map(np.concatenate, zip(*edges)), n) if edges else (counts[:0], counts[:0])
+
+
+def pivots(nodes: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray | None]]:
+    """By dimension, up to ``cells`` vectors that stand for the top of the tree, and the directions in which the sample is widest (none if they would not be fewer).
 
     Fitted on a bounded sample: the ``sample`` nodes that come first by hash. Each pivot is the sampled vector farthest from those
-    before it. They decide only how work is dealt out; every vector is compared, so results don't depend on them.
+    before it. They decide only how work is dealt out and what is screened first; every vector is compared, so results don't depend on them.
     """
     found: dict[int, list] = {}
     for row in nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("embedding").collect():
@@ -161,10 +256,23 @@ def pivots(nodes: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> dict[i
         while len(at) < cells and dots.min() < 1 - EPS:
             at.append(int(dots.argmin()))
             dots = np.maximum(dots, x @ x[at[-1]])
-        tops[dim] = x[at]
+        off = x - x.mean(0)
+        tops[dim] = x[at], np.linalg.eigh(off.T @ off)[1][:, -DIRECTIONS:] if dim > DIRECTIONS + 1 else None
     return tops
 
 
+def _packed(table: pa.Table) -> bytes:
+    """A table as Arrow's stream of bytes."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as to:
+        to.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(value: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(value.as_buffer()).read_all().combine_chunks()
+
+
 def comparable(c: Column) -> Column:
     """Whether a vector can link: not null or empty, all components finite and non-null, not all zero."""
     ok = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -194,70 +302,64 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
             cell, dist = np.zeros(len(vecs), np.int32), np.full(len(vecs), 2.0)
             for dim in set(dims.tolist()) & set(tops):
                 at = np.flatnonzero(dims == dim)
-                dots = unit_rows(vecs.take(pa.array(at))) @ tops[dim].T
+                dots = unit_rows(vecs.take(pa.array(at))) @ tops[dim][0].T
                 cell[at] = dots.argmax(1)
                 dist[at] = np.sqrt(np.maximum(2 - 2 * dots.max(1), 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vecs, pa.array(dims.astype(np.int32)), pa.array(cell), pa.array(dist)], names=["node", "n", "embedding", "dim", "cell", "dist"])
 
     placed = nodes.select("node", "n", "embedding").mapInArrow(place, f"node bigint, n bigint, embedding {kind}, dim int, cell int, dist double")
-    stats = materialize(placed.groupBy("dim", "cell").agg(F.max("dist").alias("reach"), F.ceil(F.count("*") / block).cast("int").alias("slots")))
+    most = F.least(F.lit(block), F.greatest(F.lit(256), F.floor(F.lit(COMPONENTS) / F.col("dim"))))
+    stats = materialize(placed.groupBy("dim", "cell").agg(F.max("dist").alias("reach"), F.ceil(F.count("*") / most).cast("int").alias("slots")))
     # at most MOST_CELLS numbers for each dimension of the sample
-    reaches: dict[int, np.ndarray] = {dim: np.full(len(top), -10.0) for dim, top in tops.items()}
+    reaches: dict[int, np.ndarray] = {dim: np.full(len(top), -10.0) for dim, (top, _) in tops.items()}
     for r in stats.filter(F.col("dim").isin(*tops)).select("dim", "cell", "reach").collect() if tops else ():
         reaches[r["dim"]][r["cell"]] = r["reach"]
     # a row for each dimension and cell: joined, and broadcast only if Spark finds it small
     placed = placed.join(stats.select("dim", "cell", "slots"), ["dim", "cell"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
 
-    def grow(key: tuple, block_: pa.Table) -> pa.Table:
-        block_ = block_.combine_chunks()
-        x = unit_rows(block_.column("embedding").chunk(0))
-        place_, head, reach = tree = cover_tree(x)
+    def grow(key: tuple, vectors_: pa.Table) -> pa.Table:
+        vectors_ = vectors_.combine_chunks()
+        x = unit_rows(vectors_.column("embedding").chunk(0))
+        place_, head, reach = cover_tree(x)
         dim = key[0].as_py()
-        if dim in tops:  # the cells that what is below each uppermost node may have links into
+        if dim in tops:  # the cells that what is below any uppermost node may have links into
             at = np.flatnonzero(head[:, 0])
-            at = at[np.argsort(place_[at, 0])]
-            away = np.sqrt(np.maximum(2 - 2 * (x[at] @ tops[dim].T), 0))
-            open_ = away <= reaches[dim] + far + reach[at, 0][:, None] + 1e-6
-            visits = [np.flatnonzero(o).tolist() for o in open_]
-            visits = [visits[p] for p in place_[:, 0]]
+            away = np.sqrt(np.maximum(2 - 2 * (x[at] @ tops[dim][0].T), 0))
+            visits = np.flatnonzero((away <= reaches[dim] + far + reach[at, 0][:, None] + 1e-6).any(0)).tolist()
         else:
-            visits = [[key[1].as_py()]] * len(x)
-        lists = [pa.array(list(t), pa.list_(kind_)) for t, kind_ in zip((*tree, visits), (pa.int32(), pa.bool_(), pa.float64(), pa.int32()))]
-        return pa.table([block_.column(c) for c in ("node", "n", "embedding", "dim", "cell", "slot")] + lists, names=["node", "n", "embedding", "dim", "cell", "slot", "place", "head", "reach", "visits"])
+            visits = [key[1].as_py()]
+        order = np.argsort(place_[:, -1], kind="stable")
+        lists = [pa.array(list(t[order]), pa.list_(kind_)) for t, kind_ in zip((place_, head, reach), (pa.int32(), pa.bool_(), pa.float64()))]
+        tree = pa.table([vectors_.column(c).take(pa.array(order)) for c in ("node", "n", "embedding")] + lists, names=["node", "n", "embedding", "place", "head", "reach"])
+        return pa.table([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([visits], pa.list_(pa.int32())), pa.array([_packed(tree)], pa.binary())], names=["dim", "cell", "slot", "visits", "tree"])
 
-    grown = placed.select("node", "n", "embedding", "dim", "cell", "slot").groupBy("dim", "cell", "slot").applyInArrow(grow, f"node bigint, n bigint, embedding {kind}, dim int, cell int, slot int, place array<int>, head array<boolean>, reach array<double>, visits array<int>")
+    grown = placed.select("node", "n", "embedding", "dim", "cell", "slot").groupBy("dim", "cell", "slot").applyInArrow(grow, "dim int, cell int, slot int, visits array<int>, tree binary")
     trees = materialize(grown)
 
-    # pairs of cells are taken only where both sides have nodes that may reach the other; a node brings all its vectors, or stays away with them
-    slots = stats.select("dim", F.col("cell").alias("other"), F.col("slots").alias("others"))
-    both = trees.withColumn("other", F.explode("visits")).drop("visits").join(slots, ["dim", "other"]).withColumn("other_slot", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    own, other = F.struct("cell", "slot"), F.struct(F.col("other").alias("cell"), F.col("other_slot").alias("slot"))
-    both = both.select("dim", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), (own <= other).alias("first"), "node", "n", "embedding", "place", "head", "reach")
-
-    def compare(key: tuple, pair: pa.Table) -> pa.Table:
-        pair = pair.combine_chunks()
-        same, first = key[1] == key[2], pair.column("first").to_numpy()
-        sides = []
-        for side in (first, ~first) if not same else (first,):
-            part = pair.filter(pa.array(side)).combine_chunks()
-            if not part.num_rows:
-                return _found([], [], [], [])
-            grid = [np.stack(part.column(c).to_numpy()) for c in ("place", "head", "reach")]
-            sides.append((unit_rows(part.column("embedding").chunk(0)), _levels(*grid), part.column("node").to_numpy(), part.column("n").to_numpy()))
-        (x, tx, ids, times), (y, ty, ids2, times2) = sides[0], sides[-1]
-        shift = 0 if same else len(ids)
-        counts, reps = np.zeros(len(ids) + (0 if same else len(ids2)), np.int64), np.arange(len(ids) + (0 if same else len(ids2)))
-        names, weight = (ids, times) if same else (np.concatenate([ids, ids2]), np.concatenate([times, times2]))
-        edges: tuple[np.ndarray, np.ndarray] = (reps[:0], reps[:0])
-        for i, j in dual_pairs(x, tx, y, ty, least, same):
-            j = j + shift
-            np.add.at(counts, i, weight[j])
-            np.add.at(counts, j, weight[i])
-            edges = spanning_edges(np.concatenate([edges[0], i]), np.concatenate([edges[1], j]), len(names))
-        hit = np.flatnonzero(counts)
-        return _found(names[hit], counts[hit], names[edges[0]], names[edges[1]])
-
-    found = materialize(both.groupBy("dim", "x", "y").applyInArrow(compare, "node bigint, links bigint, a bigint, b bigint"))
+    # Each two blocks are a row, where both have nodes that may reach the other's cell. Both sides are read from what was written, so nothing is shuffled for it;
+    # of the two orders one is taken by turns, so that tasks get equal shares
+    a, b = (trees.select("dim", "cell", "visits", F.struct("cell", "slot").alias("at"), (F.col("cell") + F.col("slot")).alias("turn"), "tree").alias(s) for s in "ab")
+    x, y = ({c: F.col(f"{s}.{c}") for c in ("dim", "cell", "visits", "at", "turn", "tree")} for s in "ab")
+    once = (x["at"] == y["at"]) | ((x["at"] < y["at"]) == ((x["turn"] + y["turn"]) % 2 == 0))
+    meet = (x["dim"] == y["dim"]) & F.array_contains(x["visits"], y["cell"]) & F.array_contains(y["visits"], x["cell"]) & once
+    pairs = a.join(b.hint("shuffle_replicate_nl"), meet).select(x["dim"], (x["at"] == y["at"]).alias("same"), x["tree"].alias("left"), y["tree"].alias("right"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, same, *sides in zip(*batch.columns):
+                trees_ = [_unpacked(side) for side in (sides[:1] if same.as_py() else sides)]
+                base = tops.get(dim.as_py(), (None, None))[1]
+                blocks = []
+                for t in trees_:
+                    grid = [t.column(c).chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for c in ("place", "head", "reach")]
+                    blocks.append(Block(unit_rows(t.column("embedding").chunk(0)), grid, t.column("n").to_numpy(), least, base))
+                names = np.concatenate([t.column("node").to_numpy() for t in trees_])
+                counts, edges = dual_links(blocks[0], blocks[-1], least)
+                hit = np.flatnonzero(counts)
+                yield _found(names[hit], counts[hit], names[edges[0]], names[edges[1]])
+
+    # rows are two blocks large, so workers are given one at once
+    found = shared.materialize(pairs.mapInArrow(compare, "node bigint, links bigint, a bigint, b bigint"), 1)
     links = found.filter("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.filter("a IS NOT NULL").select("a", "b"))
     named = nodes.select("node", "least", "n", "embedding").join(roots, "node", "left").join(links, "node", "left")
@@ -271,9 +373,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     )
 
 
-def _found(node, links, a, b) -> pa.Table:
+def _found(node, links, a, b) -> pa.RecordBatch:
     rows = len(node) + len(a)
     out = np.zeros((4, rows), np.int64)
     out[0, : len(node)], out[1, : len(node)], out[2, len(node) :], out[3, len(node) :] = node, links, a, b
     late = np.arange(rows) >= len(node)
-    return pa.table([pa.array(v, pa.int64(), mask=m) for v, m in zip(out, (late, late, ~late, ~late))], names=["node", "links", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64(), mask=m) for v, m in zip(out, (late, late, ~late, ~late))], names=["node", "links", "a", "b"])
