@@ -7,17 +7,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamworks.llm import shared
 from loamworks.llm.components import connected_components
 from loamworks.llm.shared import materialize, spanning_edges
 
-#: Cells at the top of the tree, at least and at most, one for each block of vectors between, and the vectors sampled to place them: a documented bound, see ``pivots``.
-CELLS, MOST_CELLS, SAMPLE = 4, 256, 1024
-#: Vectors in a block, and components of all its vectors, about.
-BLOCK, COMPONENTS = 32768, 1 << 21
+#: Cells at the top of the tree, at least and at most, the vectors of a cell between, about, and the vectors sampled to place them: a documented bound, see ``pivots``.
+CELLS, MOST_CELLS, CELL, SAMPLE = 4, 256, 4096, 1024
+#: Vectors in a block, which holds several cells or a part of one, and components of all its vectors, about; blocks that fewer vectors are dealt into.
+BLOCK, COMPONENTS, BLOCKS = 32768, 1 << 21, 16
 #: Radii of the nets below a cell, each half of the one above.
 RADII = (0.5, 0.25)
 #: Slack of the distance bounds; what is kept is decided by the cosine itself.
@@ -25,7 +26,7 @@ EPS = 1e-7
 #: Directions in which the uppermost nodes are screened, and the slack for doing so in single precision.
 DIRECTIONS, SINGLE = 20, 1e-5
 #: Nodes with so many pairs of vectors below them are multiplied whole; rows and columns that are multiplied at once.
-DENSE, ROWS, COLUMNS = 4096, 512, 2048
+DENSE, ROWS, COLUMNS = 4096, 256, 2048
 #: Links that are held before they are reduced to a spanning forest, about.
 HELD = 1 << 20
 
@@ -134,13 +135,16 @@ def _screens(x: np.ndarray, reach: np.ndarray, far: float, base: np.ndarray | No
     return tuple(np.concatenate([x, np.stack(c, 1)], 1).astype(np.float32) for c in ((reach, own, one), (reach, one, own)))
 
 
-def _screened(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunks (p, q) of the pairs with a[p] . b[q] >= least, with p <= q if ``same``; in single precision, so with some slack."""
+def _screened(a: np.ndarray, b: np.ndarray, least: float, same: bool, until: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks (p, q) of the pairs with a[p] . b[q] >= least, with p <= q if ``same``; in single precision, so with some slack.
+
+    until: so many rows of b come into question for each row of a, no more than for the one before. Pairs beyond may be among the chunks or not.
+    """
     b, dots, p, q, held = np.ascontiguousarray(b.T), np.empty(ROWS * COLUMNS, np.float32), [], [], 0
     for lo in range(0, len(a), ROWS):
         rows = a[lo : lo + ROWS]
-        for at in range(lo // COLUMNS * COLUMNS if same else 0, b.shape[1], COLUMNS):
-            cols = b[:, at : at + COLUMNS]
+        for at in range(lo // COLUMNS * COLUMNS if same else 0, until[lo], COLUMNS):
+            cols = b[:, at : min(at + COLUMNS, until[lo])]
             tile = dots[: len(rows) * cols.shape[1]].reshape(len(rows), cols.shape[1])
             hit = np.flatnonzero(np.matmul(rows, cols, out=tile) >= least - SINGLE)
             if len(hit):
@@ -160,6 +164,7 @@ class Block:
     def __init__(self, x: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray], times: np.ndarray, least: float, base: np.ndarray | None = None):
         self.x, self.times, self.levels = x, times, _levels(*tree)
         top = self.levels[0]
+        self.mean = x[top.at].mean(0)
         self.screens = _screens(x[top.at], top.reach, float(np.sqrt(2 - 2 * least)), base)
 
 
@@ -168,7 +173,7 @@ def dual_links(a: Block, b: Block, least: float) -> tuple[np.ndarray, tuple[np.n
 
     Vectors are numbered through both blocks, and counted as often as they occur. The edges are a spanning forest. Both trees are descended together.
     A pair of nodes goes on only if its centers are no further apart than the threshold's distance and both covering radii, so no link is
-    lost; the uppermost are screened for that in few directions. The vectors at the end are compared in double precision.
+    lost; the uppermost are screened for that along what lies between the blocks and in few directions. The vectors at the end are compared in double precision.
     """
     same, x, y, tx, ty = a is b, a.x, b.x, a.levels, b.levels
     far, last, shift = float(np.sqrt(2 - 2 * least)), len(tx) - 1, 0 if same else len(x)
@@ -211,8 +216,17 @@ def dual_links(a: Block, b: Block, least: float) -> tuple[np.ndarray, tuple[np.n
         keep = dots >= least if k == last else 2 - 2 * dots <= (far + tx[k].reach[p] + ty[k].reach[q] + EPS) ** 2
         return keep & (p < q if k == last else p <= q) if same else keep
 
-    for top in _screened(a.screens[0], b.screens[1], least, same):
-        todo: list[tuple[int, np.ndarray, np.ndarray]] = [(0, *(v[near_of(0, *top)] for v in top))]
+    # Along any direction two vectors are no further apart than in all: nodes of a are taken as they come from b's side, each with those of b that far towards a
+    order, until = (np.arange(len(tx[0].at)), np.arange(len(ty[0].at))), np.full(len(tx[0].at), len(ty[0].at))
+    if not same and np.linalg.norm(apart := a.mean - b.mean) > 1e-3:
+        apart /= np.linalg.norm(apart)
+        low, high = x[tx[0].at] @ apart - tx[0].reach, y[ty[0].at] @ apart + ty[0].reach
+        order = np.argsort(low), np.argsort(-high)
+        until = np.searchsorted(-high[order[1]], far + EPS - low[order[0]], "right")
+    for top in _screened(a.screens[0][order[0]], b.screens[1][order[1]], least, same, until):
+        top = tuple(o[v] for o, v in zip(order, top))
+        keep = near_of(0, *top)
+        todo: list[tuple[int, np.ndarray, np.ndarray]] = [(0, *(v[keep] for v in top))]
         while todo:
             k, p, q = todo.pop()
             if k == last:
@@ -291,7 +305,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     good = rows.filter(comparable(F.col("embedding")))
     # equal vectors are one node, so that a group of copies costs one vector
     nodes = materialize(good.groupBy("embedding").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
-    tops = pivots(nodes, min(MOST_CELLS, max(CELLS, -(-nodes.count() // block))))
+    total = nodes.count()
+    tops = pivots(nodes, min(MOST_CELLS, max(CELLS, -(-total // min(block, CELL)))))
     far = float(np.sqrt(2 - 2 * least))
     kind = nodes.schema["embedding"].dataType.simpleString()
 
@@ -308,55 +323,70 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vecs, pa.array(dims.astype(np.int32)), pa.array(cell), pa.array(dist)], names=["node", "n", "embedding", "dim", "cell", "dist"])
 
     placed = nodes.select("node", "n", "embedding").mapInArrow(place, f"node bigint, n bigint, embedding {kind}, dim int, cell int, dist double")
-    most = F.least(F.lit(block), F.greatest(F.lit(256), F.floor(F.lit(COMPONENTS) / F.col("dim"))))
-    stats = materialize(placed.groupBy("dim", "cell").agg(F.max("dist").alias("reach"), F.ceil(F.count("*") / most).cast("int").alias("slots")))
+    size = F.least(F.lit(min(block, max(CELL, total // BLOCKS))), F.greatest(F.lit(256), F.floor(F.lit(COMPONENTS) / F.col("dim"))))
+    stats = placed.groupBy("dim", "cell").agg(F.max("dist").alias("reach"), F.count("*").alias("n"))
+    # a row for each dimension and cell: cells that follow each other share a block up to its size, and larger ones are dealt into slots
+    before = F.sum("n").over(Window.partitionBy("dim").orderBy("cell")) - F.col("n")
+    stats = materialize(stats.select("dim", "cell", "reach", F.floor(before / size).alias("block"), F.ceil(F.col("n") / size).cast("int").alias("slots")))
     # at most MOST_CELLS numbers for each dimension of the sample
     reaches: dict[int, np.ndarray] = {dim: np.full(len(top), -10.0) for dim, (top, _) in tops.items()}
     for r in stats.filter(F.col("dim").isin(*tops)).select("dim", "cell", "reach").collect() if tops else ():
         reaches[r["dim"]][r["cell"]] = r["reach"]
-    # a row for each dimension and cell: joined, and broadcast only if Spark finds it small
-    placed = placed.join(stats.select("dim", "cell", "slots"), ["dim", "cell"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
+    # joined, and broadcast only if Spark finds it small
+    placed = placed.join(stats.select("dim", "cell", "block", "slots"), ["dim", "cell"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
 
     def grow(key: tuple, vectors_: pa.Table) -> pa.Table:
-        vectors_ = vectors_.combine_chunks()
-        x = unit_rows(vectors_.column("embedding").chunk(0))
-        place_, head, reach = cover_tree(x)
-        dim = key[0].as_py()
-        if dim in tops:  # the cells that what is below any uppermost node may have links into
-            at = np.flatnonzero(head[:, 0])
-            away = np.sqrt(np.maximum(2 - 2 * (x[at] @ tops[dim][0].T), 0))
-            visits = np.flatnonzero((away <= reaches[dim] + far + reach[at, 0][:, None] + 1e-6).any(0)).tolist()
-        else:
-            visits = [key[1].as_py()]
-        order = np.argsort(place_[:, -1], kind="stable")
-        lists = [pa.array(list(t[order]), pa.list_(kind_)) for t, kind_ in zip((place_, head, reach), (pa.int32(), pa.bool_(), pa.float64()))]
-        tree = pa.table([vectors_.column(c).take(pa.array(order)) for c in ("node", "n", "embedding")] + lists, names=["node", "n", "embedding", "place", "head", "reach"])
-        return pa.table([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([visits], pa.list_(pa.int32())), pa.array([_packed(tree)], pa.binary())], names=["dim", "cell", "slot", "visits", "tree"])
-
-    grown = placed.select("node", "n", "embedding", "dim", "cell", "slot").groupBy("dim", "cell", "slot").applyInArrow(grow, "dim int, cell int, slot int, visits array<int>, tree binary")
-    trees = materialize(grown)
-
-    # Each two blocks are a row, where both have nodes that may reach the other's cell. Both sides are read from what was written, so nothing is shuffled for it;
+        dim, trees_ = key[0].as_py(), []
+        for cell in sorted(set(vectors_.column("cell").to_pylist())):
+            part = vectors_.filter(pc.equal(vectors_.column("cell"), cell)).combine_chunks()
+            x = unit_rows(part.column("embedding").chunk(0))
+            place_, head, reach = cover_tree(x)
+            visits = [cell]
+            if dim in tops:  # the cells that what is below any uppermost node may have links into
+                at = np.flatnonzero(head[:, 0])
+                away = np.sqrt(np.maximum(2 - 2 * (x[at] @ tops[dim][0].T), 0))
+                visits = np.flatnonzero((away <= reaches[dim] + far + reach[at, 0][:, None] + 1e-6).any(0)).tolist()
+            order = np.argsort(place_[:, -1], kind="stable")
+            lists = [pa.array(list(t[order]), pa.list_(kind_)) for t, kind_ in zip((place_, head, reach), (pa.int32(), pa.bool_(), pa.float64()))]
+            packed = _packed(pa.table([part.column(c).take(pa.array(order)) for c in ("node", "n", "embedding")] + lists, names=["node", "n", "embedding", "place", "head", "reach"]))
+            trees_.append({"cell": cell, "visits": visits, "tree": packed})
+        kind_ = pa.list_(pa.struct([("cell", pa.int32()), ("visits", pa.list_(pa.int32())), ("tree", pa.binary())]))
+        return pa.table([*([k.as_py()] for k in key), [sorted({v for t in trees_ for v in t["visits"]})], pa.array([trees_], kind_)], names=["dim", "block", "slot", "visits", "trees"]).cast(
+            pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("slot", pa.int32()), ("visits", pa.list_(pa.int32())), ("trees", kind_)])
+        )
+
+    grown = placed.select("node", "n", "embedding", "dim", "block", "slot", "cell").groupBy("dim", "block", "slot")
+    trees = materialize(grown.applyInArrow(grow, "dim int, block bigint, slot int, visits array<int>, trees array<struct<cell: int, visits: array<int>, tree: binary>>"))
+
+    # Each two blocks are a row, where both have nodes that may reach one of the other's cells. Both sides are read from what was written, so nothing is shuffled for it;
     # of the two orders one is taken by turns, so that tasks get equal shares
-    a, b = (trees.select("dim", "cell", "visits", F.struct("cell", "slot").alias("at"), (F.col("cell") + F.col("slot")).alias("turn"), "tree").alias(s) for s in "ab")
-    x, y = ({c: F.col(f"{s}.{c}") for c in ("dim", "cell", "visits", "at", "turn", "tree")} for s in "ab")
+    sides = trees.select("dim", "visits", F.col("trees.cell").alias("cells"), F.struct("block", "slot").alias("at"), (F.col("block") + F.col("slot")).alias("turn"), "trees")
+    x, y = ({c: F.col(f"{s}.{c}") for c in sides.columns} for s in "ab")
     once = (x["at"] == y["at"]) | ((x["at"] < y["at"]) == ((x["turn"] + y["turn"]) % 2 == 0))
-    meet = (x["dim"] == y["dim"]) & F.array_contains(x["visits"], y["cell"]) & F.array_contains(y["visits"], x["cell"]) & once
-    pairs = a.join(b.hint("shuffle_replicate_nl"), meet).select(x["dim"], (x["at"] == y["at"]).alias("same"), x["tree"].alias("left"), y["tree"].alias("right"))
+    meet = (x["dim"] == y["dim"]) & F.arrays_overlap(x["visits"], y["cells"]) & F.arrays_overlap(y["visits"], x["cells"]) & once
+    pairs = sides.alias("a").join(sides.alias("b").hint("shuffle_replicate_nl"), meet).select(x["dim"], (x["at"] == y["at"]).alias("same"), x["trees"].alias("left"), y["trees"].alias("right"))
+
+    def opened(tree: pa.Scalar, base: np.ndarray | None) -> tuple[Block, np.ndarray, int, set[int]]:
+        t = _unpacked(tree["tree"])
+        grid = [t.column(c).chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for c in ("place", "head", "reach")]
+        block_ = Block(unit_rows(t.column("embedding").chunk(0)), grid, t.column("n").to_numpy(), least, base)
+        return block_, t.column("node").to_numpy(), tree["cell"].as_py(), set(tree["visits"].as_py())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, same, *sides in zip(*batch.columns):
-                trees_ = [_unpacked(side) for side in (sides[:1] if same.as_py() else sides)]
+            for dim, same, left, right in zip(*batch.columns):
                 base = tops.get(dim.as_py(), (None, None))[1]
-                blocks = []
-                for t in trees_:
-                    grid = [t.column(c).chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for c in ("place", "head", "reach")]
-                    blocks.append(Block(unit_rows(t.column("embedding").chunk(0)), grid, t.column("n").to_numpy(), least, base))
-                names = np.concatenate([t.column("node").to_numpy() for t in trees_])
-                counts, edges = dual_links(blocks[0], blocks[-1], least)
-                hit = np.flatnonzero(counts)
-                yield _found(names[hit], counts[hit], names[edges[0]], names[edges[1]])
+                rows_ = [opened(t, base) for t in left]
+                cols = rows_ if same.as_py() else [opened(t, base) for t in right]
+                out = []
+                for i, (a, ids, cell, visits) in enumerate(rows_):
+                    for b, others, other, back in cols[i:] if same.as_py() else cols:
+                        if a is b or (other in visits and cell in back):
+                            counts, edges = dual_links(a, b, least)
+                            names, hit = ids if a is b else np.concatenate([ids, others]), np.flatnonzero(counts)
+                            out.append((names[hit], counts[hit], names[edges[0]], names[edges[1]]))
+                if out:
+                    yield _found(*map(np.concatenate, zip(*out)))
 
     # rows are two blocks large, so workers are given one at once
     found = shared.materialize(pairs.mapInArrow(compare, "node bigint, links bigint, a bigint, b bigint"), 1)
@@ -366,7 +396,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     named = named.select("embedding", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(named.join(names, "root").select("embedding", "n_links", "component_id"))
-    linked = good.join(named, "embedding").select("id", "n_links", "component_id")
+    # the hash comes first, as rows are sorted by it much faster than by vectors
+    linked = good.withColumn("hash", F.xxhash64("embedding")).join(named.withColumn("hash", F.xxhash64("embedding")), ["hash", "embedding"]).select("id", "n_links", "component_id")
     alone = rows.filter(~comparable(F.col("embedding"))).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(
         F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
