@@ -18,7 +18,7 @@ from loamworks.llm.shared import materialize, spanning_edges
 #: Cells at the top of the tree, at least and at most, the vectors of a cell between, about, and the vectors sampled to place them: a documented bound, see ``pivots``.
 CELLS, MOST_CELLS, CELL, SAMPLE = 4, 256, 4096, 1024
 #: Vectors in a block, which holds several cells or a part of one, and components of all its vectors, about; blocks that fewer vectors are dealt into.
-BLOCK, COMPONENTS, BLOCKS = 32768, 1 << 21, 16
+BLOCK, COMPONENTS, BLOCKS = 16384, 1 << 20, 16
 #: Radii of the nets below a cell, each half of the one above.
 RADII = (0.5, 0.25)
 #: Slack of the distance bounds; what is kept is decided by the cosine itself.
