@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ _VERSION = r"(?i)^v?(\d{1,9}(?:\.\d{1,9}){0,3})(?:[- .]?(alpha|beta|rc|dev|night
 _COMPARISON = r"(?i)^(>=|<=|>|<|=|\^|~)?(v?\d{1,9}(?:\.(?:\d{1,9}|x|\*)){0,3}(?:[-.]?(?:alpha|beta|rc|nightly|dev)(?:[-.]?\d{1,9})?)?)$"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What ``body`` makes of a value that it names more than once: so it is planned and worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _numbers(text: Column) -> Column:
     return F.transform(F.split(text, r"\."), lambda p: p.try_cast("bigint"))
 
@@ -38,17 +45,25 @@ def staged_compare(a: Column, b: Column) -> Column:
 
 def _tests(token: Column) -> Column:
     """The comparisons that one token of a range stands for: (op, key), where op is one of >=, <=, >, <, = and ~ (the numbers that aren't null are the same); null if it can't be read."""
-    op, text = F.regexp_extract(token, _COMPARISON, 1), F.regexp_extract(token, _COMPARISON, 2)
     test = lambda o, k: F.array(F.named_struct(F.lit("op"), o, F.lit("key"), k))
-    numbers, key = _numbers(F.regexp_replace(text, r"(?i)^v", "")), version_key(text)
-    # the first number that counts: the second for ~, the first that isn't 0 for ^, the third if all are
-    leading = F.array_position(F.transform(F.slice(key, 1, 4), lambda x: x != 0), True).cast("int")
-    at = F.when(op == "~", 2).otherwise(F.when(leading == 0, 3).otherwise(leading))
-    bumped = F.transform(F.slice(key, 1, 4), lambda x, i: F.when(i + 1 < at, x).when(i + 1 == at, x + 1).otherwise(F.lit(0).cast("bigint")))
-    upto = F.concat(bumped, F.array(F.lit(RELEASE).cast("bigint"), F.lit(0).cast("bigint")))
-    plain = F.when(op.isin("^", "~"), F.concat(test(F.lit(">="), key), test(F.lit("<"), upto))).otherwise(test(F.when(op == "", "=").otherwise(op), key))
-    any_number = text.rlike(r"(?i)[.](x|\*)")
-    return F.when(token.rlike(_COMPARISON), F.when(~any_number, plain).when(op.isin("", "="), test(F.lit("~"), numbers)))
+
+    def below(op: Column, key: Column) -> Column:
+        """The first key after those that ^ and ~ mean."""
+        # the first number that counts: the second for ~, the first that isn't 0 for ^, the third if all are
+        leading = F.array_position(F.transform(F.slice(key, 1, 4), lambda x: x != 0), True).cast("int")
+        at = F.when(op == "~", 2).otherwise(_let(leading, lambda n: F.when(n == 0, 3).otherwise(n)))
+        bumped = _let(at, lambda n: F.transform(F.slice(key, 1, 4), lambda x, i: F.when(i + 1 < n, x).when(i + 1 == n, x + 1).otherwise(F.lit(0).cast("bigint"))))
+        return F.concat(bumped, F.array(F.lit(RELEASE).cast("bigint"), F.lit(0).cast("bigint")))
+
+    def plain(op: Column, key: Column) -> Column:
+        return F.when(op.isin("^", "~"), F.concat(test(F.lit(">="), key), test(F.lit("<"), below(op, key)))).otherwise(test(F.when(op == "", "=").otherwise(op), key))
+
+    def read(op: Column, text: Column) -> Column:
+        numbers, any_number = _numbers(F.regexp_replace(text, r"(?i)^v", "")), text.rlike(r"(?i)[.](x|\*)")
+        return F.when(~any_number, _let(version_key(text), lambda key: plain(op, key))).when(op.isin("", "="), test(F.lit("~"), numbers))
+
+    part = lambda n: F.regexp_extract(token, _COMPARISON, n)
+    return F.when(token.rlike(_COMPARISON), _let(part(1), lambda op: _let(part(2), lambda text: read(op, text))))
 
 
 def range_tests(wanted: Column) -> Column:
@@ -61,9 +76,9 @@ def range_tests(wanted: Column) -> Column:
 
     def alternative(text: Column) -> Column:
         found = F.transform(F.filter(F.split(text, r"\s+"), lambda t: t != ""), _tests)
-        whole = F.when((F.size(found) > 0) & ~F.exists(found, lambda t: t.isNull()), F.flatten(found))
-        staged = F.exists(whole, lambda t: (t["op"] != "~") & (F.get(t["key"], 4) < RELEASE) & (t["op"] != ""))
-        return F.named_struct(F.lit("tests"), whole, F.lit("staged"), F.coalesce(staged, F.lit(False)))
+        staged = lambda whole: F.exists(whole, lambda t: (t["op"] != "~") & (F.get(t["key"], 4) < RELEASE) & (t["op"] != ""))
+        whole = _let(found, lambda f: F.when((F.size(f) > 0) & ~F.exists(f, lambda t: t.isNull()), F.flatten(f)))
+        return _let(whole, lambda w: F.named_struct(F.lit("tests"), w, F.lit("staged"), F.coalesce(staged(w), F.lit(False))))
 
     no_tests = F.array().cast("array<struct<op: string, key: array<bigint>>>")
     everything = F.array(F.named_struct(F.lit("tests"), no_tests, F.lit("staged"), F.lit(False)))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loamworks.functions import versions
 from loamworks.operators import compatibility, graph
+from loamworks.plans import catalogue
 
 TODAY = 20_366
 PROOF = {"source": "vendor", "title": "A statement", "url": "https://vendor.example.test/releases", "quote": "Bounded evidence.", "checked": TODAY}
@@ -166,3 +167,22 @@ def test_like_parts_and_rules_meet_once(spark):
     # 300 parts ask 8 questions of one kind of rule: pairs are made after both are grouped, and before parts get their answers
     plan = chosen._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [question" in plan and "max_by(struct(rule" in plan
+
+
+def test_ranges_are_planned_once(spark):
+    plan = spark.range(1).select(versions.range_tests(F.col("id").cast("string")).alias("tests"))._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 10_000  # 105,000 where each use of a value repeated how it is made
+
+
+def test_no_plan_of_preflight_is_large(spark, sf, monkeypatch):
+    joins = []
+    settle = graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or settle(df))
+    catalogue.QUERIES["preflight_parts"](spark, sf)
+    print("JOINS", joins)
+    assert max(joins) <= 8
+
+
+def test_verdicts_read_no_version_again(spark, sf):
+    plan = catalogue.QUERIES["preflight_verdict"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan
